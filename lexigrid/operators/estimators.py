@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -62,7 +63,7 @@ def linear_svm(c: float = 1.0, n_rows: int = 1, features: str = "features", max_
     ``1 / (c * n_rows)``.
     """
     margin = OneVsRest(
-        classifier=LinearSVC(regParam=1.0 / (c * n_rows), maxIter=max_iter),
+        classifier=LinearSVC(regParam=1.0 / (c * n_rows), maxIter=max_iter, rawPredictionCol="margins"),
         featuresCol=features, labelCol="label_idx", predictionCol="svm_idx", rawPredictionCol="margins",
         parallelism=2,
     )
@@ -119,8 +120,11 @@ def truncated_svd(vectors: DataFrame, k: int) -> DataFrame:
     Rows are not centred.  The matrix stays distributed; the driver holds
     vectors as long as the vocabulary.
     """
-    rows = vectors.select("features").rdd.map(lambda r: OldVectors.fromML(r["features"]))
+    rows = vectors.select("features").rdd.map(lambda r: OldVectors.fromML(r["features"])).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     svd = RowMatrix(rows).computeSVD(k)
+    rows.unpersist()
     right = svd.V.toArray()
     table = [(i, float(s), [float(x) for x in right[:, i]]) for i, s in enumerate(svd.s)]
     return vectors.sparkSession.createDataFrame(
