@@ -22,6 +22,7 @@ from lexigrid.operators.placement import by_document
 from lexigrid.operators.splits import stratified_split
 from lexigrid.operators.annotate import annotate
 from lexigrid.session import staged
+from lexigrid.sources.readers import spread
 
 DOCS = "SELECT doc_id, text FROM documents"
 
@@ -122,12 +123,12 @@ def _wide(features, names, digits=9):
 @query(_text_stats_sql(DOCS))
 def text_stats(spark, sf_dir):
     """Flooding, punctuation, number and emoticon statistics of whole texts."""
-    return _wide(SimpleStats(True, False, False)(language_docs(spark, sf_dir)), V.TEXT_STAT_NAMES)
+    return _wide(SimpleStats(True, False, False)(spread(language_docs(spark, sf_dir))), V.TEXT_STAT_NAMES)
 
 
 @query(_text_stats_sql(f"SELECT doc_id, {_SOCIAL} AS text FROM documents"))
 def clean_text_stats(spark, sf_dir):
-    docs = with_clean(language_docs(spark, sf_dir), social_clean)
+    docs = with_clean(spread(language_docs(spark, sf_dir)), social_clean)
     return _wide(SimpleStats(True, False, False)(docs), V.TEXT_STAT_NAMES)
 
 
@@ -227,7 +228,7 @@ _VOWEL_SQL = "SELECT doc_id, 'text-' AS feature, len(regexp_extract_all(text, '[
 @query(f"{_VOWEL_SQL} UNION ALL {_FIRST_SQL}")
 def custom_extractor(spark, sf_dir):
     """Features from a Python function."""
-    return Custom(_vowels_first, "vowels")(language_docs(spark, sf_dir))
+    return Custom(_vowels_first, "vowels")(spread(language_docs(spark, sf_dir)))
 
 
 @query(

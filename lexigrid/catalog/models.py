@@ -14,11 +14,11 @@ from lexigrid.catalog.base import (
 )
 from lexigrid.operators import estimators, gaussian, metrics, naive_bayes, selection, splits, vectorize
 from lexigrid.operators.features import Meta, Ngrams, SimpleStats, extract_features
-from lexigrid.operators.ngrams import ngrams
+from lexigrid.operators.ngrams import gram_occurrences, ngrams
 from lexigrid.operators.placement import by_document
 from lexigrid.plans.serve import best_only, classify, classify_features, hard_labels, vectorize as vectorize_texts
 from lexigrid.session import shared_dir, staged
-from lexigrid.sources.readers import read_docs
+from lexigrid.sources.readers import read_docs, spread
 from lexigrid.streaming.classify import classify_stream
 
 CHAR3 = Ngrams("char", (3,))
@@ -62,10 +62,16 @@ def training_subsets(spark, sf_dir):
 
 
 def _held_out(spark, sf_dir):
+    """Feature rows of the test documents, and a model of the others.
+
+    Training needs sums only, so grams go into them one by one; they are
+    counted by document for the test rows alone.
+    """
     sides = staged(splits.stratified_split(language_docs(spark, sf_dir)), "sides")
-    docs = language_docs(spark, sf_dir).drop("label")
-    rows = staged(ngrams(by_document(docs, sides), "char", (3,), keep=["label", "split"]), "features")
-    return sides, rows, naive_bayes.fit(rows, sides, train=F.col("split") == "train")
+    docs = by_document(language_docs(spark, sf_dir).drop("label"), sides)
+    grams = gram_occurrences(docs, "char", (3,), keep=["label", "split"]).withColumn("value", F.lit(1.0))
+    model = naive_bayes.fit(grams, sides, train=F.col("split") == "train")
+    return ngrams(docs.where("split = 'test'"), "char", (3,), keep=["label"]), model
 
 
 _HELD_OUT = (
@@ -80,15 +86,15 @@ _HELD_OUT = (
 )
 def nb_weights(spark, sf_dir):
     """Log probabilities of the features each class has seen."""
-    _, _, model = _held_out(spark, sf_dir)
+    _, model = _held_out(spark, sf_dir)
     return model.weights().withColumn("log_prob", F.round("log_prob", 6))
 
 
 @query(f"WITH {_HELD_OUT} SELECT doc_id, cls AS label, round(score, 4) AS score FROM scores")
 def nb_scores(spark, sf_dir):
     """Joint log scores of held-out documents by class."""
-    _, rows, model = _held_out(spark, sf_dir)
-    scored = naive_bayes.score(rows.where("split = 'test'"), model)
+    rows, model = _held_out(spark, sf_dir)
+    scored = naive_bayes.score(rows, model)
     labels = F.array(*[F.lit(c) for c in model.classes])
     pairs = scored.select("doc_id", F.inline(F.arrays_zip(labels.alias("label"), F.col("scores").alias("score"))))
     return pairs.withColumn("score", F.round("score", 4))
@@ -102,8 +108,8 @@ def nb_scores(spark, sf_dir):
 )
 def language_identification(spark, sf_dir):
     """The whole run: split, trigrams, training, held-out recall by language."""
-    _, rows, model = _held_out(spark, sf_dir)
-    preds = naive_bayes.score(rows.where("split = 'test'"), model, ["label"])
+    rows, model = _held_out(spark, sf_dir)
+    preds = naive_bayes.score(rows, model, ["label"])
     report = metrics.class_report(preds)
     return report.select("label", F.round("recall", 6).alias("recall"), "support")
 
@@ -113,8 +119,8 @@ def language_identification(spark, sf_dir):
 
 def _language_model(spark, sf_dir):
     docs = language_docs(spark, sf_dir)
-    rows = CHAR3(by_document(docs), ["label"])
-    return naive_bayes.fit(rows, docs)
+    grams = gram_occurrences(spread(docs), "char", (3,), keep=["label"])
+    return naive_bayes.fit(grams.withColumn("value", F.lit(1.0)), docs)
 
 
 def _items(spark, sf_dir):

@@ -95,7 +95,7 @@ _TAIL = (
 
 
 def _crafted(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = readers.spread(table(spark, sf_dir, "documents"))
     parts = [F.col("text")]
     for i, piece in enumerate(_TAIL):
         parts += [F.lit(piece)] + ([F.col("doc_id").cast("string")] if i < len(_TAIL) - 1 else [])
@@ -114,7 +114,7 @@ _CRAFTED_SQL = (
 
 
 def _sub(expr: str, pattern: str, mark: str) -> str:
-    return f"regexp_replace({expr}, {_quoted(pattern.replace('(?iu)', '(?i)'))}, {_quoted(mark)}, 'g')"
+    return f"regexp_replace({expr}, {_quoted(pattern)}, {_quoted(mark)}, 'g')"
 
 
 def _bbcode_sql(expr: str) -> str:
@@ -168,7 +168,7 @@ def replace_emoticons(spark, sf_dir):
 
 @query(
     "SELECT doc_id, array_to_string(found, ' ') AS found, len(found)::BIGINT AS n FROM (SELECT doc_id,"
-    f" regexp_extract_all(text, {_quoted(V.EMOTICON.replace('(?iu)', '(?i)'))}) AS found FROM ({_CRAFTED_SQL}))"
+    f" regexp_extract_all(text, {_quoted(V.EMOTICON)}) AS found FROM ({_CRAFTED_SQL}))"
 )
 def extract_emoticons(spark, sf_dir):
     found = _crafted(spark, sf_dir).select("doc_id", clean.extract_emoticons(F.col("text")).alias("found"))
@@ -195,7 +195,7 @@ def _shout(text: str) -> str:
 @query(r"SELECT doc_id, replace(replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS'), 'THE', '<the>') AS text FROM documents")
 def custom_clean(spark, sf_dir):
     """A cleaner written in Python."""
-    docs = table(spark, sf_dir, "documents")
+    docs = readers.spread(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", custom_cleaner(_shout)(F.col("text")).alias("text"))
 
 
@@ -290,4 +290,4 @@ def _tagger(text: str) -> list[tuple]:
 )
 def custom_annotator(spark, sf_dir):
     """A tagger written in Python."""
-    return _parse_rows(annotate_with(language_docs(spark, sf_dir), _tagger))
+    return _parse_rows(annotate_with(readers.spread(language_docs(spark, sf_dir)), _tagger))

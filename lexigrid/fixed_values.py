@@ -27,15 +27,14 @@ SIMPLE_DROP = r"[^a-zA-Z0-9\-_*?!]"
 # Social media cleaning.
 URL = r"https?://www[^\n][a-z!$-_]+"
 EMAIL = rf"[^{WS}]+@[{WORD}.\-]+\.[{WORD}]+"
+# Case is ignored; both cases are listed, with the long s that folds to s.
 EYES = r"[:;=8xX]"
-NOSE = r"[\-o*']?"
-MOUTH = r"[)\](\[dDpPxXoOsS/:}{@|\\]"
+NOSE = r"[\-oO*']?"
+MOUTH = r"[)\](\[dDpPxXoOsSſ/:}{@|\\]"
 EMOTICON = (
-    r"(?iu)(?:"
-    rf"[<>]?{EYES}{NOSE}{MOUTH}"
+    rf"(?:[<>]?{EYES}{NOSE}{MOUTH}"
     rf"|{MOUTH}{NOSE}{EYES}[<>]?"
-    r"|[~<>]?[(]?[\-Oo~^][_\-.][\-Oo~^][)]?[~<>]?"
-    r")"
+    r"|[~<>]?[(]?[\-Oo~^][_\-.][\-Oo~^][)]?[~<>]?)"
 )
 BB_URL = r"(?:\[url=[^\]]+\][^\[]+)?\[/url\]"
 BB_PHOTO = r"\[photo\][^\]]+\[/photo\]"

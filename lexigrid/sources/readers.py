@@ -134,6 +134,13 @@ def label_cap(docs: DataFrame, caps: Mapping[str, int], order: str = "doc_id") -
     return free.unionByName(capped)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Deal out documents of a few files to all cores before costly work on
+    each text.  With as many files as cores nothing is moved."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if len(docs.inputFiles()) >= cores else docs.repartition(cores)
+
+
 def head_docs(docs: DataFrame, n: int = 5, order: str = "doc_id") -> DataFrame:
     """The first ``n`` documents."""
     return docs.orderBy(order).limit(n)
