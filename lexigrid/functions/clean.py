@@ -29,7 +29,8 @@ def _listed_word() -> str:
     for e in dict.fromkeys(V.EMOTICONS):
         groups.setdefault(e[0], []).append(re.escape(e[1:]))
     listed = "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in groups.items())
-    return f"(?<![^ ])[^ ]*?(?:{listed})[^ ]*"
+    starts = "".join(map(re.escape, groups))
+    return f"(?<![^ ])[^ ]*?(?=[{starts}])(?:{listed})[^ ]*"
 
 
 def simple_clean(text: Column) -> Column:

@@ -96,17 +96,19 @@ def fit(
     train: Column | None = None,
     folds: int = 1,
     wide: int = WIDE,
+    classes: Sequence[str] | None = None,
 ) -> MultinomialNB:
     """Fit on feature rows and documents that both have a ``label``.
 
     Rows for which ``train`` is not true add to the vocabulary only, as when
     the vocabulary is taken before the data is split.  With more than one
-    fold both inputs have a ``fold`` column.
+    fold both inputs have a ``fold`` column.  ``classes`` fixes the class
+    numbers where the training rows may lack a class.
     """
     train = F.lit(True) if train is None else train
     fold = F.col("fold") if folds > 1 else F.lit(0)
     counted = docs.where(train).groupBy("label", fold.alias("fold")).count().collect()
-    classes = sorted({r["label"] for r in counted})
+    classes = sorted({r["label"] for r in counted}) if classes is None else list(classes)
     k = len(classes)
     dense = k * folds <= wide
     if folds > 1 and not dense:
@@ -266,15 +268,16 @@ def out_of_fold(
     with more classes than fit into one row is it read once for each fold.
     """
     ids = list(dict.fromkeys(["fold", *keep]))
-    k = docs.select("label").distinct().count()
-    if k * folds <= wide:
+    used = F.lit(True) if train is None else train
+    classes = sorted(r["label"] for r in docs.where(used).select("label").distinct().collect())
+    if len(classes) * folds <= wide:
         model = fit(features, docs, train=train, folds=folds, wide=wide)
         return score(features, model, ids, "fold", alphas, **join)
-    used = F.lit(True) if train is None else train
     parts = []
     for j in range(folds):
-        model = fit(features, docs, train=used & (F.col("fold") != j), wide=wide)
+        model = fit(features, docs, train=used & (F.col("fold") != j), wide=wide, classes=classes)
         parts.append(score(features.where(F.col("fold") == j), model, ids, None, alphas, **join))
     rest = features.where(F.col("fold").isNull())
-    parts.append(score(rest, fit(features, docs, train=used, wide=wide), ids, None, alphas, **join))
+    model = fit(features, docs, train=used, wide=wide, classes=classes)
+    parts.append(score(rest, model, ids, None, alphas, **join))
     return reduce(lambda a, b: a.unionByName(b), parts)
