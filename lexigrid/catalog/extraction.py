@@ -12,7 +12,7 @@ from lexigrid.catalog.texts import (
     SENTIMENTS, _SOCIAL, lexicon, parsed_docs, parses_sql, sentiments, values_sql,
 )
 from lexigrid.functions.clean import social_clean, with_clean
-from lexigrid.operators import estimators, vectorize
+from lexigrid.operators import estimators, svd, vectorize
 from lexigrid.operators.features import (
     Custom, FunctionWords, LexiconSentiment, Meta, Ngrams, SimpleStats, WordEmbeddings,
     extract_features, one_hot,
@@ -186,7 +186,9 @@ def _word_vectors(spark, sf_dir):
     """A vector for every word: the one at the word's MD5 modulo their number."""
     vectors = table(spark, sf_dir, "embeddings")
     size = vectors.count()
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("token")).distinct()
+    docs = spread(table(spark, sf_dir, "documents"))
+    words = docs.select(F.explode(F.split("text", " ")).alias("token")).distinct()
+    words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     number = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % size
     return words.withColumn("vec_id", number).join(vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id")
 
@@ -343,5 +345,6 @@ def truncated_svd(spark, sf_dir):
     rows = staged(_char3(spark, sf_dir), "features")
     vocab = staged(vectorize.fit_vocabulary(rows), "vocabulary")
     cells = staged(vectorize.transform(rows, vocab), "cells")
-    components = estimators.truncated_svd(estimators.to_vectors(cells, vocab.count()), 3)
-    return estimators.project_svd(cells, components).withColumn("value", F.round("value", 6))
+    model = svd.fit(cells, 3)
+    reduced = svd.project(cells, model)
+    return reduced.select("doc_id", *[F.round(c, 6).alias(c) for c in ("v0", "v1", "v2")])

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from lexigrid import fixed_values as V
@@ -17,7 +14,7 @@ from lexigrid.operators.features import Meta, Ngrams, SimpleStats, extract_featu
 from lexigrid.operators.ngrams import gram_occurrences, ngrams
 from lexigrid.operators.placement import by_document
 from lexigrid.plans.serve import best_only, classify, classify_features, hard_labels, vectorize as vectorize_texts
-from lexigrid.session import shared_dir, staged
+from lexigrid.session import new_path, staged
 from lexigrid.sources.readers import read_docs, spread
 from lexigrid.streaming.classify import classify_stream
 
@@ -178,7 +175,7 @@ def classify_stored_features(spark, sf_dir):
 def classify_stream_of_texts(spark, sf_dir):
     """The same texts arriving as a stream of files."""
     model = _language_model(spark, sf_dir)
-    folder = os.path.join(shared_dir(spark), f"stream-{uuid.uuid4().hex}")
+    folder = new_path(spark, "stream")
     arriving = (
         spark.readStream.schema(table(spark, sf_dir, "conversations").schema)
         .option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,13 +12,13 @@ from lexigrid.operators.features import Ngrams
 from lexigrid.operators.placement import by_document
 from lexigrid.plans.experiment import Experiment, ExperimentConfig
 from lexigrid.plans.serve import best_only, classify
-from lexigrid.session import shared_dir
+from lexigrid.session import new_path
 from lexigrid.sources.readers import head_docs
 from lexigrid.sources.registry import RECORD, Registry
 
 
 def _registry(spark) -> Registry:
-    return Registry(spark, os.path.join(shared_dir(spark), f"registry-{uuid.uuid4().hex}"))
+    return Registry(spark, new_path(spark, "registry"))
 
 
 # One record for each source: how well its largest language guesses the rest.

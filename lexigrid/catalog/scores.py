@@ -87,8 +87,8 @@ def held_out_score(spark, sf_dir):
     """The report of the test rows with their averaged score."""
     preds = staged(_role_preds(spark, sf_dir).where("split = 'test'"), "preds")
     report = _rounded(metrics.class_report(preds).drop("tp", "given"), "precision", "recall", "f1")
-    score = _rounded(metrics.averaged_f1(preds, "weighted"), "score")
-    return report.crossJoin(F.broadcast(score))
+    score = metrics.averaged_f1(preds, "weighted").first()["score"]
+    return _rounded(report.withColumn("score", F.lit(score)), "score")
 
 
 @query(

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from lexigrid import fixed_values as V
@@ -12,7 +9,7 @@ from lexigrid.catalog.base import language_docs, query, table
 from lexigrid.functions import clean
 from lexigrid.operators.annotate import annotate, annotate_with, parse_json, parse_to_json
 from lexigrid.operators.features import custom_cleaner
-from lexigrid.session import shared_dir
+from lexigrid.session import new_path
 from lexigrid.sources import readers
 
 
@@ -30,7 +27,7 @@ def csv_by_position(spark, sf_dir):
 
 
 def _as_csv(spark, sf_dir, header: bool) -> str:
-    path = os.path.join(shared_dir(spark), f"csv-{uuid.uuid4().hex}")
+    path = new_path(spark, "csv")
     (
         table(spark, sf_dir, "documents").select("lang", "source", "text")
         .write.option("header", header).option("escape", '"')

@@ -1,11 +1,10 @@
-"""The edge to ``pyspark.ml``: vectors, pipeline stages, SVM, forest, SVD."""
+"""The edge to ``pyspark.ml``: vectors, pipeline stages, SVM and forest."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -13,8 +12,6 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -112,31 +109,3 @@ def cross_validate(pipes: Sequence[Pipe], vectors: DataFrame, folds: int, seed:
             ).fit(vectors)
         )
     return found
-
-
-def truncated_svd(vectors: DataFrame, k: int) -> DataFrame:
-    """``component, singular_value`` and right vector of the top ``k`` components.
-
-    Rows are not centred.  The matrix stays distributed; the driver holds
-    vectors as long as the vocabulary.
-    """
-    rows = vectors.select("features").rdd.map(lambda r: OldVectors.fromML(r["features"])).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    svd = RowMatrix(rows).computeSVD(k)
-    rows.unpersist()
-    right = svd.V.toArray()
-    table = [(i, float(s), [float(x) for x in right[:, i]]) for i, s in enumerate(svd.s)]
-    return vectors.sparkSession.createDataFrame(
-        table, "component int, singular_value double, loadings array<double>"
-    )
-
-
-def project_svd(cells: DataFrame, components: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """``doc_id, *keep, component, value``: documents in the reduced space."""
-    loadings = components.select("component", F.posexplode("loadings").alias("idx", "_w"))
-    by_idx = loadings.groupBy(F.col("idx").cast("bigint").alias("idx")).agg(
-        F.collect_list(F.struct("component", "_w")).alias("_ws")
-    )
-    found = cells.join(by_idx, "idx").select("doc_id", *keep, "value", F.inline("_ws"))
-    return found.groupBy("doc_id", *keep, "component").agg(F.sum(F.col("value") * F.col("_w")).alias("value"))

@@ -52,8 +52,8 @@ def matrix_shape(features: DataFrame, docs: DataFrame, by: str = "split") -> Dat
 
     Columns are those of the vocabulary, the same for every split.
     """
-    width = features.agg(F.count_distinct("feature").alias("n_features"))
-    return docs.groupBy(by).agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(width))
+    width = features.select("feature").distinct().count()
+    return docs.groupBy(by).agg(F.count("*").alias("n_rows"), F.lit(width).cast("bigint").alias("n_features"))
 
 
 def fit_max_abs(features: DataFrame) -> DataFrame:

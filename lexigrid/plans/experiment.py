@@ -207,8 +207,8 @@ class Experiment:
                 ),
                 "curve",
             )
-        width = model.sums.sparkSession.range(1).select(F.lit(model.vocabulary_size).cast("bigint").alias("n_features"))
-        shapes = sides.groupBy("split").agg(F.count("*").alias("n_rows")).crossJoin(F.broadcast(width))
+        width = F.lit(model.vocabulary_size).cast("bigint").alias("n_features")
+        shapes = sides.groupBy("split").agg(F.count("*").alias("n_rows"), width)
         fitted = FittedExperiment(
             c, model, maxima, final, grid,
             metrics.averaged_f1(final, c.average, ["split"]),

@@ -46,6 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder, under the id of the application,
+    so that what a finished application left can be told apart."""
+    return os.path.join(shared_dir(spark), spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
+
+
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as parquet and return the table read back.
 
@@ -53,6 +59,6 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     must stay fixed.  A lost executor costs one file read, not the lineage.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

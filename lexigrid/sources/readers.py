@@ -113,25 +113,28 @@ def chain(sources: Mapping[str, DataFrame] | Sequence[DataFrame]) -> DataFrame:
 def label_cap(docs: DataFrame, caps: Mapping[str, int], order: str = "doc_id") -> DataFrame:
     """At most ``caps[label]`` rows of a label, the first ones by ``order``.
 
-    -1 means all, and so does not being listed.  Only capped labels are
-    ranked, over a range partitioning, so a label that holds most of the rows
-    is never sorted by one task.
+    -1 means all, and so does not being listed.  Only ids of capped labels are
+    ranked, over a range partitioning, to find the last row each label keeps.
+    Texts are then filtered where they lie.
     """
     limited = {k: v for k, v in caps.items() if v >= 0}
     if not limited:
         return docs
-    free = docs.where(F.col("label").isNull() | ~F.col("label").isin(*limited))
-    cap = F.lit(None)
-    for name, most in limited.items():
-        cap = F.when(F.col("label") == name, F.lit(most)).otherwise(cap)
+
+    def by_label(values: Mapping[str, int]) -> Column:
+        return F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in values.items()], F.lit(None))
+
     keys = docs.where(F.col("label").isin(*limited)).select("label", order)
-    kept = (
+    last = (
         exact_rank(keys, [order], ["label"], "_rank")
-        .where(F.col("_rank") < cap)
-        .select("label", order)
+        .where(F.col("_rank") == by_label(limited) - 1)
+        .select("label", F.col(order).alias("_last"))
     )
-    capped = docs.join(kept, ["label", order], "left_semi")
-    return free.unionByName(capped)
+    # at most one row for each label in ``caps``; none for a label with fewer rows
+    marked = docs.join(F.broadcast(last), "label", "left")
+    closed = F.coalesce(by_label(limited) == 0, F.lit(False))
+    beyond = F.coalesce(F.col(order) > F.col("_last"), F.lit(False))
+    return marked.where(~closed & ~beyond).select(*docs.columns)
 
 
 def spread(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrid.operators import estimators, gaussian, metrics, naive_bayes, selection, splits, vectorize
+from lexigrid.operators import estimators, gaussian, metrics, naive_bayes, selection, splits, svd, vectorize
 from lexigrid.operators.naive_bayes import softmax
 from lexigrid.operators.ngrams import ngrams
 from lexigrid.session import staged
@@ -171,7 +171,7 @@ def test_selection_tables(spark):
     assert [tuple(r) for r in metrics.score_series(curve, final).collect()] == [(0.25, 0.4, 0.3), (0.5, 0.6, 0.0), (1.0, 0.8, 0.7)]
 
 
-def test_svm_svd_and_vectors(spark, docs):
+def test_svm_and_vectors(spark, docs):
     rows = staged(words(docs))
     vocab = staged(vectorize.fit_vocabulary(rows))
     cells = staged(vectorize.transform(rows, vocab, ["label"]))
@@ -181,16 +181,22 @@ def test_svm_svd_and_vectors(spark, docs):
     found = model.transform(vectors).collect()
     assert all(r["label"] == r["predicted"] for r in found)
     assert all(sum(r["probability"]) == pytest.approx(1) for r in found)
-    matrix = np.zeros((40, n))
-    for r in cells.collect():
-        matrix[r["doc_id"], r["idx"]] = r["value"]
-    components = estimators.truncated_svd(vectors, 2)
-    got = [r["singular_value"] for r in components.orderBy("component").collect()]
-    assert got == pytest.approx(list(np.linalg.svd(matrix)[1][:2]), rel=1e-6)
-    reduced = estimators.project_svd(cells, components).where("component = 0").collect()
-    direction = np.linalg.svd(matrix)[2][0]
-    for r in reduced:
-        assert abs(r["value"]) == pytest.approx(abs(matrix[r["doc_id"]] @ direction), rel=1e-6)
+
+
+@pytest.mark.parametrize("join", [{}, {"broadcast_bytes": 0}])
+def test_svd_equals_numpy(spark, join):
+    rng = np.random.default_rng(5)
+    matrix = rng.poisson(0.4, (60, 25)).astype(float)
+    matrix[:, 0] += np.arange(60) % 5
+    rows = [(i, j, float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row) if v]
+    cells = spark.createDataFrame(rows, "doc_id bigint, idx bigint, value double")
+    model = svd.fit(cells, 2, iterations=4, **join)
+    u, s, vt = np.linalg.svd(matrix)
+    assert list(model.singular_values) == pytest.approx(list(s[:2]), rel=1e-3)
+    reduced = {r["doc_id"]: r["v0"] for r in svd.project(cells, model, **join).collect()}
+    expected = matrix @ vt[0]
+    for i, v in reduced.items():
+        assert abs(v) == pytest.approx(abs(expected[i]), abs=0.05)
 
 
 def test_vectors_hold_unseen_columns_as_zeros(spark):
