@@ -381,7 +381,7 @@ def _curve_part(p: int, parts: int) -> str:
 def quality_run(spark, sf_dir):
     docs = quality_docs(spark, sf_dir)
     sides = staged(splits.stratified_split(docs), "sides")
-    rows = ngrams(by_document(docs.drop("label"), sides), "text", (1,), keep=["label", "split"])
+    rows = ngrams(by_document(docs.drop("label"), sides), "text", (1,), keep=["label", "split", "rank"])
     return sides, staged(rows, "features")
 
 

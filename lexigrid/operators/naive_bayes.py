@@ -52,6 +52,19 @@ class MultinomialNB:
     def with_alpha(self, alpha: float) -> "MultinomialNB":
         return replace(self, alpha=alpha)
 
+    def merged(self) -> "MultinomialNB":
+        """The same model without folds."""
+        if self.folds == 1:
+            return self
+        k = len(self.classes)
+        sums = F.array(*[sum((F.get("s", F.lit(j * k + c)) for j in range(1, self.folds)), F.get("s", F.lit(c))) for c in range(k)])
+        return replace(
+            self,
+            docs=(tuple(sum(row[c] for row in self.docs) for c in range(k)),),
+            totals=(tuple(self._without(self.totals, None)),),
+            sums=self.sums.select("feature", sums.alias("s")),
+        )
+
     def _without(self, table: Sequence[Sequence[float]], fold: int | None) -> list[float]:
         """Class sums over all folds but one."""
         return [
@@ -252,32 +265,39 @@ def score(
     return scored.withColumn("predicted", best_of(model.classes, F.col("scores")))
 
 
-def out_of_fold(
+def cross_fit(
     features: DataFrame,
     docs: DataFrame,
     folds: int,
     alphas: Sequence[float] = (1.0,),
     keep: Sequence[str] = (),
     train: Column | None = None,
+    asked: Column | None = None,
     wide: int = WIDE,
     **join,
-) -> DataFrame:
-    """Every document scored by a model that has not seen its fold.
+) -> tuple[DataFrame, MultinomialNB]:
+    """Every document scored by a model that has not seen its fold, and the
+    model of all training rows.
 
-    ``features`` is read twice: once for the sums, once for the scores.  Only
-    with more classes than fit into one row is it read once for each fold.
+    ``features`` is read twice: once for the sums, once for the scores of the
+    rows that are ``asked`` for.  Only with more classes than fit into one row
+    is it read once for each fold.
     """
     ids = list(dict.fromkeys(["fold", *keep]))
     used = F.lit(True) if train is None else train
+    wanted = features if asked is None else features.where(asked)
     classes = sorted(r["label"] for r in docs.where(used).select("label").distinct().collect())
     if len(classes) * folds <= wide:
         model = fit(features, docs, train=train, folds=folds, wide=wide)
-        return score(features, model, ids, "fold", alphas, **join)
-    parts = []
+        return score(wanted, model, ids, "fold", alphas, **join), model.merged()
+    whole = fit(features, docs, train=used, wide=wide, classes=classes)
+    parts = [score(wanted.where(F.col("fold").isNull()), whole, ids, None, alphas, **join)]
     for j in range(folds):
         model = fit(features, docs, train=used & (F.col("fold") != j), wide=wide, classes=classes)
-        parts.append(score(features.where(F.col("fold") == j), model, ids, None, alphas, **join))
-    rest = features.where(F.col("fold").isNull())
-    model = fit(features, docs, train=used, wide=wide, classes=classes)
-    parts.append(score(rest, model, ids, None, alphas, **join))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        parts.append(score(wanted.where(F.col("fold") == j), model, ids, None, alphas, **join))
+    return reduce(lambda a, b: a.unionByName(b), parts), whole
+
+
+def out_of_fold(*args, **kwargs) -> DataFrame:
+    """The scores of ``cross_fit``."""
+    return cross_fit(*args, **kwargs)[0]

@@ -62,20 +62,25 @@ def learning_curve(
 
     Every part is searched over the grid, scored out of fold on itself and,
     with the best value, on the test rows.  ``split`` comes from
-    ``stratified_split``; ``features`` has its columns.  Vocabulary and size
-    are those of all rows, as in the main run.
+    ``stratified_split``; ``features`` has its columns, so whether a row is in
+    a part follows from its rank, without a join by document.  Vocabulary and
+    size are those of all rows, as in the main run.
     """
     curve = []
+    train = split.where(F.col("split") == "train")
     for part in range(parts - 1, 0, -1):
-        subset = splits.nested_subset(split.where(F.col("split") == "train"), part, parts).select(
-            "doc_id", splits.fold_of(F.col("rank"), folds).alias("fold"), F.lit(True).alias("_in")
-        )
-        used = (F.col("split") == "test") | F.col("_in")
-        rows = features.join(subset, "doc_id", "left")
-        docs = split.join(subset, "doc_id", "left")
+        # one row for each label
+        quotas = F.broadcast(splits.subset_quotas(train, part, parts))
+        inside = (F.col("split") == "train") & (F.col("rank") < F.col("quota"))
+
+        def marked(rows: DataFrame) -> DataFrame:
+            fold = F.when(F.col("_in"), splits.fold_of(F.col("rank"), folds))
+            return rows.join(quotas, "label").withColumn("_in", inside).withColumn("fold", fold)
+
         preds = naive_bayes.out_of_fold(
-            rows, docs, folds, alphas, ["label", "split", "_in"], F.col("_in"), **join
-        ).where(used)
+            marked(features), marked(split), folds, alphas, ["label", "split"], F.col("_in"),
+            (F.col("split") == "test") | F.col("_in"), **join,
+        )
         by_alpha = metrics.averaged_f1(preds, average, ["alpha", "split"])
         sides = by_alpha.groupBy("alpha").agg(
             F.max(F.when(F.col("split") == "train", F.col("score"))).alias("train"),

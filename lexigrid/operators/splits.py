@@ -95,13 +95,18 @@ def stratified_folds(rows: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return label_ranks(rows, seed).select("doc_id", "label", fold_of(F.col("rank"), k).alias("fold"))
 
 
+def subset_quotas(train: DataFrame, part: int, parts: int) -> DataFrame:
+    """``label, quota``: how many training rows of each label make up
+    ``part / parts`` of all of them."""
+    return _quotas_for(train, F.expr(f"{part} * _all div {parts}"))
+
+
 def nested_subset(train: DataFrame, part: int, parts: int) -> DataFrame:
     """The first ``part / parts`` of the training rows, label shares kept.
 
     ``train`` comes from ``stratified_split``; smaller parts lie within larger.
     """
-    total = F.expr(f"{part} * _all div {parts}")
-    quotas = _quotas_for(train, total).withColumnRenamed("label", "_label")
+    quotas = F.broadcast(subset_quotas(train, part, parts).withColumnRenamed("label", "_label"))
     return (
         train.join(quotas, F.col("label").eqNullSafe(F.col("_label")))
         .where(F.col("rank") < F.col("quota"))

@@ -178,13 +178,13 @@ class Experiment:
             maxima = staged(fit_max_abs(rows.where(is_train)), "maxima")
             rows = staged(scale_max_abs(rows, maxima, **self.join), "features")
         keep = ["label", "split", "fold"]
-        preds = naive_bayes.out_of_fold(rows, sides, c.cv, c.alphas, keep, is_train, **self.join)
+        preds, model = naive_bayes.cross_fit(rows, sides, c.cv, c.alphas, keep, is_train, **self.join)
         preds = staged(preds.select("doc_id", *keep, "alpha", "predicted"), "preds")
         grid = selection.grid_report(metrics.averaged_f1(preds.where(is_train), c.average, ["alpha", "fold"]))
         grid = staged(grid, "grid")
         best = selection.best_model(grid, order="alpha").first()["alpha"]
         final = preds.where(F.col("alpha") == best).drop("alpha")
-        model = naive_bayes.fit(rows, sides, best, is_train)
+        model = model.with_alpha(best)
 
         if test_docs is not None:
             outside = test_docs.select("doc_id", "label").select(
@@ -203,7 +203,7 @@ class Experiment:
         if c.proportions > 1 and test_docs is None:
             curve = staged(
                 selection.learning_curve(
-                    rows.drop("fold", "rank"), sides.drop("fold"), c.proportions, c.cv, c.alphas, c.average, **self.join
+                    rows.drop("fold"), sides.drop("fold"), c.proportions, c.cv, c.alphas, c.average, **self.join
                 ),
                 "curve",
             )

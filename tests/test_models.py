@@ -94,6 +94,18 @@ def test_out_of_fold_equals_training_again(spark, docs, wide):
     same(got, expected)
 
 
+def test_a_model_with_folds_is_also_the_model_of_all(spark, docs):
+    side = docs.withColumn("fold", F.expr("cast((doc_id div 3) % 3 AS int)"))
+    rows = words(side, ["label", "fold"])
+    folded = naive_bayes.fit(rows, side, folds=3)
+    plain = scores_of(naive_bayes.score(words(docs), naive_bayes.fit(words(docs), docs)))
+    same(scores_of(naive_bayes.score(words(docs), folded)), plain)
+    same(scores_of(naive_bayes.score(words(docs), folded.merged())), plain)
+    weights = {(r["label"], r["feature"]): r["log_prob"] for r in folded.weights().collect()}
+    again = {(r["label"], r["feature"]): r["log_prob"] for r in folded.merged().weights().collect()}
+    assert weights == pytest.approx(again) and ("pos", "text-good") in weights and ("neg", "text-good") not in weights
+
+
 def test_many_classes_give_the_same_as_few(spark):
     rows = spark.createDataFrame(
         [(i, f"w{i % 9} w{i % 4}", f"c{i % 9}") for i in range(60)], "doc_id bigint, text string, label string"
@@ -207,7 +219,7 @@ def test_vectors_hold_unseen_columns_as_zeros(spark):
 
 def test_learning_curve_trains_on_what_it_says(spark, docs):
     sides = staged(splits.stratified_split(docs))
-    rows = staged(words(docs.drop("label").join(sides, "doc_id"), ["label", "split"]))
+    rows = staged(words(docs.drop("label").join(sides, "doc_id"), ["label", "split", "rank"]))
     curve = {round(r["prop"], 2): r for r in selection.learning_curve(rows, sides, 2, folds=2).collect()}
     assert list(curve) == [0.5]
     subset = {r["doc_id"]: r for r in splits.nested_subset(sides.where("split = 'train'"), 1, 2).collect()}
