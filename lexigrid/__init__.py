@@ -1,11 +1,12 @@
 """Text classification experiments as Spark DataFrame jobs."""
 
+from lexigrid.plans.estimator_experiment import EstimatorExperiment, FittedEstimators
 from lexigrid.plans.experiment import Experiment, ExperimentConfig, FittedExperiment, load_experiment
 from lexigrid.plans.serve import classify
 from lexigrid.sources.readers import chain, read_csv, read_docs, read_texts
 from lexigrid.sources.registry import Registry
 
 __all__ = [
-    "Experiment", "ExperimentConfig", "FittedExperiment", "Registry",
+    "EstimatorExperiment", "Experiment", "ExperimentConfig", "FittedEstimators", "FittedExperiment", "Registry",
     "chain", "classify", "load_experiment", "read_csv", "read_docs", "read_texts",
 ]

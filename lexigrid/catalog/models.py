@@ -13,6 +13,8 @@ from lexigrid.operators import estimators, gaussian, metrics, naive_bayes, selec
 from lexigrid.operators.features import Meta, Ngrams, SimpleStats, extract_features
 from lexigrid.operators.ngrams import gram_occurrences, ngrams
 from lexigrid.operators.placement import by_document
+from lexigrid.plans.estimator_experiment import EstimatorExperiment
+from lexigrid.plans.experiment import ExperimentConfig
 from lexigrid.plans.serve import best_only, classify, classify_features, hard_labels, vectorize as vectorize_texts
 from lexigrid.session import new_path, staged
 from lexigrid.sources.readers import read_docs, spread
@@ -263,12 +265,18 @@ def estimator_grid(spark, sf_dir):
     vectors = staged(estimators.label_indexer().fit(vectors).transform(vectors), "vectors")
     forest = estimators.Pipe("clf", estimators.random_forest(10, 4), {"maxDepth": [2, 5]})
     found = estimators.cross_validate([forest], vectors, 5)
-    rows = [
-        (i, int(params[forest.stage.getParam("maxDepth")]), float(score))
-        for i, model in enumerate(found)
-        for params, score in zip(model.getEstimatorParamMaps(), model.avgMetrics)
-    ]
-    return spark.createDataFrame(rows, "classifier int, max_depth int, mean_score double")
+    rows = estimators.grid_scores(found)
+    return spark.createDataFrame(rows, "classifier int, setting int, parameters string, mean_score double")
+
+
+@query()
+def svm_experiment(spark, sf_dir):
+    """A whole experiment with a scaler and a grid over a linear SVM."""
+    docs = language_docs(spark, sf_dir)
+    n = docs.count()
+    svm = estimators.Pipe("clf", estimators.linear_svm(1.0, n, max_iter=5), {"regParam": [1.0 / n, 10.0 / n]})
+    config = ExperimentConfig("svm", extractors=[SimpleStats(True, False, False)], max_abs=True, cv=2)
+    return EstimatorExperiment(config, [svm]).run(docs).report
 
 
 # Model selection: word counts, quality of documents and roles of turns.

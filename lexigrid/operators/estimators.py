@@ -8,23 +8,29 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
+from lexigrid.operators.metrics import averaged_f1
 
-def to_vectors(cells: DataFrame, size: int, keep: Sequence[str] = ()) -> DataFrame:
+
+def to_vectors(cells: DataFrame, size: int, keep: Sequence[str] = (), docs: DataFrame | None = None) -> DataFrame:
     """``doc_id, *keep, features``: one sparse vector for each document.
 
-    Only a document's own cells meet in one row.
+    Only a document's own cells meet in one row.  With ``docs``, every row of
+    it gets a vector and keeps its columns, without cells an empty vector.
     """
-    as_vector = F.udf(lambda items: Vectors.sparse(size, [(i["idx"], i["value"]) for i in items]), VectorUDT())
+    as_vector = F.udf(lambda items: Vectors.sparse(size, [(i["idx"], i["value"]) for i in items or ()]), VectorUDT())
     gathered = cells.groupBy("doc_id", *keep).agg(
         F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_cells")
     )
-    return gathered.select("doc_id", *keep, as_vector("_cells").alias("features"))
+    if docs is not None:
+        gathered = docs.join(gathered.select("doc_id", "_cells"), "doc_id", "left")
+    return gathered.withColumn("features", as_vector("_cells")).drop("_cells")
 
 
 @dataclass
@@ -84,11 +90,42 @@ def fit_labelled(model: Estimator, vectors: DataFrame) -> PipelineModel:
     return Pipeline(stages=[indexer, model, names]).fit(vectors)
 
 
-def cross_validate(pipes: Sequence[Pipe], vectors: DataFrame, folds: int, seed: int = 42, metric: str = "weightedFMeasure", parallelism: int = 2) -> list[CrossValidatorModel]:
+class AveragedF1(Evaluator):
+    """F1 in one of the averages binary, micro, macro and weighted."""
+
+    def __init__(self, average: str = "weighted"):
+        super().__init__()
+        self.average = average
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        pairs = dataset.select(F.col("label_idx").alias("label"), F.col("predicted_idx").alias("predicted"))
+        found = averaged_f1(pairs, self.average).first()
+        return float(found["score"] or 0.0) if found else 0.0
+
+
+def find_param(stage: Estimator | Transformer, name: str) -> Param:
+    """A parameter of a stage, or of what it is made of."""
+    if stage.hasParam(name):
+        return stage.getParam(name)
+    inner = stage.getStages() if isinstance(stage, Pipeline) else []
+    if isinstance(stage, OneVsRest):
+        inner = [stage.getClassifier()]
+    for part in inner:
+        try:
+            return find_param(part, name)
+        except KeyError:
+            pass
+    raise KeyError(f"no parameter {name!r} in {stage}")
+
+
+def cross_validate(
+    pipes: Sequence[Pipe], vectors: DataFrame, folds: int, seed: int = 42, average: str = "weighted", parallelism: int = 2
+) -> list[CrossValidatorModel]:
     """Search the grid of every classifier over the ``fold`` column.
 
     Each classifier is searched with all combinations of its own values and
-    those of the stages before it.
+    those of the stages before it.  The models of the folds are kept for
+    out-of-fold predictions.
     """
     pipes = [p.seeded(seed) for p in pipes]
     before = [p for p in pipes if p.name != "clf"]
@@ -97,15 +134,21 @@ def cross_validate(pipes: Sequence[Pipe], vectors: DataFrame, folds: int, seed:
         grid = ParamGridBuilder()
         for p in [*before, clf]:
             for name, values in p.parameters.items():
-                grid = grid.addGrid(p.stage.getParam(name), list(values))
+                grid = grid.addGrid(find_param(p.stage, name), list(values))
         found.append(
             CrossValidator(
                 estimator=Pipeline(stages=[p.stage for p in [*before, clf]]),
-                estimatorParamMaps=grid.build(),
-                evaluator=MulticlassClassificationEvaluator(
-                    labelCol="label_idx", predictionCol=clf.stage.getOrDefault("predictionCol"), metricName=metric
-                ),
-                numFolds=folds, foldCol="fold", parallelism=parallelism,
+                estimatorParamMaps=grid.build(), evaluator=AveragedF1(average),
+                numFolds=folds, foldCol="fold", parallelism=parallelism, collectSubModels=True,
             ).fit(vectors)
         )
     return found
+
+
+def grid_scores(found: Sequence[CrossValidatorModel]) -> list[tuple[int, int, str, float]]:
+    """``classifier, setting, parameters, mean score`` of every setting."""
+    return [
+        (i, j, ", ".join(f"{p.name}={v}" for p, v in setting.items()), float(score))
+        for i, model in enumerate(found)
+        for j, (setting, score) in enumerate(zip(model.getEstimatorParamMaps(), model.avgMetrics))
+    ]

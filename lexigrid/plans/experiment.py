@@ -141,6 +141,24 @@ def scaled_extractors(config: ExperimentConfig, maxima: DataFrame | None) -> lis
     return [scaled]
 
 
+def split_and_fold(docs: DataFrame, c: ExperimentConfig, hold_out: bool = True) -> DataFrame:
+    """``doc_id, label, split, rank, fold``; test rows have no fold."""
+    rows = docs.select("doc_id", "label")
+    if hold_out:
+        sides = splits.stratified_split(rows, c.test_size, c.seed)
+    else:
+        ranks = splits.label_ranks(rows, c.seed)
+        sides = ranks.select("doc_id", "label", F.lit("train").alias("split"), "rank")
+    fold = F.when(F.col("split") == "train", splits.fold_of(F.col("rank"), c.cv))
+    return staged(sides.withColumn("fold", fold), "sides")
+
+
+def features_of(docs: DataFrame, sides: DataFrame, c: ExperimentConfig) -> DataFrame:
+    """The feature rows of documents with the columns of ``sides``."""
+    placed = by_document(docs.drop("label"), sides)
+    return staged(extract_features(placed, c.extractors, c.cleaner, ["label", "split", "fold", "rank"]), "features")
+
+
 @dataclass
 class Experiment:
     """Runs a configuration on documents ``doc_id, text, label``."""
@@ -149,11 +167,7 @@ class Experiment:
     join: dict = field(default_factory=dict)
 
     def _features(self, docs: DataFrame, sides: DataFrame) -> DataFrame:
-        c = self.config
-        placed = by_document(docs.drop("label"), sides)
-        return staged(
-            extract_features(placed, c.extractors, c.cleaner, ["label", "split", "fold", "rank"]), "features"
-        )
+        return features_of(docs, sides, self.config)
 
     def run(self, docs: DataFrame, test_docs: DataFrame | None = None) -> FittedExperiment:
         """Hold out a stratified share, or test on ``test_docs`` if given.
@@ -164,14 +178,7 @@ class Experiment:
         started = time.monotonic()
         c = self.config
         is_train = F.col("split") == "train"
-        if test_docs is None:
-            sides = splits.stratified_split(docs.select("doc_id", "label"), c.test_size, c.seed)
-        else:
-            ranks = splits.label_ranks(docs.select("doc_id", "label"), c.seed)
-            sides = ranks.select("doc_id", "label", F.lit("train").alias("split"), "rank")
-        fold = F.when(is_train, splits.fold_of(F.col("rank"), c.cv))
-        sides = staged(sides.withColumn("fold", fold), "sides")
-
+        sides = split_and_fold(docs, c, hold_out=test_docs is None)
         rows = self._features(docs, sides)
         maxima = None
         if c.max_abs:

@@ -2,8 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrid import Experiment, ExperimentConfig, Registry, load_experiment, read_texts
-from lexigrid.operators import explain
+from lexigrid import EstimatorExperiment, Experiment, ExperimentConfig, Registry, load_experiment, read_texts
+from lexigrid.operators import estimators, explain
 from lexigrid.operators.features import FunctionWords, Ngrams
 from lexigrid.plans.serve import classify
 from lexigrid.operators import naive_bayes
@@ -121,3 +121,19 @@ def test_highlight_and_choice(spark):
     assert [tuple(r)[1:] for r in explain.choose_explanation(rows).collect()] == [("b", 0.5, "w", -2.0)]
     assert [r["label"] for r in explain.class_probabilities(rows).orderBy("place").collect()] == ["b", "a"]
     assert explain.weight_series(rows).where("label = 'b'").first()["sign"] == "-"
+
+
+def test_experiment_with_estimators(spark, docs, tmp_path):
+    svm = estimators.Pipe("clf", estimators.linear_svm(1.0, 28, max_iter=5), {"regParam": [0.01, 0.1]})
+    forest = estimators.Pipe("clf", estimators.random_forest(5, 3), {"maxDepth": [1]})
+    config = ExperimentConfig("stages", extractors=[Ngrams("text", (1,))], cv=2)
+    run = EstimatorExperiment(config, [forest, svm]).run(docs)
+    assert run.grid.count() == 3 and run.classifier.startswith("Pipeline(regParam=0.1")
+    assert {r["split"]: r["score"] for r in run.scores.collect()} == {"train": 1.0, "test": 1.0}
+    assert run.predictions.count() == 40
+    found = {r["doc_id"]: r for r in run.classify(read_texts(spark, ["good nice", "awful bad", "zzz"])).collect()}
+    assert found[0]["predicted"] == "pos" and found[1]["predicted"] == "neg" and len(found) == 3
+    assert sum(found[2]["proba"].values()) == pytest.approx(1)
+    registry = Registry(spark, str(tmp_path / "registry"))
+    run.save(registry)
+    assert registry.fetch("name", "stages").first()["test_score"] == 1.0
