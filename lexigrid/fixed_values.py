@@ -100,3 +100,6 @@ CONFIG_TITLES = (
     ("dur", "duration"),
     ("test_score", "score on test"),
 )
+
+# An explained word: colour and word.
+HIGHLIGHT = '<b><span style="color:{0}">{1}</span></b>'

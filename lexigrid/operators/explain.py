@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-MARK = '<b><span style="color:{0}">{1}</span></b>'
+from lexigrid.fixed_values import HIGHLIGHT
 
 
 def _uniform(*parts: Column) -> Column:
@@ -157,7 +157,7 @@ def highlight(text: Column, words: Column, colors: Sequence[str] = ("green", "re
     def tag(w: Column) -> Column:
         weight = F.try_element_at(weights, w)
         color = F.when(weight < 0, minus).otherwise(plus)
-        head, rest = MARK.split("{0}")
+        head, rest = HIGHLIGHT.split("{0}")
         middle, tail = rest.split("{1}")
         wrapped = F.concat(F.lit(head), color, F.lit(middle), w, F.lit(tail))
         return F.when(weight.isNull(), w).otherwise(wrapped)

@@ -10,11 +10,9 @@ def by_document(docs: DataFrame, attributes: DataFrame | None = None, id: str =
 
     Texts are moved once, before they are taken apart: whatever is grouped by
     document afterwards needs no shuffle, and a text is about a tenth of the
-    size of its grams.  The partition count is set so that texts that are
-    small now but grow in the next step are not merged into few tasks.
+    size of its grams.  Adaptive execution merges partitions of small inputs.
     ``attributes`` (label, split, fold) come by id and are narrow; they are hashed
     in each partition, so texts are neither sorted nor broadcast.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.repartition(n, id)
+    placed = docs.repartition(id)
     return placed if attributes is None else placed.join(attributes.hint("shuffle_hash"), id)
