@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import quality
+from lexigrid.llm import language, quality
 from lexigrid.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(
         "doc_id", held_out(0, 5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+@query()
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned where crc32(doc_id) mod 5 is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~held_out(0, 5)))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(0, 5).alias("held_out"), "lang_pred", "score", "rejected")
