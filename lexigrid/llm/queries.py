@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import language, quality
+from lexigrid.llm import language, quality, toxicity
 from lexigrid.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,14 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(docs.where(~held_out(0, 5)))
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out(0, 5).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; learned where crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out(1, 3)))
+    rated = toxicity.score(docs, model)
+    return rated.select(
+        "doc_id", held_out(1, 3).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )

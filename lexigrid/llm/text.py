@@ -87,16 +87,18 @@ def chunks(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, np.
         at = to
 
 
-def runs(points: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a chunk: ``(hash, start, document)``.
+def runs(
+    points: np.ndarray, offsets: np.ndarray, marks: bool = False, stems: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
+    """Tokens of a chunk: ``(hash, start, document)``, and one more hash array for each of ``stems``.
 
     A token is a run of letters and digits, in lower case, or, with ``marks``,
     a run of other visible characters.  Equal tokens have equal hashes wherever
-    they stand.
+    they stand.  A stem is the first so many characters.
     """
     if not len(points):
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return (none.astype(np.uint64), none, none, *[none.astype(np.uint64)] * len(stems))
     kinds = char_classes()[points]
     if not marks:
         kinds = (kinds == WORD).view(np.uint8)
@@ -111,8 +113,10 @@ def runs(points: np.ndarray, offsets: np.ndarray, marks: bool = False) -> tuple[
     summed = np.empty(len(points) + 1, np.uint64)
     summed[0] = 0
     np.cumsum((lower()[points].astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(points)), out=summed[1:])
-    hashes = mix((summed[ends] - summed[starts]) * powers(_INVERSE, len(points))[starts])
-    return hashes, starts, np.searchsorted(offsets, starts, "right") - 1
+    scale = powers(_INVERSE, len(points))[starts]
+    hashes = mix((summed[ends] - summed[starts]) * scale)
+    short = [mix((summed[np.minimum(ends, starts + k)] - summed[starts]) * scale + np.uint64(k)) for k in stems]
+    return hashes, starts, np.searchsorted(offsets, starts, "right") - 1, *short
 
 
 def spans(owners: np.ndarray, n: int) -> np.ndarray:
