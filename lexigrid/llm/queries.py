@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import language, quality, toxicity
+from lexigrid.llm import language, mixing, packing, quality, sharding, toxicity
 from lexigrid.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,31 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select(
         "doc_id", held_out(1, 3).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )
+
+
+@query()
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    placed = sharding.shard(rows, 8, ("doc_id", "text_crc32", "size"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query()
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in a mixture of sources weighted by the square root of their sizes."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in bins of 16384 characters, no two of one source or of one text."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs.withColumn("cluster", F.xxhash64("text")))
