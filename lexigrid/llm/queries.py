@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import language, mixing, packing, quality, sharding, toxicity
+from lexigrid.llm import language, mixing, neardup, packing, quality, sharding, toxicity
 from lexigrid.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in bins of 16384 characters, no two of one source or of one text."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs.withColumn("cluster", F.xxhash64("text")))
+
+
+@query()
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
