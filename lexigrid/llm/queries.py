@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import language, mixing, neardup, packing, quality, sharding, toxicity
+from lexigrid.llm import language, mixing, neardup, packing, quality, sharding, toxicity, vectors
 from lexigrid.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document."""
     return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at a cosine of 0.9 or more."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
