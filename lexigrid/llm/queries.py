@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import language, mixing, neardup, packing, quality, sharding, toxicity, vectors
+from lexigrid.llm import language, mixing, neardup, packing, pii, quality, sharding, toxicity, vectors
 from lexigrid.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,14 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at a cosine of 0.9 or more."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: A deployment passes its own; this one makes the query repeatable.
+PII_KEY = b"registered query"
+
+
+@query()
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for personal data and secrets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.surrogates(docs, PII_KEY, "entities")
