@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import language, mixing, neardup, packing, pii, quality, sharding, toxicity, vectors
+from lexigrid.llm import language, mixing, neardup, packing, pii, quality, sharding, syncmers, toxicity, vectors
 from lexigrid.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,18 @@ def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for personal data and secrets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.surrogates(docs, PII_KEY, "entities")
+
+
+@query()
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how alike they are."""
+    met = syncmers.with_edited(table(spark, sf_dir, "documents"))
+    return met.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        syncmers.fingerprint(F.col("sketch")).alias("fingerprint"),
+        syncmers.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        F.coalesce(syncmers.likeness(F.col("sketch"), F.col("next_sketch")), F.lit(0.0)).alias("near_next"),
+    )
