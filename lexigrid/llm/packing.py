@@ -61,18 +61,24 @@ def best_fit(
     return bins, offsets
 
 
-def pieces(docs: DataFrame, capacity: int) -> DataFrame:
-    """``doc_id, source, cluster, piece, start, length`` of ``docs(doc_id, text, source, cluster)``."""
+def pieces(docs: DataFrame, capacity: int, texts: bool = False) -> DataFrame:
+    """``doc_id, source, cluster, piece, start, length`` of ``docs(doc_id, text, source, cluster)``, and ``text``."""
     n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), n - 1), F.lit(capacity).cast("long"))
-    cut = docs.select("doc_id", "source", "cluster", n.alias("_n"), F.posexplode(starts).alias("piece", "start"))
-    return cut.withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("_n") - F.col("start"))).drop("_n")
+    kept = ["doc_id", "source", "cluster", *(["text"] if texts else [])]
+    cut = docs.select(*kept, n.alias("_n"), F.posexplode(starts).alias("piece", "start"))
+    cut = cut.withColumn("length", F.least(F.lit(capacity).cast("long"), F.col("_n") - F.col("start"))).drop("_n")
+    if texts:
+        cut = cut.withColumn("text", F.expr("substring(coalesce(text, ''), cast(start + 1 as int), cast(length as int))"))
+    return cut
 
 
-def pack(docs: DataFrame, capacity: int = 16_384, group_rows: int = 2048) -> DataFrame:
-    """``doc_id, piece, start, length, bin, offset`` for every piece of ``docs``."""
-    cut = pieces(docs, capacity)
-    groups = -(-cut.count() // group_rows)
+def pack(docs: DataFrame, capacity: int = 16_384, group_rows: int = 2048, texts: bool = False) -> DataFrame:
+    """``doc_id, piece, start, length, bin, offset`` for every piece of ``docs``;
+    with ``texts`` also ``source`` and the ``text`` of the piece."""
+    cut = pieces(docs, capacity, texts)
+    groups = -(-pieces(docs, capacity).count() // group_rows)
+    more = ["source", "text"] if texts else []
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(
@@ -81,24 +87,15 @@ def pack(docs: DataFrame, capacity: int = 16_384, group_rows: int = 2048) -> Dat
         sources = [None if pd.isna(x) else x for x in rows["source"]]
         clusters = [None if pd.isna(x) else x for x in rows["cluster"]]
         bins, offsets = best_fit(rows["length"].tolist(), sources, clusters, capacity)
-        out = rows[["doc_id", "piece", "start", "length"]].copy()
+        out = rows[["doc_id", "piece", "start", "length", *more]].copy()
         out["bin"] = [(int(g) << _BIN_BITS) + b for g, b in zip(rows["_group"], bins, strict=True)]
         out["offset"] = offsets
         return out
 
     # the piece takes part, so that a very long text is spread as well
     group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, groups)))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return (
-        cut.withColumn("_group", group)
-        .groupBy("_group")
-        .applyInPandas(packed, f"doc_id {id_type}, piece int, start long, length long, bin long, offset long")
-    )
-
-
-def packed_texts(docs: DataFrame, bins: DataFrame) -> DataFrame:
-    """``bins`` with the text of each piece; ids in ``docs`` are unique."""
-    texts = docs.select(F.col("doc_id").alias("_id"), "source", "text")
-    joined = bins.join(texts, bins["doc_id"].eqNullSafe(F.col("_id")))
-    piece = F.expr("substring(coalesce(text, ''), cast(start + 1 as int), cast(length as int))")
-    return joined.withColumn("text", piece).drop("_id")
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    fields = ["doc_id", "piece", "start", "length", *more, "bin", "offset"]
+    kinds |= {"piece": "int", "start": "long", "length": "long", "bin": "long", "offset": "long"}
+    schema = ", ".join(f"`{f}` {kinds[f]}" for f in fields)
+    return cut.withColumn("_group", group).groupBy("_group").applyInPandas(packed, schema)
