@@ -63,7 +63,7 @@ def shingles(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     whole = np.arange(len(hashes)) + WORDS <= bounds[owners + 1]
     for k in range(1, WORDS):
         later = np.zeros(len(hashes), np.uint64)
-        later[: len(hashes) - k] = hashes[k:]
+        later[: max(0, len(hashes) - k)] = hashes[k:]
         later[np.arange(len(hashes)) + k >= bounds[owners + 1]] = 0
         runs = T.mix(runs * np.uint64(0x9FB21C651E98DF25) + later)
     runs, owner = runs[whole | (place == 0)], owners[whole | (place == 0)]
