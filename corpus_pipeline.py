@@ -23,12 +23,14 @@ BIN_CHARS = 16_384
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.3 or more."""
+    docs = docs.select(*COLUMNS)
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out(0, 5)))
     return quality.score(docs, model, "_score").where("_score >= 0.3").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near-duplicates, once."""
+    docs = docs.select(*COLUMNS)
     found = staged(neardup.classes(docs), "classes")
     dropped = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     kept = lookup(docs, dropped, "doc_id", "left_anti").select(*COLUMNS)
@@ -42,11 +44,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; ``n_chars`` follows the new text."""
+    docs = docs.select(*COLUMNS)
     return pii.surrogates(docs, PII_KEY).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of a mixture of sources, weighted by the square root of their sizes."""
+    docs = docs.select(*COLUMNS)
     return mixing.mixed(docs)
 
 
@@ -56,6 +60,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near-duplicates are gone by now, so a cluster is what is left equal after
     the replacement of personal data.
     """
+    docs = docs.select(*COLUMNS)
     docs = docs.withColumn("cluster", F.xxhash64("text"))
     return packing.pack(docs, BIN_CHARS, texts=True)
 

@@ -144,7 +144,9 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, **options
     """``docs`` in the order of the mixture, over range partitions.
 
     Rows that share an id, if there are any, go to the first place of that id.
+    Columns ``_position`` and ``_id`` are not kept.
     """
+    docs = docs.drop("_position", "_id")
     order = mix(docs, weights, **options).groupBy("doc_id").agg(F.min("position").alias("_position"))
     rows = docs.join(order.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id")))
     return rows.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)

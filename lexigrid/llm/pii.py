@@ -19,7 +19,8 @@ that got the same surrogate one keeps it, the others are built anew, longer,
 until all differ.  What was built anew is looked up by document.
 
 Defined results: null text stays null; text without entities is unchanged, as
-are all other columns; repeated rows get the same text; a surrogate never
+are all other columns (one named as the result or ``_tries`` is replaced);
+repeated rows get the same text; a surrogate never
 depends on the place of a row, only on the key and the names of the corpus.
 """
 
@@ -349,6 +350,7 @@ def _rebuilt(found: DataFrame, key: bytes) -> DataFrame:
 
 def surrogates(docs: DataFrame, key: bytes, entities: str | None = None) -> DataFrame:
     """``docs`` with ``text`` replaced; ``entities`` names a further column for kind, start and length of each."""
+    docs = docs.drop("_tries", *([entities] if entities else []))
     found = staged(_surnames(docs), "names")
     moved = _rebuilt(found, key)
     rows, columns = docs, docs.columns

@@ -15,7 +15,8 @@ Scoring reads every text where it lies; nothing is shuffled but the sample.
 Defined results: null text counts as empty; an empty text scores the bias
 alone; a null label is not learned from; repeated rows score alike; with no
 labelled row at all every score is 0.5; columns other than the named ones are
-not read and pass through ``score`` unchanged.
+not read and pass through ``score`` unchanged, but for one of the name of the
+result, which is replaced.
 """
 
 from __future__ import annotations
@@ -140,6 +141,7 @@ def fit(
 
 def score(docs: DataFrame, model: FtrlModel, name: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1 as a further column."""
+    docs = docs.drop(name)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

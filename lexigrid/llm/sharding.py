@@ -25,8 +25,9 @@ def shard(docs: DataFrame, shards: int, order: tuple[str, ...] = ("doc_id",), si
     """Add ``shard`` and ``slot``, the place in the shard from 0.
 
     ``docs`` should be narrow, as all its columns move; ``order`` and ``size``
-    name columns of it.
+    name columns of it.  Columns named as results or working columns are replaced.
     """
+    docs = docs.drop("shard", "slot", "_at", "_part", "_rank", "_middle", "_all", "_first")
     keys = [F.col(c).asc_nulls_first() for c in order]
     at = F.monotonically_increasing_id()
     placed = docs.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", at)
