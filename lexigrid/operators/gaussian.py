@@ -1,8 +1,12 @@
 """Gaussian naive Bayes over sparse features.
 
 Absent values are zeros and count towards means and variances, so a class is
-described by sums over the rows that exist.  A document's score starts from
-the score of an all-zero document and is corrected for the values it has.
+described by the moments of the rows that exist, merged with a block of zeros.
+Means are taken off before squaring, so large values keep their variance.  A document's score starts from
+the score of an all-zero document and is corrected for the values it has.  The
+correction would cancel badly where values are large and never zero, such as
+time stamps: features that every training row has are left out of the start
+and counted directly; only a document that lacks one gets their zero terms.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrid.operators.lookup import lookup_join
 from lexigrid.operators.naive_bayes import _class_number, best_of
@@ -19,11 +23,15 @@ from lexigrid.session import staged
 
 @dataclass(frozen=True)
 class GaussianNB:
-    """``moments`` has ``feature`` and arrays ``mean``, ``var`` by class."""
+    """``moments`` has ``feature``, arrays ``mean``, ``var`` by class and ``full``: no
+    training row lacks it.  ``base`` scores an all-zero document by class without
+    the ``n_full`` full features, ``rest`` adds these."""
 
     classes: tuple[str, ...]
     base: tuple[float, ...]
     moments: DataFrame
+    rest: tuple[float, ...] = ()
+    n_full: int = 0
 
 
 def fit(features: DataFrame, docs: DataFrame, smoothing: float = 1e-9) -> GaussianNB:
@@ -32,46 +40,70 @@ def fit(features: DataFrame, docs: DataFrame, smoothing: float = 1e-9) -> Gaussi
     found = docs.groupBy("label").count().collect()
     sizes = dict(sorted((r["label"], r["count"]) for r in found))
     classes, n = list(sizes), sum(sizes.values())
-    x = F.col("value")
-    by_class = [F.when(F.col("_c") == i, x).otherwise(0.0) for i in range(len(classes))]
-    sums = staged(
-        features.select("feature", "value", _class_number(classes).alias("_c"))
-        .groupBy("feature")
-        .agg(
-            F.sum("value").alias("s"),
-            F.sum(x * x).alias("q"),
-            F.array(*[F.sum(v) for v in by_class]).alias("cs"),
-            F.array(*[F.sum(v * v) for v in by_class]).alias("cq"),
+    counts = F.array(*[F.lit(float(c)) for c in sizes.values()])
+    parts = features.select("feature", "value", _class_number(classes).alias("c")).groupBy("feature", "c")
+    seen = parts.agg(F.count("value").cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    cells = staged(seen.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("c", F.struct("n", "m", "v")))).alias("by")), "gauss")
+
+    def cell(c) -> dict:
+        """Mean and variance of a class, the absent zeros merged in without cancellation."""
+        x, size = F.try_element_at("by", c), F.get(counts, c)
+        n, m, v = (F.coalesce(x[k], F.lit(0.0)) for k in "nmv")
+        return F.struct((n * m / size).alias("mean"), (n * v / size + m * m * n * (size - n) / (size * size)).alias("var"))
+
+    held = F.aggregate(F.map_values("by"), F.lit(0.0), lambda acc, x: acc + x["n"])
+    cells = cells.select("feature", (held == n).alias("full"), F.transform(F.sequence(F.lit(0), F.lit(len(classes) - 1)), cell).alias("x"))
+    # the overall variance: within classes and between their means
+    share = F.zip_with("x", counts, lambda x, size: F.struct((size / n).alias("w"), x["mean"].alias("m"), x["var"].alias("v")))
+    total = lambda pick: F.aggregate(share, F.lit(0.0), lambda acc, x: acc + pick(x))
+    middle = cells.withColumn("_mid", total(lambda x: x["w"] * x["m"]))
+    spread = total(lambda x: x["w"] * (x["v"] + (x["m"] - F.col("_mid")) * (x["m"] - F.col("_mid"))))
+    largest = middle.agg(F.max(spread)).first()[0] or 0.0
+    if len(classes) and not largest > 0:
+        raise ValueError("no feature varies")
+    moments = staged(
+        cells.select(
+            "feature",
+            "full",
+            F.transform("x", lambda x: x["mean"]).alias("mean"),
+            F.transform("x", lambda x: x["var"] + smoothing * largest).alias("var"),
         ),
         "gauss",
     )
-    largest = sums.agg(F.max(F.col("q") / n - (F.col("s") / n) * (F.col("s") / n))).first()[0] or 0.0
-    counts = F.array(*[F.lit(float(c)) for c in sizes.values()])
-    mean = F.zip_with("cs", counts, lambda s, c: s / c)
-    var = F.transform(
-        F.arrays_zip(F.zip_with("cq", counts, lambda q, c: q / c).alias("e"), F.col("mean").alias("m")),
-        lambda z: z["e"] - z["m"] * z["m"] + smoothing * largest,
-    )
-    moments = staged(sums.select("feature", mean.alias("mean"), "cq").select("feature", "mean", var.alias("var")), "gauss")
-    zero = [
-        F.sum(-0.5 * F.log(2 * math.pi * F.get("var", F.lit(i))) - F.pow(F.get("mean", F.lit(i)), 2) / (2 * F.get("var", F.lit(i))))
-        for i in range(len(classes))
-    ]
-    start = moments.agg(*zero).first()
-    base = tuple(math.log(c / n) + (start[i] or 0.0) for i, c in enumerate(sizes.values()))
-    return GaussianNB(tuple(classes), base, moments)
-
-
-def score(features: DataFrame, model: GaussianNB, keep=(), **join) -> DataFrame:
-    """``doc_id, *keep, scores, predicted`` for documents with any feature."""
+    k = len(classes)
+    totals = [F.sum(F.when(F.col("full") == full, _term(F.lit(0.0), i)).otherwise(0.0)) for full in (False, True) for i in range(k)]
+    found = moments.agg(F.count_if("full"), *totals).first()
+    base = tuple(math.log(c / n) + (found[1 + i] or 0.0) for i, c in enumerate(sizes.values()))
+    rest = tuple(found[1 + k + i] or 0.0 for i in range(k))
+    return GaussianNB(tuple(classes), base, moments, rest, found[0])
+
+
+def _term(x: Column, i: int) -> Column:
+    """Log density of a value in class ``i``."""
+    mean, var = F.get("mean", F.lit(i)), F.get("var", F.lit(i))
+    return -0.5 * F.log(2 * math.pi * var) - (x - mean) * (x - mean) / (2 * var)
+
+
+def score(features: DataFrame, model: GaussianNB, keep=(), docs: DataFrame | None = None, **join) -> DataFrame:
+    """``doc_id, *keep, scores, predicted``; rows of ``docs`` without a feature are all zeros.
+
+    Without ``docs`` only documents that have feature rows are scored.
+    """
     k = len(model.classes)
     ids = ["doc_id", *keep]
     known = lookup_join(features, model.moments, ["feature"], "left", row_bytes=64 + 16 * k, **join)
-    x = F.col("value")
-    gains = [
-        F.sum(F.coalesce((2 * x * F.get("mean", F.lit(i)) - x * x) / (2 * F.get("var", F.lit(i))), F.lit(0.0))).alias(f"_g{i}")
-        for i in range(k)
-    ]
-    sums = known.groupBy(*ids).agg(*gains)
-    scores = F.array(*[F.lit(model.base[i]) + F.col(f"_g{i}") for i in range(k)])
+    here = [_term(F.col("value"), i) for i in range(k)]
+    zero = [_term(F.lit(0.0), i) for i in range(k)]
+    gains = [F.sum(F.when(F.col("full"), p).otherwise(p - z)).alias(f"_g{i}") for i, (p, z) in enumerate(zip(here, zero))]
+    had = [F.sum(F.when(F.col("full"), z)).alias(f"_z{i}") for i, z in enumerate(zero)]
+    sums = known.groupBy(*ids).agg(F.count_if("full").alias("_n"), *gains, *had)
+    if docs is not None:
+        sums = docs.select(*ids).join(sums.drop(*keep), "doc_id", "left")
+
+    def total(i: int) -> Column:
+        lacks = F.coalesce("_n", F.lit(0)) < model.n_full
+        missed = F.when(lacks, F.lit(model.rest[i]) - F.coalesce(F.col(f"_z{i}"), F.lit(0.0))).otherwise(0.0)
+        return F.lit(model.base[i]) + F.coalesce(F.col(f"_g{i}"), F.lit(0.0)) + missed
+
+    scores = F.array(*[total(i) for i in range(k)])
     return sums.select(*ids, scores.alias("scores")).withColumn("predicted", best_of(model.classes, F.col("scores")))

@@ -8,7 +8,8 @@ Training keeps sums by feature and class.  With smoothing ``a``, class sums
 where ``v`` are the document's values and ``T`` is their sum over known
 features.  A class that lacks a feature adds nothing, so there is no grid of
 features and classes; and cross validation takes the sums of a fold off the
-totals instead of training again.
+totals instead of training again.  There is one form for any number of classes
+and folds: features are read once to train and once to score.
 """
 
 from __future__ import annotations
@@ -16,25 +17,19 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrid.operators.lookup import lookup_join
 from lexigrid.session import staged
 
-# Sums kept as columns of one row; beyond that they are kept as rows.
-WIDE = 64
-
-
 @dataclass(frozen=True)
 class MultinomialNB:
     """Sums of the training rows, by feature in a table and by class in lists.
 
     ``docs`` and ``totals`` have a list by class for every fold; without folds
-    there is a single one.  ``sums`` has a row for each known feature: with
-    ``dense`` the array ``s`` at ``fold * k + class``, else ``cells`` of the
-    classes the feature occurs in.
+    there is a single one.  ``sums`` has a row for each known feature; its
+    ``cells`` are the classes it occurs in, each with its sum in every fold.
     """
 
     classes: tuple[str, ...]
@@ -42,7 +37,6 @@ class MultinomialNB:
     totals: tuple[tuple[float, ...], ...]
     vocabulary_size: int
     sums: DataFrame
-    dense: bool
     alpha: float = 1.0
 
     @property
@@ -56,13 +50,12 @@ class MultinomialNB:
         """The same model without folds."""
         if self.folds == 1:
             return self
-        k = len(self.classes)
-        sums = F.array(*[sum((F.get("s", F.lit(j * k + c)) for j in range(1, self.folds)), F.get("s", F.lit(c))) for c in range(k)])
+        cells = F.transform("cells", lambda x: F.struct(x["c"].alias("c"), F.array(_total(x["s"])).alias("s")))
         return replace(
             self,
-            docs=(tuple(sum(row[c] for row in self.docs) for c in range(k)),),
+            docs=(tuple(self._without(self.docs, None)),),
             totals=(tuple(self._without(self.totals, None)),),
-            sums=self.sums.select("feature", sums.alias("s")),
+            sums=self.sums.select("feature", cells.alias("cells")),
         )
 
     def _without(self, table: Sequence[Sequence[float]], fold: int | None) -> list[float]:
@@ -82,15 +75,9 @@ class MultinomialNB:
 
     def weights(self) -> DataFrame:
         """``label, feature, log_prob`` for the features each class has seen."""
-        k = len(self.classes)
-        if self.dense:
-            sums = [sum((F.get("s", F.lit(j * k + c)) for j in range(self.folds)), F.lit(0.0)) for c in range(k)]
-            cells = F.array(*[F.struct(F.lit(c).alias("c"), s.alias("s")) for c, s in enumerate(sums)])
-        else:
-            cells = F.col("cells")
         mass = F.array(*[F.lit(s + self.alpha * self.vocabulary_size) for s in self._without(self.totals, None)])
         names = F.array(*[F.lit(c) for c in self.classes])
-        rows = self.sums.select("feature", F.inline(cells)).where(F.col("s") > 0)
+        rows = self.sums.select("feature", F.inline("cells")).withColumn("s", _total(F.col("s"))).where(F.col("s") > 0)
         return rows.select(
             F.get(names, F.col("c")).alias("label"),
             "feature",
@@ -98,6 +85,10 @@ class MultinomialNB:
         )
 
 
+def _total(sums: Column) -> Column:
+    return F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def _class_number(classes: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int") - 1
 
@@ -108,51 +99,39 @@ def fit(
     alpha: float = 1.0,
     train: Column | None = None,
     folds: int = 1,
-    wide: int = WIDE,
-    classes: Sequence[str] | None = None,
 ) -> MultinomialNB:
     """Fit on feature rows and documents that both have a ``label``.
 
-    Rows for which ``train`` is not true add to the vocabulary only, as when
-    the vocabulary is taken before the data is split.  With more than one
-    fold both inputs have a ``fold`` column.  ``classes`` fixes the class
-    numbers where the training rows may lack a class.
+    Rows for which ``train`` is not true, or without a label, add to the
+    vocabulary only, as when the vocabulary is taken before the data is split.
+    With more than one fold both inputs have a ``fold`` column.  The class
+    list and its counts are on the driver, as labels are few next to rows.
     """
-    train = F.lit(True) if train is None else train
+    train = F.col("label").isNotNull() & (F.lit(True) if train is None else train)
     fold = F.col("fold") if folds > 1 else F.lit(0)
     counted = docs.where(train).groupBy("label", fold.alias("fold")).count().collect()
-    classes = sorted({r["label"] for r in counted}) if classes is None else list(classes)
+    classes = sorted({r["label"] for r in counted})
     k = len(classes)
-    dense = k * folds <= wide
-    if folds > 1 and not dense:
-        raise ValueError("too many classes for one pass over all folds, fit fold by fold")
     n_docs = [[0] * k for _ in range(folds)]
     for r in counted:
         n_docs[r["fold"]][classes.index(r["label"])] += r["count"]
 
-    if dense:
-        used = features.select("feature", F.when(train, fold * k + _class_number(classes)).alias("_cell"), "value")
-        sums = used.groupBy("feature").agg(
-            F.array(
-                *[F.sum(F.when(F.col("_cell") == i, F.col("value")).otherwise(0.0)) for i in range(k * folds)]
-            ).alias("s")
-        )
-        sums = staged(sums, "nb")
-        found = sums.agg(F.count("*"), *[F.sum(F.get("s", F.lit(i))) for i in range(k * folds)]).first()
-        size, flat = found[0], [x or 0.0 for x in found[1:]]
-    else:
-        used = features.select("feature", F.when(train, _class_number(classes)).alias("c"), "value")
-        cell = F.when(F.col("c").isNotNull(), F.struct("c", "s"))
-        sums = (
-            used.groupBy("feature", "c").agg(F.sum("value").alias("s"))
-            .groupBy("feature").agg(F.collect_list(cell).alias("cells"))
-        )
-        sums = staged(sums, "nb")
-        size, flat = sums.count(), [0.0] * k
-        for r in sums.select(F.inline("cells")).groupBy("c").agg(F.sum("s").alias("s")).collect():
-            flat[r["c"]] = r["s"]
-    totals = tuple(tuple(flat[j * k : (j + 1) * k]) for j in range(folds))
-    return MultinomialNB(tuple(classes), tuple(map(tuple, n_docs)), totals, size, sums, dense, alpha)
+    used = features.select("feature", F.when(train, _class_number(classes)).alias("c"), fold.alias("_fold"), "value")
+    by_fold = F.array(*[F.sum(F.when(F.col("_fold") == j, F.col("value")).otherwise(0.0)) for j in range(folds)])
+    cell = F.when(F.col("c").isNotNull(), F.struct("c", "s"))
+    sums = (
+        used.groupBy("feature", "c").agg(by_fold.alias("s"))
+        .groupBy("feature").agg(F.collect_list(cell).alias("cells"))
+    )
+    sums = staged(sums, "nb")
+    totals = [[0.0] * k for _ in range(folds)]
+    over_all = [F.sum(F.get("s", F.lit(j))) for j in range(folds)]
+    for r in sums.select(F.inline("cells")).groupBy("c").agg(*over_all).collect():
+        for j in range(folds):
+            totals[j][r["c"]] = r[j + 1]
+    return MultinomialNB(
+        tuple(classes), tuple(map(tuple, n_docs)), tuple(map(tuple, totals)), sums.count(), sums, alpha
+    )
 
 
 def softmax(scores: Column) -> Column:
@@ -168,100 +147,65 @@ def best_of(classes: Sequence[str], scores: Column) -> Column:
     return F.get(F.array(*[F.lit(c) for c in classes]), at)
 
 
-def _dense_scores(known, ids, model: MultinomialNB, alphas, fold) -> DataFrame:
-    k, folds = len(model.classes), model.folds
-    value = F.col("value")
-
-    def seen(c: int) -> Column:
-        """Sum of class ``c`` outside the fold of the row, 0 where unknown."""
-        total = sum((F.get("s", F.lit(j * k + c)) for j in range(1, folds)), F.get("s", F.lit(c)))
-        if fold is not None:
-            own = F.get("s", F.col(fold) * k + c)
-            total = total - F.coalesce(own, F.lit(0.0))
-        return F.coalesce(total, F.lit(0.0))
-
-    rows = known.select(
-        *ids, value, F.when(F.col("s").isNotNull(), value).otherwise(0.0).alias("_v"),
-        *[seen(c).alias(f"_s{c}") for c in range(k)],
-    )
-    gains = [
-        F.sum(value * F.log(F.col(f"_s{c}") / a + 1.0)).alias(f"_g{i}_{c}")
-        for i, a in enumerate(alphas) for c in range(k)
-    ]
-    sums = rows.groupBy(*ids).agg(F.sum("_v").alias("_t"), *gains)
-
-    def by_fold(values) -> Column:
-        """A number that depends on the fold; rows without a fold use all."""
-        if fold is None:
-            return F.lit(values(None))
-        per_fold = F.array(*[F.lit(values(j)) for j in range(folds)])
-        return F.coalesce(F.get(per_fold, F.col(fold)), F.lit(values(None)))
-
-    results = []
-    for i, a in enumerate(alphas):
-        scores = F.array(
-            *[
-                by_fold(lambda j: model.log_priors(j)[c])
-                - F.col("_t") * by_fold(lambda j: model.penalties(j, a)[c])
-                + F.col(f"_g{i}_{c}")
-                for c in range(k)
-            ]
-        )
-        results.append(F.struct(F.lit(float(a)).alias("alpha"), scores.alias("scores")))
-    return sums.select(*ids, F.inline(F.array(*results)))
-
-
-def _sparse_scores(known, ids, model: MultinomialNB, alpha: float) -> DataFrame:
-    """The same sums with one row for each document and class seen."""
-    value = F.col("value")
-    total_cell = F.array(F.struct(F.lit(-1).alias("c"), F.lit(0.0).alias("s")))
-    cells = F.concat(total_cell, F.coalesce("cells", F.array().cast("array<struct<c:int,s:double>>")))
-    in_vocab = F.when(F.col("cells").isNotNull(), value).otherwise(0.0)
-    rows = known.select(*ids, value, in_vocab.alias("_v"), F.inline(cells))
-    gain = F.when(F.col("c") < 0, F.col("_v")).otherwise(value * F.log(F.col("s") / alpha + 1.0))
-    parts = rows.groupBy(*ids, "c").agg(F.sum(gain).alias("g"))
-    gains = F.map_from_entries(F.collect_list(F.struct("c", "g"))).alias("_g")
-    fixed = F.array(
-        *[
-            F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(i).alias("i"))
-            for i, (p, q) in enumerate(zip(model.log_priors(), model.penalties(None, alpha)))
-        ]
-    )
-    gathered = parts.groupBy(*ids).agg(gains).withColumn("_t", F.try_element_at("_g", F.lit(-1)))
-    scores = F.transform(
-        fixed,
-        lambda x: x["p"] - F.col("_t") * x["q"] + F.coalesce(F.try_element_at(F.col("_g"), x["i"]), F.lit(0.0)),
-    )
-    return gathered.select(*ids, F.lit(float(alpha)).alias("alpha"), scores.alias("scores"))
-
-
 def score(
     features: DataFrame,
     model: MultinomialNB,
     keep: Sequence[str] = (),
     fold: str | None = None,
     alphas: Sequence[float] | None = None,
+    docs: DataFrame | None = None,
     **join,
 ) -> DataFrame:
     """``doc_id, *keep, alpha, scores, predicted``: log scores by class.
 
-    With ``fold``, a row is scored by the model without its fold; rows whose
-    fold is null are scored by the whole model.  Several smoothing values are
-    scored by the same join.
+    Rows of ``docs`` without a feature get the class shares; without ``docs``
+    only documents that have feature rows are scored.  With ``fold``, a row is
+    scored by the model without its fold; rows whose fold is null are scored by
+    the whole model.  Several smoothing values are scored by the same join.
     """
     ids = ["doc_id", *keep] + ([fold] if fold and fold not in keep else [])
     alphas = [model.alpha] if alphas is None else list(alphas)
-    k = len(model.classes)
-    cells = k * model.folds
-    known = lookup_join(features, model.sums, ["feature"], "left", row_bytes=64 + 16 * cells, **join)
-    if model.dense:
-        step = max(1, WIDE // k)
-        parts = [
-            _dense_scores(known, ids, model, alphas[i : i + step], fold) for i in range(0, len(alphas), step)
-        ]
-    else:
-        parts = [_sparse_scores(known, ids, model, a) for a in alphas]
-    scored = reduce(lambda a, b: a.unionByName(b), parts)
+    value = F.col("value")
+    known = lookup_join(features, model.sums, ["feature"], "left", row_bytes=64 + 24 * len(model.classes), **join)
+
+    def seen(x: Column) -> Column:
+        """Sum of a class outside the fold of the row."""
+        own = F.coalesce(F.get(x["s"], F.col(fold)), F.lit(0.0)) if fold else F.lit(0.0)
+        return F.struct(x["c"].alias("c"), F.greatest(F.lit(0.0), _total(x["s"]) - own).alias("s"))
+
+    # class -1 stands for the sum of known values
+    whole = F.array(F.struct(F.lit(-1).alias("c"), F.lit(0.0).alias("s")))
+    cells = F.concat(whole, F.transform("cells", seen))
+    rows = known.where("cells IS NOT NULL").select(*ids, value, F.inline(cells))
+    gains = [
+        F.sum(F.when(F.col("c") < 0, value).otherwise(value * F.log(F.col("s") / a + 1.0))).alias(f"g{i}")
+        for i, a in enumerate(alphas)
+    ]
+    parts = rows.groupBy(*ids, "c").agg(*gains)
+    by_class = F.map_from_entries(F.collect_list(F.struct("c", F.array(*[f"g{i}" for i in range(len(alphas))]))))
+    found = parts.groupBy(*ids).agg(by_class.alias("_g"))
+    every = features.select(*ids).distinct() if docs is None else docs.select(*ids)
+    found = every.join(found.select("doc_id", "_g"), "doc_id", "left")
+
+    def gained(c: Column, i: int) -> Column:
+        return F.coalesce(F.get(F.try_element_at("_g", c), F.lit(i)), F.lit(0.0))
+
+    def by_fold(values) -> Column:
+        """Numbers by class that depend on the fold; rows without a fold use all."""
+        if fold is None:
+            return F.lit(values(None))
+        table = F.array(*[F.lit(values(j)) for j in [*range(model.folds), None]])
+        return F.get(table, F.coalesce(F.col(fold), F.lit(model.folds)))
+
+    def log_scores(i: int, a: float) -> Column:
+        fixed = F.arrays_zip(by_fold(model.log_priors).alias("p"), by_fold(lambda j: model.penalties(j, a)).alias("q"))
+        mass = gained(F.lit(-1), i)
+        return F.transform(fixed, lambda x, c: x["p"] - mass * x["q"] + gained(c, i))
+
+    results = [
+        F.struct(F.lit(float(a)).alias("alpha"), log_scores(i, a).alias("scores")) for i, a in enumerate(alphas)
+    ]
+    scored = found.select(*ids, F.inline(F.array(*results)))
     return scored.withColumn("predicted", best_of(model.classes, F.col("scores")))
 
 
@@ -273,29 +217,19 @@ def cross_fit(
     keep: Sequence[str] = (),
     train: Column | None = None,
     asked: Column | None = None,
-    wide: int = WIDE,
     **join,
 ) -> tuple[DataFrame, MultinomialNB]:
     """Every document scored by a model that has not seen its fold, and the
     model of all training rows.
 
     ``features`` is read twice: once for the sums, once for the scores of the
-    rows that are ``asked`` for.  Only with more classes than fit into one row
-    is it read once for each fold.
+    rows that are ``asked`` for.  Every row of ``docs`` that is asked for gets a
+    score, also without a feature.
     """
     ids = list(dict.fromkeys(["fold", *keep]))
-    used = F.lit(True) if train is None else train
-    wanted = features if asked is None else features.where(asked)
-    classes = sorted(r["label"] for r in docs.where(used).select("label").distinct().collect())
-    if len(classes) * folds <= wide:
-        model = fit(features, docs, train=train, folds=folds, wide=wide)
-        return score(wanted, model, ids, "fold", alphas, **join), model.merged()
-    whole = fit(features, docs, train=used, wide=wide, classes=classes)
-    parts = [score(wanted.where(F.col("fold").isNull()), whole, ids, None, alphas, **join)]
-    for j in range(folds):
-        model = fit(features, docs, train=used & (F.col("fold") != j), wide=wide, classes=classes)
-        parts.append(score(wanted.where(F.col("fold") == j), model, ids, None, alphas, **join))
-    return reduce(lambda a, b: a.unionByName(b), parts), whole
+    wanted, every = (features, docs) if asked is None else (features.where(asked), docs.where(asked))
+    model = fit(features, docs, train=train, folds=folds)
+    return score(wanted, model, ids, "fold", alphas, docs=every, **join), model.merged()
 
 
 def out_of_fold(*args, **kwargs) -> DataFrame:

@@ -201,7 +201,7 @@ class Experiment:
             test_rows = self._features(test_docs, outside)
             if maxima is not None:
                 test_rows = scale_max_abs(test_rows, maxima, **self.join)
-            tested = naive_bayes.score(test_rows, model, keep, **self.join)
+            tested = naive_bayes.score(test_rows, model, keep, docs=outside, **self.join)
             final = final.unionByName(tested.select("doc_id", *keep, "predicted"))
             sides = sides.unionByName(outside.select(sides.columns))
         final = staged(final, "predictions")

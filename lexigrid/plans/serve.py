@@ -22,9 +22,14 @@ def vectorize(
     return extract_features(by_document(docs), extractors, cleaner, keep)
 
 
-def classify_features(features: DataFrame, model: MultinomialNB, keep: Sequence[str] = (), **join) -> DataFrame:
-    """``doc_id, *keep, proba, predicted, probability`` from feature rows."""
-    scored = naive_bayes.score(features, model, keep, **join)
+def classify_features(
+    features: DataFrame, model: MultinomialNB, keep: Sequence[str] = (), docs: DataFrame | None = None, **join
+) -> DataFrame:
+    """``doc_id, *keep, proba, predicted, probability`` from feature rows.
+
+    ``docs`` lists the documents, so that those without a feature are not lost.
+    """
+    scored = naive_bayes.score(features, model, keep, docs=docs, **join)
     return scored.select("doc_id", *keep, *_results(model))
 
 
@@ -50,15 +55,7 @@ def classify(
 
     A text without any known feature gets the class shares.
     """
-    scored = naive_bayes.score(vectorize(docs, extractors, cleaner, keep), model, keep, **join)
-    every = docs.select("doc_id", *keep)
-    found = every.join(scored.select("doc_id", "scores", "predicted"), "doc_id", "left")
-    priors = F.array(*[F.lit(float(p)) for p in model.log_priors()])
-    filled = found.withColumn("scores", F.coalesce("scores", priors))
-    best = naive_bayes.best_of(model.classes, F.col("scores"))
-    return filled.withColumn("predicted", F.coalesce("predicted", best)).select(
-        "doc_id", *keep, *_results(model)
-    )
+    return classify_features(vectorize(docs, extractors, cleaner, keep), model, keep, docs, **join)
 
 
 def best_only(classified: DataFrame) -> DataFrame:

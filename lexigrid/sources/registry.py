@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lexigrid.fixed_values import CONFIG_TITLES, OVERVIEW_COLUMNS
 from lexigrid.operators.naive_bayes import MultinomialNB
@@ -43,8 +43,10 @@ class Registry:
         )
 
     def table(self, table: str) -> DataFrame:
-        found = self.spark.read.parquet(self.path(table))
-        return found.withColumn("name", F.col("name").cast("string"))
+        found = self.spark.read.parquet(self.path(table)).schema
+        # names are text, also those that look like numbers or dates
+        fields = [StructField("name", StringType()) if f.name == "name" else f for f in found]
+        return self.spark.read.schema(StructType(fields)).parquet(self.path(table))
 
     def component(self, table: str, name: str) -> DataFrame:
         """The rows of one experiment."""
@@ -66,7 +68,7 @@ class Registry:
         """Store a fitted model: class numbers as one row, sums as a table."""
         row = {
             "classes": model.classes, "docs": model.docs, "totals": model.totals,
-            "vocabulary_size": model.vocabulary_size, "dense": model.dense, "alpha": model.alpha,
+            "vocabulary_size": model.vocabulary_size, "alpha": model.alpha,
         }
         meta = self.spark.createDataFrame([(name, json.dumps(row), features)], "name string, model string, features array<string>")
         self.upsert("model", meta)
@@ -79,7 +81,7 @@ class Registry:
         row = json.loads(found["model"])
         return MultinomialNB(
             tuple(row["classes"]), tuple(map(tuple, row["docs"])), tuple(map(tuple, row["totals"])),
-            row["vocabulary_size"], self.component("sums", name).drop("name"), row["dense"], row["alpha"],
+            row["vocabulary_size"], self.component("sums", name).drop("name"), row["alpha"],
         )
 
 

@@ -137,3 +137,18 @@ def test_experiment_with_estimators(spark, docs, tmp_path):
     registry = Registry(spark, str(tmp_path / "registry"))
     run.save(registry)
     assert registry.fetch("name", "stages").first()["test_score"] == 1.0
+
+
+def test_names_and_models_side_by_side(spark, docs, tmp_path):
+    from lexigrid.operators import naive_bayes
+    from lexigrid.sources.registry import Registry, records
+
+    registry = Registry(spark, str(tmp_path / "side"))
+    registry.upsert("overview", records(spark, [{"name": n, "clf": "x"} for n in ("007", "7", "2020-01-01")]))
+    assert [registry.fetch("name", n).first()["name"] for n in ("007", "7", "2020-01-01")] == ["007", "7", "2020-01-01"]
+    many = docs.withColumn("label", F.concat(F.lit("c"), F.col("doc_id") % 20)).withColumn("fold", F.lit(0))
+    words = Ngrams("text", (1,))
+    registry.save_model("007", naive_bayes.fit(words(docs, ["label"]), docs), ["w"])
+    registry.save_model("big", naive_bayes.fit(words(many, ["label", "fold"]), many, folds=3), ["w"])
+    assert registry.load_model("007").classes == ("neg", "pos") and len(registry.load_model("big").classes) == 20
+    assert registry.load_model("big").merged().sums.count() == registry.load_model("007").sums.count()

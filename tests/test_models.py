@@ -59,13 +59,11 @@ def test_prior_is_not_smoothed(spark):
     assert [math.exp(p) for p in model.log_priors()] == pytest.approx([0.75, 0.25])
 
 
-@pytest.mark.parametrize("wide", [64, 0])
 @pytest.mark.parametrize("alpha", [1.0, 0.3])
-def test_scores_equal_brute_force(spark, docs, wide, alpha):
+def test_scores_equal_brute_force(spark, docs, alpha):
     side = docs.withColumn("train", F.col("doc_id") % 4 != 0)
     rows = words(side, ["label", "train"])
-    model = naive_bayes.fit(rows, side, alpha, F.col("train"), wide=wide)
-    assert model.dense == (wide > 0)
+    model = naive_bayes.fit(rows, side, alpha, F.col("train"))
     got = scores_of(naive_bayes.score(rows.where(~F.col("train")), model))
     table = by_id(docs)
     train = [i for i in table if i % 4]
@@ -80,12 +78,11 @@ def test_unknown_words_do_not_count(spark, docs):
     assert scores_of(naive_bayes.score(words(other), model))[1] == pytest.approx(expected[1000], abs=1e-8)
 
 
-@pytest.mark.parametrize("wide", [64, 1])
-def test_out_of_fold_equals_training_again(spark, docs, wide):
+def test_out_of_fold_equals_training_again(spark, docs):
     side = docs.withColumn("fold", F.when(F.col("doc_id") < 32, F.expr("cast((doc_id div 3) % 3 AS int)")))
     rows = words(side, ["label", "fold"])
     train = F.col("fold").isNotNull()
-    got = scores_of(naive_bayes.out_of_fold(rows, side, 3, train=train, wide=wide))
+    got = scores_of(naive_bayes.out_of_fold(rows, side, 3, train=train))
     table = by_id(docs)
     expected = {}
     for f in range(3):
@@ -106,13 +103,46 @@ def test_a_model_with_folds_is_also_the_model_of_all(spark, docs):
     assert weights == pytest.approx(again) and ("pos", "text-good") in weights and ("neg", "text-good") not in weights
 
 
-def test_many_classes_give_the_same_as_few(spark):
-    rows = spark.createDataFrame(
-        [(i, f"w{i % 9} w{i % 4}", f"c{i % 9}") for i in range(60)], "doc_id bigint, text string, label string"
-    )
-    dense = scores_of(naive_bayes.score(words(rows), naive_bayes.fit(words(rows), rows)))
-    sparse = scores_of(naive_bayes.score(words(rows), naive_bayes.fit(words(rows), rows, wide=4)))
-    same(dense, sparse)
+def test_many_classes_and_folds(spark):
+    rows = [(i, f"w{i % 20} w{i % 4}", f"c{i % 20:02}", i // 20 % 5) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label string, fold int")
+    got = scores_of(naive_bayes.out_of_fold(words(docs, ["label", "fold"]), docs, 5))
+    table = by_id(docs)
+    expected = {}
+    for f in range(5):
+        expected.update(brute(table, [i for i in table if rows[i][3] != f], [i for i in table if rows[i][3] == f]))
+    same(got, expected)
+
+
+def test_documents_without_features_are_scored(spark):
+    rows = [(i, "good day" if i % 3 == 0 else "bad day" if i % 3 == 1 else "", "abc"[i % 3], i // 3 % 4) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label string, fold int")
+    feats = words(docs, ["label", "fold"]).where("doc_id % 3 <> 2")
+    found = naive_bayes.out_of_fold(feats, docs, 4, keep=["label"]).collect()
+    assert len(found) == 60
+    predicted = {r["doc_id"]: r["predicted"] for r in found}
+    assert all(predicted[i] == "ab"[i % 3] for i in range(60) if i % 3 < 2)
+    shares = [math.log(1 / 3)] * 3
+    assert all(r["scores"] == pytest.approx(shares) for r in found if r["doc_id"] % 3 == 2)
+    report = {r["label"]: r["support"] for r in metrics.class_report(naive_bayes.out_of_fold(feats, docs, 4, keep=["label"])).collect()}
+    assert report == {"a": 20, "b": 20, "c": 20}
+
+
+def test_rows_without_a_label_are_not_learned_from(spark, docs):
+    more = docs.unionByName(spark.createDataFrame([(900, "good bad", None)], "doc_id bigint, text string, label string"))
+    assert naive_bayes.fit(words(more, ["label"]), more).classes == ("neg", "pos")
+
+
+def test_gaussian_keeps_the_variance_of_large_values(spark):
+    rows = [(i, "stamp", 1.7e9 + (i % 2) * 10 + i / 100, "xy"[i % 2]) for i in range(100)]
+    feats = spark.createDataFrame(rows, "doc_id bigint, feature string, value double, label string")
+    labels = feats.select("doc_id", "label")
+    more = labels.unionByName(spark.createDataFrame([(500, "x")], "doc_id bigint, label string"))
+    model = gaussian.fit(feats, labels)
+    got = {r["doc_id"]: r["predicted"] for r in gaussian.score(feats, model, docs=more).collect()}
+    assert len(got) == 101 and all(got[i] == "xy"[i % 2] for i in range(100))
+    with pytest.raises(ValueError, match="varies"):
+        gaussian.fit(feats.withColumn("value", F.lit(0.0)), labels)
 
 
 def test_probabilities_sum_to_one(spark):
