@@ -68,7 +68,7 @@ def main() -> None:
     args.add_argument("names", nargs="*")
     args = args.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
-    spark, connection = local_session(8), connect(sf_dir)
+    spark, connection = local_session(int(__import__("os").environ.get("BENCH_CPUS", "8"))), connect(sf_dir)
     bad = 0
     for name in args.names or QUERIES:
         try:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexigrid import fixed_values as V
 from lexigrid.catalog.base import (
+    ORACLES,
     CHARS, LANGUAGE_SQL, WORDS, counts_sql, language_docs, query, split_sql, table,
 )
 from lexigrid.catalog.texts import (
@@ -22,7 +23,6 @@ from lexigrid.operators.placement import by_document
 from lexigrid.operators.splits import stratified_split
 from lexigrid.operators.annotate import annotate
 from lexigrid.session import staged
-from lexigrid.sources.readers import spread
 
 DOCS = "SELECT doc_id, text FROM documents"
 
@@ -123,12 +123,12 @@ def _wide(features, names, digits=9):
 @query(_text_stats_sql(DOCS))
 def text_stats(spark, sf_dir):
     """Flooding, punctuation, number and emoticon statistics of whole texts."""
-    return _wide(SimpleStats(True, False, False)(spread(language_docs(spark, sf_dir))), V.TEXT_STAT_NAMES)
+    return _wide(SimpleStats(True, False, False)(by_document(language_docs(spark, sf_dir))), V.TEXT_STAT_NAMES)
 
 
 @query(_text_stats_sql(f"SELECT doc_id, {_SOCIAL} AS text FROM documents"))
 def clean_text_stats(spark, sf_dir):
-    docs = with_clean(spread(language_docs(spark, sf_dir)), social_clean)
+    docs = with_clean(by_document(language_docs(spark, sf_dir)), social_clean)
     return _wide(SimpleStats(True, False, False)(docs), V.TEXT_STAT_NAMES)
 
 
@@ -168,25 +168,25 @@ def sentence_length(spark, sf_dir):
     return rows.withColumn("value", F.round("value", 9))
 
 
+def _long(sql: str) -> str:
+    """Statistics in columns as feature rows."""
+    return f"SELECT doc_id, feature, value FROM (UNPIVOT ({sql}) ON COLUMNS(* EXCLUDE (doc_id)) INTO NAME feature VALUE value)"
+
+
 @query(
-    "SELECT doc_id, unnest(['word_len', 'num_num', 'avg_sent_len']) AS feature, unnest([a, b, c]) AS value FROM"
-    " (SELECT p.doc_id, list_sum(list_transform(tokens, lambda t: length(t)))::DOUBLE AS a,"
-    " len(regexp_extract_all(text, '[0-9]+'))::DOUBLE AS b, round(len(sents)::DOUBLE / len(list_distinct(sents)), 9) AS c"
-    f" FROM ({_PARSED}) p JOIN documents d ON d.doc_id = p.doc_id)"
+    f"{_long(ORACLES['text_stats'])} UNION ALL {_long(ORACLES['token_stats'].replace(_MARKED_PARSED, _PARSED))}"
+    f" UNION ALL {ORACLES['sentence_length']}"
 )
 def stat_groups(spark, sf_dir):
-    """All three groups at once; one statistic of each is compared."""
-    rows = SimpleStats()(parsed_docs(spark, sf_dir))
-    return rows.where(F.col("feature").isin("word_len", "num_num", "avg_sent_len")).withColumn(
-        "value", F.round("value", 9)
-    )
+    """All three groups at once."""
+    return SimpleStats()(parsed_docs(spark, sf_dir)).withColumn("value", F.round("value", 9))
 
 
 def _word_vectors(spark, sf_dir):
     """A vector for every word: the one at the word's MD5 modulo their number."""
     vectors = table(spark, sf_dir, "embeddings")
     size = vectors.count()
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = by_document(table(spark, sf_dir, "documents"))
     words = docs.select(F.explode(F.split("text", " ")).alias("token")).distinct()
     words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     number = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % size
@@ -230,7 +230,7 @@ _VOWEL_SQL = "SELECT doc_id, 'text-' AS feature, len(regexp_extract_all(text, '[
 @query(f"{_VOWEL_SQL} UNION ALL {_FIRST_SQL}")
 def custom_extractor(spark, sf_dir):
     """Features from a Python function."""
-    return Custom(_vowels_first, "vowels")(spread(language_docs(spark, sf_dir)))
+    return Custom(_vowels_first, "vowels")(by_document(language_docs(spark, sf_dir)))
 
 
 @query(

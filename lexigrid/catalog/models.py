@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigrid import fixed_values as V
+from lexigrid.catalog import extraction  # noqa: F401  (its SQL is used here)
 from lexigrid.catalog.base import (
+    ORACLES,
     CHARS, LANGUAGE_SQL, PREDICTED_SQL, QUALITY_SQL, ROLE_SQL, WORDS, averages_sql, counts_sql,
     language_docs, nb_sql, quality_docs, query, quotas_sql, ranks_sql, role_docs, split_sql, table,
 )
@@ -17,7 +19,7 @@ from lexigrid.plans.estimator_experiment import EstimatorExperiment
 from lexigrid.plans.experiment import ExperimentConfig
 from lexigrid.plans.serve import best_only, classify, classify_features, hard_labels, vectorize as vectorize_texts
 from lexigrid.session import new_path, staged
-from lexigrid.sources.readers import read_docs, spread
+from lexigrid.sources.readers import read_docs
 from lexigrid.streaming.classify import classify_stream
 
 CHAR3 = Ngrams("char", (3,))
@@ -118,7 +120,7 @@ def language_identification(spark, sf_dir):
 
 def _language_model(spark, sf_dir):
     docs = language_docs(spark, sf_dir)
-    grams = gram_occurrences(spread(docs), "char", (3,), keep=["label"])
+    grams = gram_occurrences(by_document(docs), "char", (3,), keep=["label"])
     return naive_bayes.fit(grams.withColumn("value", F.lit(1.0)), docs)
 
 
@@ -204,13 +206,13 @@ def external_test_set(spark, sf_dir):
 
 # Gaussian naive Bayes on text statistics.
 
-_GAUSS = ("num_punc", "num_num", "n_chars")
+_GAUSS = (*V.TEXT_STAT_NAMES, "n_chars")
 
 
 @query(
-    "WITH d AS (SELECT doc_id, lang AS label, len(regexp_extract_all(text, '[!?.,:;()\"''\\-]+'))::DOUBLE AS num_punc,"
-    " len(regexp_extract_all(text, '[0-9]+'))::DOUBLE AS num_num, n_chars::DOUBLE AS n_chars FROM documents),"
-    " x AS (UNPIVOT d ON num_punc, num_num, n_chars INTO NAME feature VALUE value),"
+    f"WITH d AS (SELECT s.*, lang AS label, n_chars::DOUBLE AS n_chars FROM ({ORACLES['text_stats']}) s"
+    " JOIN documents USING (doc_id)),"
+    f" x AS (UNPIVOT d ON {', '.join(_GAUSS)} INTO NAME feature VALUE value),"
     " e AS (SELECT 1e-9 * max(var) AS e FROM (SELECT var_pop(value) AS var FROM x GROUP BY feature)),"
     " m AS (SELECT label, feature, avg(value) AS mu, var_pop(value) + any_value(e) AS var FROM x, e GROUP BY label, feature),"
     " c AS (SELECT label, ln(count(*)::DOUBLE / sum(count(*)) OVER ()) AS prior FROM d GROUP BY label)"
@@ -221,9 +223,9 @@ def gaussian_nb(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("label", F.col("lang"))
     rows = extract_features(docs, [SimpleStats(True, False, False), Meta(("n_chars",))], keep=["label"])
     rows = rows.withColumn("feature", F.replace("feature", F.lit("meta_"), F.lit("")))
-    rows = staged(rows.where(F.col("feature").isin(*_GAUSS)), "features")
+    rows = staged(rows.withColumn("value", F.round("value", 9)), "features")
     model = gaussian.fit(rows, docs)
-    scored = gaussian.score(rows, model)
+    scored = gaussian.score(rows, model, docs=docs)
     labels = F.array(*[F.lit(c) for c in model.classes])
     pairs = scored.select("doc_id", F.inline(F.arrays_zip(labels.alias("label"), F.col("scores").alias("score"))))
     return pairs.withColumn("score", F.round("score", 4))
@@ -247,7 +249,7 @@ def _stat_vectors(spark, sf_dir):
 def linear_svm(spark, sf_dir):
     """A linear SVM with probabilities, on scaled text statistics."""
     vectors = _stat_vectors(spark, sf_dir)
-    model = estimators.fit_labelled(estimators.linear_svm(1.0, vectors.count(), max_iter=20), vectors)
+    model = estimators.fit_labelled(estimators.linear_svm(1.0, vectors.count()), vectors)
     return model.transform(vectors).select("doc_id", "label", "predicted")
 
 
@@ -272,10 +274,10 @@ def estimator_grid(spark, sf_dir):
 @query()
 def svm_experiment(spark, sf_dir):
     """A whole experiment with a scaler and a grid over a linear SVM."""
-    docs = quality_docs(spark, sf_dir)
+    docs = language_docs(spark, sf_dir)
     n = docs.count()
-    svm = estimators.Pipe("clf", estimators.linear_svm(1.0, n, max_iter=5), {"regParam": [1.0 / n, 10.0 / n]})
-    config = ExperimentConfig("svm", extractors=[SimpleStats(True, False, False)], max_abs=True, cv=2)
+    svm = estimators.Pipe("clf", estimators.linear_svm(1.0, n), {"regParam": [1.0 / n, 10.0 / n]})
+    config = ExperimentConfig("svm", extractors=[SimpleStats(True, False, False)], max_abs=True)
     return EstimatorExperiment(config, [svm]).run(docs).report
 
 

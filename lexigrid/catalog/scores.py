@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigrid.catalog.base import averages_sql, language_docs, quality_docs, query, report_sql, table
-from lexigrid.catalog.models import role_run, role_sql
-from lexigrid.operators import metrics, naive_bayes
-from lexigrid.operators.ranking import exact_rank
+from lexigrid.catalog.models import _curve_part, quality_run, role_run, role_sql
+from lexigrid.operators import metrics, naive_bayes, selection, splits
 from lexigrid.session import staged
 
 
@@ -113,32 +112,15 @@ def label_baseline(spark, sf_dir):
     return _rounded(metrics.label_distribution(language_docs(spark, sf_dir)), "share", "baseline")
 
 
-_PARTS = (0.25, 0.5, 0.75)
-
-
-@query(
-    "WITH r AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) * 1.0::DOUBLE / count(*) OVER () AS place FROM documents),"
-    " p AS (SELECT unnest([0.25, 0.5, 0.75, 1.0])::DOUBLE AS prop)"
-    " SELECT prop, round(avg((lang = 'en')::INT), 6) AS train, 0.0::DOUBLE AS test FROM r JOIN p ON place <= prop WHERE prop < 1 GROUP BY prop"
-    " UNION ALL SELECT 1.0::DOUBLE, round(avg((lang = 'en')::INT), 6), round(avg((source = 'src0')::INT), 6) FROM documents"
-)
+@query(" UNION ALL ".join(_curve_part(p, 3) for p in (3, 2, 1)))
 def score_series(spark, sf_dir):
-    """Curve and final scores in one series; missing scores are 0.
-
-    The scores here are shares of English among the first documents.
-    """
-    docs = language_docs(spark, sf_dir).select("doc_id", "label")
-    n = docs.count()
-    ranked = exact_rank(docs, ["doc_id"])
-    en = F.when(F.col("label") == "en", 1.0).otherwise(0.0)
-    shares = ranked.select("label", F.explode(F.array(*[F.lit(p) for p in _PARTS])).alias("prop"), "rank")
-    curve = (
-        shares.where((F.col("rank") + 1) / n <= F.col("prop")).groupBy("prop")
-        .agg(F.round(F.avg(en), 6).alias("train")).withColumn("test", F.lit(None).cast("double"))
-    )
-    first = F.when(F.col("source") == "src0", 1.0).otherwise(0.0)
-    english = F.when(F.col("lang") == "en", 1.0).otherwise(0.0)
-    final = table(spark, sf_dir, "documents").agg(
-        F.round(F.avg(english), 6).alias("train"), F.round(F.avg(first), 6).alias("test")
+    """Learning curve and final scores in one series."""
+    sides, rows = quality_run(spark, sf_dir)
+    curve = selection.learning_curve(rows, sides, 3).select("prop", "train", "test")
+    fold = F.when(F.col("split") == "train", splits.fold_of(F.col("rank"), 5))
+    preds = naive_bayes.out_of_fold(
+        rows.withColumn("fold", fold), sides.withColumn("fold", fold), 5, keep=["label", "split"], train=F.col("split") == "train"
     )
-    return metrics.score_series(curve, final)
+    by_split = metrics.averaged_f1(preds, "weighted", ["split"])
+    score = [F.max(F.when(F.col("split") == s, F.col("score"))).alias(s) for s in ("train", "test")]
+    return _rounded(metrics.score_series(curve, by_split.agg(*score)), "train", "test")

@@ -9,6 +9,7 @@ from lexigrid.catalog.base import language_docs, query, table
 from lexigrid.functions import clean
 from lexigrid.operators.annotate import annotate, annotate_with, parse_json, parse_to_json
 from lexigrid.operators.features import custom_cleaner
+from lexigrid.operators.placement import by_document
 from lexigrid.session import new_path
 from lexigrid.sources import readers
 
@@ -48,9 +49,9 @@ def category_filter(spark, sf_dir):
 
 
 @query(
-    "SELECT doc_id, text, lang AS label, 'documents' AS source FROM documents"
-    " UNION ALL SELECT item_id, text, NULL, 'benchmark' FROM benchmark"
-    " UNION ALL SELECT conv_id * 1000 + turn, text, role, 'conversations' FROM conversations"
+    "SELECT doc_id * 3 AS doc_id, text, lang AS label, 'documents' AS source FROM documents"
+    " UNION ALL SELECT item_id * 3 + 1, text, NULL, 'benchmark' FROM benchmark"
+    " UNION ALL SELECT (conv_id * 1000 + turn) * 3 + 2, text, role, 'conversations' FROM conversations"
 )
 def chain_sources(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
@@ -63,6 +64,29 @@ def chain_sources(spark, sf_dir):
     )
 
 
+@query(
+    "SELECT 'documents' AS source, md5(text) AS text, token, count(*)::DOUBLE AS value FROM"
+    " (SELECT doc_id, text, unnest(string_split(text, ' ')) AS token FROM documents) GROUP BY doc_id, text, token"
+    " UNION ALL SELECT 'benchmark', md5(text), token, count(*)::DOUBLE FROM"
+    " (SELECT item_id, text, unnest(string_split(text, ' ')) AS token FROM benchmark) GROUP BY item_id, text, token"
+)
+def chained_csv_words(spark, sf_dir):
+    """Words of each document of two CSV sources that both number their rows from 0."""
+
+    def written(rows):
+        path = new_path(spark, "csv")
+        (
+            rows.select("text").write.option("header", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        )
+        return readers.read_csv(spark, path, "text")
+
+    names = ("documents", "benchmark")
+    docs = by_document(readers.chain({n: written(table(spark, sf_dir, n)) for n in names}))
+    words = docs.select("doc_id", "source", F.md5("text").alias("text"), F.explode(F.split("text", " ")).alias("token"))
+    return words.groupBy("doc_id", "source", "text", "token").agg(F.count("*").cast("double").alias("value")).drop("doc_id")
+
+
 @query(
     "SELECT doc_id, text, label FROM (SELECT doc_id, text, lang AS label,"
     " row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents)"
@@ -92,7 +116,7 @@ _TAIL = (
 
 
 def _crafted(spark, sf_dir):
-    docs = readers.spread(table(spark, sf_dir, "documents"))
+    docs = by_document(table(spark, sf_dir, "documents"))
     parts = [F.col("text")]
     for i, piece in enumerate(_TAIL):
         parts += [F.lit(piece)] + ([F.col("doc_id").cast("string")] if i < len(_TAIL) - 1 else [])
@@ -192,7 +216,7 @@ def _shout(text: str) -> str:
 @query(r"SELECT doc_id, replace(replace(replace(upper(text), 'ß', 'SS'), 'ẞ', 'SS'), 'THE', '<the>') AS text FROM documents")
 def custom_clean(spark, sf_dir):
     """A cleaner written in Python."""
-    docs = readers.spread(table(spark, sf_dir, "documents"))
+    docs = by_document(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", custom_cleaner(_shout)(F.col("text")).alias("text"))
 
 
@@ -287,4 +311,4 @@ def _tagger(text: str) -> list[tuple]:
 )
 def custom_annotator(spark, sf_dir):
     """A tagger written in Python."""
-    return _parse_rows(annotate_with(readers.spread(language_docs(spark, sf_dir)), _tagger))
+    return _parse_rows(annotate_with(by_document(language_docs(spark, sf_dir)), _tagger))

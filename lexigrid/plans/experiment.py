@@ -179,6 +179,9 @@ class Experiment:
         c = self.config
         is_train = F.col("split") == "train"
         sides = split_and_fold(docs, c, hold_out=test_docs is None)
+        twice = sides.groupBy("doc_id").count().where("count > 1").first()
+        if twice:
+            raise ValueError(f"several documents have the id {twice['doc_id']}")
         rows = self._features(docs, sides)
         maxima = None
         if c.max_abs:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lexigrid.operators.annotate import parse_json
 from lexigrid.operators.ranking import exact_rank
+from lexigrid.session import staged
 
 
 def read_docs(
@@ -86,7 +87,8 @@ def read_csv(
     if parse is not None:
         columns.append(parse_json(F.col(f"`{name(parse)}`")).alias("parse"))
     columns += [F.col(f"`{name(c)}`") for c in features]
-    docs = df.select(*columns)
+    # staged, so that ids stay what they are however the files are read again
+    docs = staged(df.select(*columns), "csv")
     return label_cap(docs, selection) if selection else docs
 
 
@@ -101,12 +103,15 @@ def read_texts(spark: SparkSession, texts: Sequence[str]) -> DataFrame:
 def chain(sources: Mapping[str, DataFrame] | Sequence[DataFrame]) -> DataFrame:
     """All rows of all sources, duplicates kept; a mapping adds ``source``.
 
-    Names are aligned; columns a source lacks are null.
+    Names are aligned; columns a source lacks are null.  Row ``i`` of source
+    ``k`` of ``n`` gets the id ``i * n + k``, so documents of different sources
+    that had the same number stay apart.
     """
     if isinstance(sources, Mapping):
         frames = [df.withColumn("source", F.lit(n)) for n, df in sources.items()]
     else:
         frames = list(sources)
+    frames = [df.withColumn("doc_id", F.col("doc_id") * len(frames) + k) for k, df in enumerate(frames)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -137,13 +142,6 @@ def label_cap(docs: DataFrame, caps: Mapping[str, int], order: str = "doc_id") -
     return marked.where(~closed & ~beyond).select(*docs.columns)
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """Deal out documents of a few files to all cores before costly work on
-    each text.  With as many files as cores nothing is moved."""
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if len(docs.inputFiles()) >= cores else docs.repartition(cores)
-
-
 def head_docs(docs: DataFrame, n: int = 5, order: str = "doc_id") -> DataFrame:
     """The first ``n`` documents."""
     return docs.orderBy(order).limit(n)
