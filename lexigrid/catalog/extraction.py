@@ -183,14 +183,13 @@ def stat_groups(spark, sf_dir):
 
 
 def _word_vectors(spark, sf_dir):
-    """A vector for every word: the one at the word's MD5 modulo their number."""
+    """The number of a vector for every word, its MD5 modulo their number; and the vectors."""
     vectors = table(spark, sf_dir, "embeddings")
     size = vectors.count()
     docs = by_document(table(spark, sf_dir, "documents"))
     words = docs.select(F.explode(F.split("text", " ")).alias("token")).distinct()
-    words = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     number = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % size
-    return words.withColumn("vec_id", number).join(vectors.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    return words.withColumn("vec_id", number), vectors.select("vec_id", "embedding")
 
 
 @query(
@@ -200,8 +199,8 @@ def _word_vectors(spark, sf_dir):
     " SELECT doc_id, 'emb_' || i AS feature, round(sum(n * x) / sum(n), 6) AS value FROM w JOIN e ON e.vec_id = w.vec_id GROUP BY doc_id, i"
 )
 def embedding_mean(spark, sf_dir):
-    vectors = staged(_word_vectors(spark, sf_dir), "words")
-    rows = WordEmbeddings(vectors, 64)(by_document(language_docs(spark, sf_dir)))
+    words, vectors = _word_vectors(spark, sf_dir)
+    rows = WordEmbeddings(staged(words, "words"), 64, vectors)(by_document(language_docs(spark, sf_dir)))
     return rows.withColumn("value", F.round("value", 6))
 
 

@@ -10,12 +10,14 @@ from pyspark.ml.base import Estimator, Transformer
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IndexToString, StringIndexer
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lexigrid.operators.metrics import averaged_f1
+from lexigrid.session import staged
 
 
 def to_vectors(cells: DataFrame, size: int, keep: Sequence[str] = (), docs: DataFrame | None = None) -> DataFrame:
@@ -24,13 +26,21 @@ def to_vectors(cells: DataFrame, size: int, keep: Sequence[str] = (), docs: Data
     Only a document's own cells meet in one row.  With ``docs``, every row of
     it gets a vector and keeps its columns, without cells an empty vector.
     """
-    as_vector = F.udf(lambda items: Vectors.sparse(size, [(i["idx"], i["value"]) for i in items or ()]), VectorUDT())
     gathered = cells.groupBy("doc_id", *keep).agg(
         F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_cells")
     )
     if docs is not None:
         gathered = docs.join(gathered.select("doc_id", "_cells"), "doc_id", "left")
-    return gathered.withColumn("features", as_vector("_cells")).drop("_cells")
+    none = F.array().cast("array<struct<idx:int,value:double>>")
+    cell = F.coalesce(F.col("_cells").cast("array<struct<idx:int,value:double>>"), none)
+    sparse = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.transform(cell, lambda x: x["idx"]).alias("indices"), F.transform(cell, lambda x: x["value"]).alias("values"),
+    )
+    plain = gathered.withColumn("features", sparse).drop("_cells")
+    # a vector is stored as this struct, so the table is written as one and read as the other
+    schema = StructType([StructField("features", VectorUDT()) if f.name == "features" else f for f in plain.schema])
+    return staged(plain, "vectors", schema)
 
 
 @dataclass

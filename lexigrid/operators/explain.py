@@ -61,7 +61,10 @@ def _ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, strength: float) -> np.n
     share = w / w.sum()
     xc = (x - share @ x) * np.sqrt(w)[:, None]
     yc = (y - share @ y) * np.sqrt(w)[:, None]
-    return np.linalg.solve(xc.T @ xc + strength * np.eye(x.shape[1]), xc.T @ yc)
+    if x.shape[1] <= x.shape[0]:
+        return np.linalg.solve(xc.T @ xc + strength * np.eye(x.shape[1]), xc.T @ yc)
+    # more words than samples: the same weights from a system of one row for each sample
+    return xc.T @ np.linalg.solve(xc @ xc.T + strength * np.eye(x.shape[0]), yc)
 
 
 def local_weights(

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,7 @@ from lexigrid import fixed_values as V
 from lexigrid.functions.stats import avg_sentence_length, flood_runs, text_stats, token_stats
 from lexigrid.operators.lookup import lookup_join
 from lexigrid.operators.ngrams import ngrams
+from lexigrid.session import staged
 
 Extractor = Callable[[DataFrame, Sequence[str]], DataFrame]
 
@@ -147,27 +150,37 @@ class SimpleStats:
 class WordEmbeddings:
     """Mean vector of the words of a document, as ``emb_<i>``.
 
-    ``vectors`` has unique ``token`` with ``embedding`` of ``size`` numbers.
-    Words without a vector are left out.  The sum keeps one column for each
-    dimension, so rows are not multiplied by the size of a vector.
+    ``vectors`` has unique ``token`` with ``embedding`` of ``size`` numbers or,
+    where words share vectors, with the ``vec_id`` of a row of ``table``.  Words
+    without a vector are left out.  Words are looked up by number first and
+    counted by document and number; vectors come last, once for each number of
+    a document, and are averaged as one column.
     """
 
     vectors: DataFrame
     size: int
+    table: DataFrame | None = None
 
     def __call__(self, docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         ids = ["doc_id", *keep]
+        words, table = self.vectors, self.table
+        if table is None:
+            words = staged(words.withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
+            table = words.select("vec_id", "embedding")
         counted = (
             docs.select(*ids, F.explode(F.split("text", " ")).alias("token"))
             .groupBy(*ids, "token")
             .agg(F.count("*").alias("_n"))
         )
-        found = lookup_join(counted, self.vectors, ["token"], row_bytes=64 + 8 * self.size)
-        dims = [
-            (F.sum(F.col("_n") * F.get("embedding", F.lit(i)).cast("double")) / F.sum("_n")).alias(f"emb_{i}")
-            for i in range(self.size)
-        ]
-        return unstack(found.groupBy(*ids).agg(*dims), [f"emb_{i}" for i in range(self.size)], ids)
+        found = lookup_join(counted, words.select("token", "vec_id"), ["token"], row_bytes=40)
+        numbers = found.groupBy(*ids, "vec_id").agg(F.sum("_n").cast("double").alias("_n"))
+        vector = F.transform("embedding", lambda x: x.cast("double"))
+        table = table.select("vec_id", array_to_vector(vector).alias("_v"))
+        met = lookup_join(numbers, table, ["vec_id"], row_bytes=64 + 8 * self.size)
+        mean = Summarizer.metrics("mean").summary(F.col("_v"), F.col("_n"))["mean"]
+        means = met.groupBy(*ids).agg(vector_to_array(mean).alias("_m"))
+        rows = means.select(*ids, F.posexplode("_m").alias("_i", "value"))
+        return rows.select(*ids, F.concat(F.lit("emb_"), "_i").alias("feature"), "value")
 
     def __str__(self) -> str:
         return "word_embeddings"

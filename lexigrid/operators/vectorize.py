@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lexigrid.operators.lookup import lookup_join
 from lexigrid.operators.ranking import exact_rank
@@ -77,11 +77,12 @@ def fit_idf(features: DataFrame, n_docs: int) -> DataFrame:
 def tf_idf(features: DataFrame, idf: DataFrame, **join) -> DataFrame:
     """Weighted values, scaled to length 1 for each document.
 
-    The window is over one document, whose features lie together already.
+    Squares are added up where rows lie, so one number for each document and
+    task is shuffled and the features themselves stay in place.
     """
     found = lookup_join(features, idf, ["feature"], **join)
     weighted = found.withColumn("value", F.col("value") * F.col("idf")).drop("idf")
-    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("doc_id")))
-    scaled = weighted.withColumn("_length", length)
+    lengths = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_length"))
+    scaled = lookup_join(weighted, lengths, ["doc_id"], row_bytes=32)
     value = F.when(F.col("_length") == 0, 0.0).otherwise(F.col("value") / F.col("_length"))
     return scaled.withColumn("value", value).select(*features.columns)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _local_folders: dict[str, str] = {}
 
@@ -38,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_folders:
@@ -52,8 +54,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
 
 
-def staged(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once as parquet and return the table read back.
+def staged(df: DataFrame, name: str = "table", schema: StructType | None = None) -> DataFrame:
+    """Write ``df`` once as parquet and return the table read back, as ``schema`` if given.
 
     Used where a result is read more than once, or where row order numbers
     must stay fixed.  A lost executor costs one file read, not the lineage.
@@ -61,4 +63,4 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
