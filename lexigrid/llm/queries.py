@@ -54,7 +54,21 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_CRC32 = (
+    "xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),"
+    " lambda a, x: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,"
+    " xor(a, x)), 4294967295), 4294967295)"
+)
+
+
+@query(
+    f"WITH d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, {_CRC32} AS text_crc32 FROM documents),"
+    " r AS (SELECT *, (sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto,"
+    " (sum(size) OVER ())::BIGINT AS total FROM d),"
+    " s AS (SELECT *, least(7, (2 * upto - size) * 8 // (2 * total))::INT AS shard FROM r)"
+    " SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard"
+    " ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM s"
+)
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of nearly equal bytes."""
     rows = table(spark, sf_dir, "documents").select(
@@ -88,7 +102,16 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings"
+    " WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_max(list_transform(embedding, lambda c: abs(c))) > 0),"
+    " l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id"
+    " AND list_cosine_similarity(a.x, b.x) >= 0.9),"
+    " reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),"
+    " c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)"
+    " SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept"
+    " FROM embeddings e JOIN c ON c.vec_id = e.vec_id"
+)
 def op8_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at a cosine of 0.9 or more."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
