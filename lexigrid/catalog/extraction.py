@@ -21,7 +21,8 @@ from lexigrid.operators.features import (
 from lexigrid.operators.ngrams import ngrams
 from lexigrid.operators.placement import by_document
 from lexigrid.operators.splits import stratified_split
-from lexigrid.operators.annotate import annotate
+from lexigrid.operators.annotate import Annotator, annotate
+from lexigrid.plans.experiment import ExperimentConfig, features_of, split_and_fold
 from lexigrid.session import staged
 
 DOCS = "SELECT doc_id, text FROM documents"
@@ -53,6 +54,21 @@ def token_ngrams(spark, sf_dir):
     return ngrams(parsed_docs(spark, sf_dir), "token", (2,))
 
 
+_CLEAN_PARSED = (
+    "SELECT doc_id, list(pos ORDER BY nr) AS tags"
+    f" FROM ({parses_sql(f'SELECT doc_id, {_SOCIAL} AS text FROM documents')}) GROUP BY doc_id"
+)
+
+
+@query(counts_sql(_CLEAN_PARSED, "pos", (2,), "tags"))
+def annotated_experiment(spark, sf_dir):
+    """Tag pairs of cleaned text, cleaned and annotated by the experiment itself."""
+    tagger = Annotator(lambda docs: annotate(docs, lexicon(spark)))
+    config = ExperimentConfig("tags", extractors=[Ngrams("pos", (2,))], cleaner=social_clean, annotator=tagger)
+    docs = language_docs(spark, sf_dir)
+    return features_of(docs, split_and_fold(docs, config), config).select("doc_id", "feature", "value")
+
+
 @query(counts_sql(_PARSED, "pos", (3,), "tags"))
 def pos_ngrams(spark, sf_dir):
     return ngrams(parsed_docs(spark, sf_dir), "pos", (3,))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,6 +25,17 @@ PARSE_TYPE = T.ArrayType(
 )
 
 
+@dataclass(frozen=True)
+class Annotator:
+    """Fills in ``parse`` where it is missing; from raw or from cleaned text.
+
+    ``fill`` is ``annotate`` or ``annotate_with`` with all but the documents given.
+    """
+
+    fill: Callable[[DataFrame], DataFrame]
+    raw: bool = False
+
+
 def parse_json(column: Column) -> Column:
     """Annotations from a JSON column."""
     return F.from_json(column, PARSE)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from lexigrid import fixed_values as V
 from lexigrid.functions.stats import avg_sentence_length, flood_runs, text_stats, token_stats
+from lexigrid.operators.annotate import Annotator
 from lexigrid.operators.lookup import lookup_join
 from lexigrid.operators.ngrams import ngrams
 from lexigrid.session import staged
@@ -275,8 +276,13 @@ def extract_features(
     extractors: Sequence[Extractor],
     cleaner: Callable[[Column], Column] | None = None,
     keep: Sequence[str] = (),
+    annotator: Annotator | None = None,
 ) -> DataFrame:
-    """Clean, run every extractor in order and merge what they give."""
+    """Clean and annotate, run every extractor in order and merge what they give."""
+    if annotator is not None and annotator.raw:
+        docs = annotator.fill(docs)
     if cleaner is not None:
         docs = docs.withColumn("text", cleaner(F.col("text")))
+    if annotator is not None and not annotator.raw:
+        docs = annotator.fill(docs)
     return merge_features([e(docs, keep) for e in extractors], keep)

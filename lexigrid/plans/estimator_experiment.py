@@ -42,7 +42,7 @@ class FittedEstimators:
         A text without any known feature is an empty vector.
         """
         c = self.config
-        rows = extract_features(by_document(docs), c.extractors, c.cleaner)
+        rows = extract_features(by_document(docs), c.extractors, c.cleaner, annotator=c.annotator)
         if self.maxima is not None:
             rows = vectorize.scale_max_abs(rows, self.maxima)
         cells = vectorize.transform(rows, self.vocabulary)

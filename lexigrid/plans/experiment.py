@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrid.operators import explain, metrics, naive_bayes, selection, splits
+from lexigrid.operators.annotate import Annotator
 from lexigrid.operators.features import Extractor, Ngrams, extract_features
 from lexigrid.operators.naive_bayes import MultinomialNB
 from lexigrid.operators.placement import by_document
@@ -28,6 +29,7 @@ class ExperimentConfig:
     project: str = "-"
     extractors: Sequence[Extractor] = (Ngrams("char", (3,)),)
     cleaner: Callable[[Column], Column] | None = None
+    annotator: Annotator | None = None
     max_abs: bool = False
     alphas: Sequence[float] = (1.0,)
     test_size: float = 0.3
@@ -59,7 +61,7 @@ class FittedExperiment:
 
     def classify(self, docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """``doc_id, *keep, proba, predicted, probability`` of new texts."""
-        return classify(docs, self.model, scaled_extractors(self.config, self.maxima), self.config.cleaner, keep)
+        return classify(docs, self.model, scaled_extractors(self.config, self.maxima), self.config.cleaner, keep, self.config.annotator)
 
     def record(self) -> DataFrame:
         """The row of the overview table."""
@@ -156,7 +158,8 @@ def split_and_fold(docs: DataFrame, c: ExperimentConfig, hold_out: bool = True)
 def features_of(docs: DataFrame, sides: DataFrame, c: ExperimentConfig) -> DataFrame:
     """The feature rows of documents with the columns of ``sides``."""
     placed = by_document(docs.drop("label"), sides)
-    return staged(extract_features(placed, c.extractors, c.cleaner, ["label", "split", "fold", "rank"]), "features")
+    keep = ["label", "split", "fold", "rank"]
+    return staged(extract_features(placed, c.extractors, c.cleaner, keep, c.annotator), "features")
 
 
 @dataclass
@@ -239,4 +242,5 @@ def load_experiment(registry: Registry, config: ExperimentConfig) -> Callable[[D
     """
     model = registry.load_model(config.name)
     maxima = registry.component("maxima", config.name).drop("name") if config.max_abs else None
-    return lambda docs: classify(docs, model, scaled_extractors(config, maxima), config.cleaner)
+    extractors = scaled_extractors(config, maxima)
+    return lambda docs: classify(docs, model, extractors, config.cleaner, annotator=config.annotator)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexigrid.operators import naive_bayes
+from lexigrid.operators.annotate import Annotator
 from lexigrid.operators.features import Extractor, extract_features
 from lexigrid.operators.naive_bayes import MultinomialNB, softmax
 from lexigrid.operators.placement import by_document
@@ -17,9 +18,10 @@ def vectorize(
     extractors: Sequence[Extractor],
     cleaner: Callable[[Column], Column] | None = None,
     keep: Sequence[str] = (),
+    annotator: Annotator | None = None,
 ) -> DataFrame:
     """The feature rows of texts; may be stored and classified elsewhere."""
-    return extract_features(by_document(docs), extractors, cleaner, keep)
+    return extract_features(by_document(docs), extractors, cleaner, keep, annotator)
 
 
 def classify_features(
@@ -49,13 +51,14 @@ def classify(
     extractors: Sequence[Extractor],
     cleaner: Callable[[Column], Column] | None = None,
     keep: Sequence[str] = (),
+    annotator: Annotator | None = None,
     **join,
 ) -> DataFrame:
     """Label probabilities of every text; the best one stands apart.
 
     A text without any known feature gets the class shares.
     """
-    return classify_features(vectorize(docs, extractors, cleaner, keep), model, keep, docs, **join)
+    return classify_features(vectorize(docs, extractors, cleaner, keep, annotator), model, keep, docs, **join)
 
 
 def best_only(classified: DataFrame) -> DataFrame:
