@@ -30,6 +30,11 @@ class MultinomialNB:
     ``docs`` and ``totals`` have a list by class for every fold; without folds
     there is a single one.  ``sums`` has a row for each known feature; its
     ``cells`` are the classes it occurs in, each with its sum in every fold.
+
+    With max-abs scaling, ``sums`` also has ``scale``: the largest value outside
+    each fold and, last, of all.  A scaled sum is the raw one divided by it, so
+    the scaler is refitted for every fold without another pass; ``scaled`` has
+    the class sums that go with it.
     """
 
     classes: tuple[str, ...]
@@ -38,6 +43,7 @@ class MultinomialNB:
     vocabulary_size: int
     sums: DataFrame
     alpha: float = 1.0
+    scaled: tuple[tuple[float, ...], ...] = ()
 
     @property
     def folds(self) -> int:
@@ -48,16 +54,28 @@ class MultinomialNB:
 
     def merged(self) -> "MultinomialNB":
         """The same model without folds."""
-        if self.folds == 1:
+        if self.folds == 1 and not self.scaled:
             return self
-        cells = F.transform("cells", lambda x: F.struct(x["c"].alias("c"), F.array(_total(x["s"])).alias("s")))
+        by = _divisor(F.get("scale", F.lit(self.folds))) if self.scaled else F.lit(1.0)
+        cells = F.transform("cells", lambda x: F.struct(x["c"].alias("c"), F.array(_total(x["s"]) / by).alias("s")))
         return replace(
             self,
             docs=(tuple(self._without(self.docs, None)),),
-            totals=(tuple(self._without(self.totals, None)),),
+            totals=(tuple(self._masses(None)),),
             sums=self.sums.select("feature", cells.alias("cells")),
+            scaled=(),
         )
 
+    def maxima(self) -> DataFrame:
+        """``feature, max_abs`` over all training rows, of a scaled model."""
+        return self.sums.select("feature", F.get("scale", F.lit(self.folds)).alias("max_abs"))
+
+    def _masses(self, fold: int | None) -> list[float]:
+        """Sums of values by class outside a fold, scaled if values are."""
+        if self.scaled:
+            return list(self.scaled[self.folds if fold is None else fold])
+        return self._without(self.totals, fold)
+
     def _without(self, table: Sequence[Sequence[float]], fold: int | None) -> list[float]:
         """Class sums over all folds but one."""
         return [
@@ -71,10 +89,12 @@ class MultinomialNB:
     def penalties(self, fold: int | None = None, alpha: float | None = None) -> list[float]:
         """What one unit of any known feature costs, by class."""
         a = self.alpha if alpha is None else alpha
-        return [math.log(s / a + self.vocabulary_size) for s in self._without(self.totals, fold)]
+        return [math.log(s / a + self.vocabulary_size) for s in self._masses(fold)]
 
     def weights(self) -> DataFrame:
         """``label, feature, log_prob`` for the features each class has seen."""
+        if self.scaled:
+            return self.merged().weights()
         mass = F.array(*[F.lit(s + self.alpha * self.vocabulary_size) for s in self._without(self.totals, None)])
         names = F.array(*[F.lit(c) for c in self.classes])
         rows = self.sums.select("feature", F.inline("cells")).withColumn("s", _total(F.col("s"))).where(F.col("s") > 0)
@@ -89,6 +109,11 @@ def _total(sums: Column) -> Column:
     return F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _divisor(largest: Column) -> Column:
+    """A largest value of 0 leaves values as they are."""
+    return F.when(largest > 0, largest).otherwise(1.0)
+
+
 def _class_number(classes: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int") - 1
 
@@ -99,6 +124,7 @@ def fit(
     alpha: float = 1.0,
     train: Column | None = None,
     folds: int = 1,
+    max_abs: bool = False,
 ) -> MultinomialNB:
     """Fit on feature rows and documents that both have a ``label``.
 
@@ -106,6 +132,7 @@ def fit(
     vocabulary only, as when the vocabulary is taken before the data is split.
     With more than one fold both inputs have a ``fold`` column.  The class
     list and its counts are on the driver, as labels are few next to rows.
+    ``max_abs`` divides every feature by its largest value in the training rows.
     """
     train = F.col("label").isNotNull() & (F.lit(True) if train is None else train)
     fold = F.col("fold") if folds > 1 else F.lit(0)
@@ -119,18 +146,37 @@ def fit(
     used = features.select("feature", F.when(train, _class_number(classes)).alias("c"), fold.alias("_fold"), "value")
     by_fold = F.array(*[F.sum(F.when(F.col("_fold") == j, F.col("value")).otherwise(0.0)) for j in range(folds)])
     cell = F.when(F.col("c").isNotNull(), F.struct("c", "s"))
+    own = F.col("c").isNotNull()
+    tops = [F.max(F.when(own & (F.col("_fold") == j), F.abs("value"))).alias(f"_m{j}") for j in range(folds if max_abs else 0)]
     sums = (
-        used.groupBy("feature", "c").agg(by_fold.alias("s"))
-        .groupBy("feature").agg(F.collect_list(cell).alias("cells"))
+        used.groupBy("feature", "c").agg(by_fold.alias("s"), *tops)
+        .groupBy("feature").agg(F.collect_list(cell).alias("cells"), *[F.max(f"_m{j}").alias(f"_m{j}") for j in range(len(tops))])
     )
+    if max_abs:
+        seen = [F.coalesce(F.col(f"_m{j}"), F.lit(0.0)) for j in range(folds)]
+        without = [[m for i, m in enumerate(seen) if i != j] for j in range(folds + 1)]
+        scale = F.array(*[F.greatest(F.lit(0.0), F.lit(0.0), *others) for others in without])
+        sums = sums.select("feature", "cells", scale.alias("scale"))
     sums = staged(sums, "nb")
+    scaled: list[list[float]] = []
+    if max_abs:
+        scaled = [[0.0] * k for _ in range(folds + 1)]
+        cells = sums.select("scale", F.inline("cells"))
+        left = [
+            F.sum((_total(F.col("s")) - F.coalesce(F.get("s", F.lit(j)), F.lit(0.0))) / _divisor(F.get("scale", F.lit(j))))
+            for j in range(folds + 1)
+        ]
+        for r in cells.groupBy("c").agg(*left).collect():
+            for j in range(folds + 1):
+                scaled[j][r["c"]] = r[j + 1]
     totals = [[0.0] * k for _ in range(folds)]
     over_all = [F.sum(F.get("s", F.lit(j))) for j in range(folds)]
     for r in sums.select(F.inline("cells")).groupBy("c").agg(*over_all).collect():
         for j in range(folds):
             totals[j][r["c"]] = r[j + 1]
     return MultinomialNB(
-        tuple(classes), tuple(map(tuple, n_docs)), tuple(map(tuple, totals)), sums.count(), sums, alpha
+        tuple(classes), tuple(map(tuple, n_docs)), tuple(map(tuple, totals)), sums.count(), sums, alpha,
+        tuple(map(tuple, scaled)),
     )
 
 
@@ -168,15 +214,20 @@ def score(
     value = F.col("value")
     known = lookup_join(features, model.sums, ["feature"], "left", row_bytes=64 + 24 * len(model.classes), **join)
 
+    by = F.lit(1.0)
+    if model.scaled:
+        last = F.lit(model.folds)
+        by = _divisor(F.get("scale", F.coalesce(F.col(fold), last) if fold else last))
+
     def seen(x: Column) -> Column:
         """Sum of a class outside the fold of the row."""
         own = F.coalesce(F.get(x["s"], F.col(fold)), F.lit(0.0)) if fold else F.lit(0.0)
-        return F.struct(x["c"].alias("c"), F.greatest(F.lit(0.0), _total(x["s"]) - own).alias("s"))
+        return F.struct(x["c"].alias("c"), (F.greatest(F.lit(0.0), _total(x["s"]) - own) / by).alias("s"))
 
     # class -1 stands for the sum of known values
     whole = F.array(F.struct(F.lit(-1).alias("c"), F.lit(0.0).alias("s")))
     cells = F.concat(whole, F.transform("cells", seen))
-    rows = known.where("cells IS NOT NULL").select(*ids, value, F.inline(cells))
+    rows = known.where("cells IS NOT NULL").select(*ids, (value / by).alias("value"), F.inline(cells))
     gains = [
         F.sum(F.when(F.col("c") < 0, value).otherwise(value * F.log(F.col("s") / a + 1.0))).alias(f"g{i}")
         for i, a in enumerate(alphas)
@@ -217,10 +268,11 @@ def cross_fit(
     keep: Sequence[str] = (),
     train: Column | None = None,
     asked: Column | None = None,
+    max_abs: bool = False,
     **join,
 ) -> tuple[DataFrame, MultinomialNB]:
-    """Every document scored by a model that has not seen its fold, and the
-    model of all training rows.
+    """Every document scored by a model that has not seen its fold, and that
+    model with its folds; ``merged`` is the one of all training rows.
 
     ``features`` is read twice: once for the sums, once for the scores of the
     rows that are ``asked`` for.  Every row of ``docs`` that is asked for gets a
@@ -228,8 +280,8 @@ def cross_fit(
     """
     ids = list(dict.fromkeys(["fold", *keep]))
     wanted, every = (features, docs) if asked is None else (features.where(asked), docs.where(asked))
-    model = fit(features, docs, train=train, folds=folds)
-    return score(wanted, model, ids, "fold", alphas, docs=every, **join), model.merged()
+    model = fit(features, docs, train=train, folds=folds, max_abs=max_abs)
+    return score(wanted, model, ids, "fold", alphas, docs=every, **join), model
 
 
 def out_of_fold(*args, **kwargs) -> DataFrame:

@@ -56,6 +56,7 @@ def learning_curve(
     folds: int = 5,
     alphas: Sequence[float] = (1.0,),
     average: str = "weighted",
+    max_abs: bool = False,
     **join,
 ) -> DataFrame:
     """``prop, alpha, train, test`` for training on ``parts - 1 .. 1`` of ``parts``.
@@ -79,7 +80,7 @@ def learning_curve(
 
         preds = naive_bayes.out_of_fold(
             marked(features), marked(split), folds, alphas, ["label", "split"], F.col("_in"),
-            (F.col("split") == "test") | F.col("_in"), **join,
+            (F.col("split") == "test") | F.col("_in"), max_abs, **join,
         )
         by_alpha = metrics.averaged_f1(preds, average, ["alpha", "split"])
         sides = by_alpha.groupBy("alpha").agg(

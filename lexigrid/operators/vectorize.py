@@ -62,9 +62,9 @@ def fit_max_abs(features: DataFrame) -> DataFrame:
 
 
 def scale_max_abs(features: DataFrame, maxima: DataFrame, **join) -> DataFrame:
-    """Divide by the fitted maximum; a maximum of 0 leaves 0."""
+    """Divide by the fitted maximum; a maximum of 0 leaves values as they are."""
     found = lookup_join(features, maxima, ["feature"], **join)
-    scaled = F.when(F.col("max_abs") == 0, 0.0).otherwise(F.col("value") / F.col("max_abs"))
+    scaled = F.when(F.col("max_abs") == 0, F.col("value")).otherwise(F.col("value") / F.col("max_abs"))
     return found.withColumn("value", scaled).drop("max_abs").select(*features.columns)
 
 

@@ -13,7 +13,7 @@ from lexigrid.operators.annotate import Annotator
 from lexigrid.operators.features import Extractor, Ngrams, extract_features
 from lexigrid.operators.naive_bayes import MultinomialNB
 from lexigrid.operators.placement import by_document
-from lexigrid.operators.vectorize import fit_max_abs, scale_max_abs
+from lexigrid.operators.vectorize import scale_max_abs
 from lexigrid.plans.serve import classify
 from lexigrid.session import staged
 from lexigrid.sources.readers import head_docs
@@ -187,11 +187,12 @@ class Experiment:
             raise ValueError(f"several documents have the id {twice['doc_id']}")
         rows = self._features(docs, sides)
         maxima = None
-        if c.max_abs:
-            maxima = staged(fit_max_abs(rows.where(is_train)), "maxima")
-            rows = staged(scale_max_abs(rows, maxima, **self.join), "features")
         keep = ["label", "split", "fold"]
-        preds, model = naive_bayes.cross_fit(rows, sides, c.cv, c.alphas, keep, is_train, **self.join)
+        # the scaler is part of the model, fitted anew without each fold
+        preds, model = naive_bayes.cross_fit(rows, sides, c.cv, c.alphas, keep, is_train, max_abs=c.max_abs, **self.join)
+        if c.max_abs:
+            maxima = staged(model.maxima(), "maxima")
+        model = model.merged()
         preds = staged(preds.select("doc_id", *keep, "alpha", "predicted"), "preds")
         grid = selection.grid_report(metrics.averaged_f1(preds.where(is_train), c.average, ["alpha", "fold"]))
         grid = staged(grid, "grid")
@@ -216,7 +217,7 @@ class Experiment:
         if c.proportions > 1 and test_docs is None:
             curve = staged(
                 selection.learning_curve(
-                    rows.drop("fold"), sides.drop("fold"), c.proportions, c.cv, c.alphas, c.average, **self.join
+                    rows.drop("fold"), sides.drop("fold"), c.proportions, c.cv, c.alphas, c.average, c.max_abs, **self.join
                 ),
                 "curve",
             )

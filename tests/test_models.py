@@ -128,6 +128,25 @@ def test_documents_without_features_are_scored(spark):
     assert report == {"a": 20, "b": 20, "c": 20}
 
 
+def test_scaler_is_refitted_in_every_fold(spark, docs):
+    side = docs.withColumn("fold", F.when(F.col("doc_id") < 32, F.expr("cast((doc_id div 3) % 3 AS int)")))
+    rows = staged(words(side, ["label", "fold"]), "rows")
+    train = F.col("fold").isNotNull()
+    scored, model = naive_bayes.cross_fit(rows, side, 3, train=train, max_abs=True)
+    got = scores_of(scored)
+    everything = rows.select("feature").distinct()
+    for f in (0, 1, 2, None):
+        inside = train if f is None else train & (F.col("fold") != f)
+        asked = F.col("fold").isNull() if f is None else F.col("fold") == f
+        maxima = everything.join(vectorize.fit_max_abs(rows.where(inside)), "feature", "left").fillna(0.0)
+        scaled = vectorize.scale_max_abs(rows, staged(maxima, "maxima"))
+        plain = naive_bayes.fit(scaled, side, train=F.coalesce(inside, F.lit(False)))
+        want = scores_of(naive_bayes.score(scaled.where(asked), plain))
+        same({i: got[i] for i in want}, want)
+        if f is None:
+            same(scores_of(naive_bayes.score(scaled.where(asked), model.merged())), want)
+
+
 def test_rows_without_a_label_are_not_learned_from(spark, docs):
     more = docs.unionByName(spark.createDataFrame([(900, "good bad", None)], "doc_id bigint, text string, label string"))
     assert naive_bayes.fit(words(more, ["label"]), more).classes == ("neg", "pos")
