@@ -15,11 +15,12 @@ from lexigrid.operators import estimators, gaussian, metrics, naive_bayes, selec
 from lexigrid.operators.features import Meta, Ngrams, SimpleStats, extract_features
 from lexigrid.operators.ngrams import gram_occurrences, ngrams
 from lexigrid.operators.placement import by_document
-from lexigrid.plans.estimator_experiment import EstimatorExperiment
+from lexigrid.plans.estimator_experiment import EstimatorExperiment, load_estimators
 from lexigrid.plans.experiment import ExperimentConfig
 from lexigrid.plans.serve import best_only, classify, classify_features, hard_labels, vectorize as vectorize_texts
 from lexigrid.session import new_path, staged
 from lexigrid.sources.readers import read_docs
+from lexigrid.sources.registry import Registry
 from lexigrid.streaming.classify import classify_stream
 
 CHAR3 = Ngrams("char", (3,))
@@ -281,6 +282,19 @@ def svm_experiment(spark, sf_dir):
     return EstimatorExperiment(config, [svm]).run(docs).report
 
 
+@query("SELECT doc_id, true AS same FROM documents")
+def stored_stages(spark, sf_dir):
+    """A stage experiment saved, loaded by name, and compared with itself on all documents."""
+    docs = language_docs(spark, sf_dir)
+    forest = estimators.Pipe("clf", estimators.random_forest(10, 4))
+    config = ExperimentConfig("007", extractors=[SimpleStats(True, False, False)], max_abs=True, cv=2)
+    run = EstimatorExperiment(config, [forest]).run(docs)
+    registry = Registry(spark, new_path(spark, "registry"))
+    run.save(registry)
+    again = load_estimators(registry, config).classify(docs).select("doc_id", F.col("predicted").alias("again"))
+    return run.classify(docs).join(again, "doc_id").select("doc_id", (F.col("predicted") == F.col("again")).alias("same"))
+
+
 # Model selection: word counts, quality of documents and roles of turns.
 
 

@@ -76,9 +76,11 @@ def linear_svm(c: float = 1.0, n_rows: int = 1, features: str = "features", max_
     ``1 / (c * n_rows)``.
     """
     margin = OneVsRest(
-        classifier=LinearSVC(regParam=1.0 / (c * n_rows), maxIter=max_iter, rawPredictionCol="margins"),
+        classifier=LinearSVC(
+            regParam=1.0 / (c * n_rows), maxIter=max_iter, rawPredictionCol="margins", standardization=False
+        ),
         featuresCol=features, labelCol="label_idx", predictionCol="svm_idx", rawPredictionCol="margins",
-        parallelism=2,
+        parallelism=4,
     )
     calibrated = LogisticRegression(
         featuresCol="margins", labelCol="label_idx", predictionCol="predicted_idx",
@@ -93,6 +95,13 @@ def random_forest(trees: int = 50, depth: int = 8, seed: int = 42, features: str
     )
 
 
+def name_of(stage: Estimator | Transformer) -> str:
+    """The class of the classifier that a pipeline or a one-against-rest stands for."""
+    if isinstance(stage, Pipeline):
+        return name_of(stage.getStages()[0])
+    return type(stage.getClassifier() if isinstance(stage, OneVsRest) else stage).__name__
+
+
 def fit_labelled(model: Estimator, vectors: DataFrame) -> PipelineModel:
     """Fit label numbers and a model, and give labels back as names."""
     indexer = label_indexer().fit(vectors)
@@ -129,13 +138,12 @@ def find_param(stage: Estimator | Transformer, name: str) -> Param:
 
 
 def cross_validate(
-    pipes: Sequence[Pipe], vectors: DataFrame, folds: int, seed: int = 42, average: str = "weighted", parallelism: int = 2
+    pipes: Sequence[Pipe], vectors: DataFrame, folds: int, seed: int = 42, average: str = "weighted", parallelism: int = 4
 ) -> list[CrossValidatorModel]:
     """Search the grid of every classifier over the ``fold`` column.
 
     Each classifier is searched with all combinations of its own values and
-    those of the stages before it.  The models of the folds are kept for
-    out-of-fold predictions.
+    those of the stages before it.  Models of the search are not kept.
     """
     pipes = [p.seeded(seed) for p in pipes]
     before = [p for p in pipes if p.name != "clf"]
@@ -149,7 +157,7 @@ def cross_validate(
             CrossValidator(
                 estimator=Pipeline(stages=[p.stage for p in [*before, clf]]),
                 estimatorParamMaps=grid.build(), evaluator=AveragedF1(average),
-                numFolds=folds, foldCol="fold", parallelism=parallelism, collectSubModels=True,
+                numFolds=folds, foldCol="fold", parallelism=parallelism,
             ).fit(vectors)
         )
     return found
