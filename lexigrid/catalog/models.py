@@ -278,7 +278,7 @@ def svm_experiment(spark, sf_dir):
     docs = language_docs(spark, sf_dir)
     n = docs.count()
     svm = estimators.Pipe("clf", estimators.linear_svm(1.0, n), {"regParam": [1.0 / n, 10.0 / n]})
-    config = ExperimentConfig("svm", extractors=[SimpleStats(True, False, False)], max_abs=True)
+    config = ExperimentConfig("svm", extractors=[SimpleStats(True, False, False)], max_abs=True, cv=3)
     return EstimatorExperiment(config, [svm]).run(docs).report
 
 

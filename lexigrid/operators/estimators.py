@@ -38,9 +38,10 @@ def to_vectors(cells: DataFrame, size: int, keep: Sequence[str] = (), docs: Data
         F.transform(cell, lambda x: x["idx"]).alias("indices"), F.transform(cell, lambda x: x["value"]).alias("values"),
     )
     plain = gathered.withColumn("features", sparse).drop("_cells")
-    # a vector is stored as this struct, so the table is written as one and read as the other
+    # Learners read vectors hundreds of times, so their partitions follow the size of the data, not of the
+    # shuffle before.  A vector is stored as this struct, so the table is written as one and read as the other
     schema = StructType([StructField("features", VectorUDT()) if f.name == "features" else f for f in plain.schema])
-    return staged(plain, "vectors", schema)
+    return staged(plain.hint("rebalance"), "vectors", schema)
 
 
 @dataclass
@@ -77,14 +78,14 @@ def linear_svm(c: float = 1.0, n_rows: int = 1, features: str = "features", max_
     """
     margin = OneVsRest(
         classifier=LinearSVC(
-            regParam=1.0 / (c * n_rows), maxIter=max_iter, rawPredictionCol="margins", standardization=False
+            regParam=1.0 / (c * n_rows), maxIter=max_iter, tol=1e-3, rawPredictionCol="margins", standardization=False
         ),
         featuresCol=features, labelCol="label_idx", predictionCol="svm_idx", rawPredictionCol="margins",
         parallelism=4,
     )
     calibrated = LogisticRegression(
         featuresCol="margins", labelCol="label_idx", predictionCol="predicted_idx",
-        probabilityCol="probability", rawPredictionCol="calibrated", family="multinomial",
+        probabilityCol="probability", rawPredictionCol="calibrated", family="multinomial", tol=1e-4,
     )
     return Pipeline(stages=[margin, calibrated])
 
