@@ -23,7 +23,7 @@ TABLES = (
 def _plain(x):
     if isinstance(x, float):
         return "nan" if math.isnan(x) else round(x, 9) + 0.0
-    if isinstance(x, list):
+    if isinstance(x, (list, tuple)):
         return tuple(map(_plain, x))
     return x
 

@@ -13,7 +13,9 @@ SF = "/root/testdata/sf0.001"
 FEW = (
     "csv_by_name", "label_cap", "simple_clean", "social_clean", "annotated_tokens", "char_ngrams", "lexicon_sentiment",
     "text_stats", "token_stats", "merge_features", "vocabulary", "stratified_split", "nb_scores", "alpha_grid",
-    "class_report", "roc_auc", "word_dropout", "highlight",
+    "class_report", "roc_auc", "word_dropout", "highlight", "chain_sources", "chained_csv_words", "stat_groups",
+    "embedding_mean", "tf_idf", "sparse_vectors", "gaussian_nb", "out_of_fold", "score_series", "config_view",
+    "registry_fetch", "stored_model", "annotated_experiment",
 )
 
 
