@@ -110,8 +110,8 @@ def _total(sums: Column) -> Column:
 
 
 def _divisor(largest: Column) -> Column:
-    """A largest value of 0 leaves values as they are."""
-    return F.when(largest > 0, largest).otherwise(1.0)
+    """A largest value of 0 leaves 0."""
+    return F.when(largest > 0, largest).otherwise(float("inf"))
 
 
 def _class_number(classes: Sequence[str]) -> Column:
