@@ -1,56 +1,102 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 The rows of a source are shuffled by a keyed hash and cut into blocks of
-``block_rows``.  Time runs in periods; in each period source s gets ``c_s``
-slots, its target weight in whole parts.  Block i of n in a period of T slots
-is released at ``floor(i T / n)`` and due at ``ceil((i + 1) T / n)``; slot by
-slot the released block with the earliest deadline goes next.  So after any
-slot every source is less than one block away from its share.
-
-A source that runs out gives what is left in its last period and nothing after
-it; nothing is dropped or repeated, and the others keep their proportions.
-Periods between two such events are alike, so no more than ``2 S + 1`` short
-schedules are worked out for S sources, each by one ``aggregate`` over its
-slots; a row then finds its slot by arithmetic on its rank within its source.
-Ranks are exact over range partitions, so a source with a third of all rows is
-spread like any other.
+``block_rows``.  Block i of a source with target share w is released at
+``floor(i / w)`` and due at ``(i + 1) / w``; slot by slot the released block
+with the earliest deadline goes next.  Shares are exact, as whole numbers of
+any size, for the whole run: nothing is rounded to parts of a period.  So after
+any slot every source is less than one block away from its share, whatever the
+number of sources.
+
+A source that runs out leaves its slots to the others in proportion to their
+shares, and what each of them was ahead or behind is kept.  A source of weight
+0 comes after all others have run out; several of them in equal shares.  If no
+source has a weight, all shares are equal.  Nothing is dropped or repeated.
+
+The order of blocks is one pass of a heap on the driver, a block in a few
+microseconds; it holds one entry for each source and ``CHUNK`` slots, which are
+staged as they come.  Rows never leave the executors: their ranks within their
+source are exact over range partitions, so a source with a third of all rows is
+spread like any other, and a row finds its slot by source and block.
 
 Ties of deadlines go to the source that sorts first.  Null is a source of its
 own; equal rows get different ranks; an empty table gives no rows.  Sources are
-assumed to be thousands at most: their sizes form one row.
+assumed to be thousands at most: their sizes are collected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from lexigrid.operators.ranking import exact_rank
-from lexigrid.session import staged
+from lexigrid.session import new_path
 
+CHUNK = 1 << 20  # slots that the driver holds at a time
 
-def _sources(rows: DataFrame, weights: Mapping[str, float] | None, parts: int, block_rows: int) -> DataFrame:
-    """One row for each source: size in blocks, parts per period, target share.
 
-    Without ``weights`` a source weighs the square root of its rows.
+def _weights(sizes: Mapping[str | None, int], weights: Mapping[str, float] | None) -> dict[str | None, float]:
+    """Weight of each source, in order; without ``weights`` the square root of its rows."""
+    order = sorted(sizes, key=lambda s: (s is not None, s or ""))
+    found = {s: math.sqrt(sizes[s]) if weights is None else float(weights.get(s, 0.0)) for s in order}
+    for s, w in found.items():
+        if not 0 <= w < math.inf:
+            raise ValueError(f"weight {w} of source {s!r}")
+    return found
+
+
+def slots(blocks: Sequence[int], weights: Sequence[float]) -> Iterator[tuple[int, int]]:
+    """For each slot ``(k, i)``: block i of source k, earliest deadline first.
+
+    Time is counted in service: it has come to ``(D + 1) / W`` when the sources
+    that are left, with weights of W together, have had D blocks.
     """
-    sizes = rows.groupBy("source").agg(F.count("*").alias("n"))
-    if weights is None:
-        weight = F.sqrt("n")
-    else:
-        weight = F.lit(0.0)
-        for name, w in weights.items():
-            weight = F.when(F.col("source") == name, F.lit(float(w))).otherwise(weight)
-    every = Window.partitionBy()
-    share = F.col("weight") / F.sum("weight").over(every)
-    return (
-        sizes.withColumn("weight", weight)
-        .withColumn("share", F.coalesce(share, 1 / F.count("*").over(every)))
-        .withColumn("c", F.greatest(F.lit(1), F.round(F.col("share") * parts)).cast("long"))
-        .withColumn("blocks", F.expr(f"(n + {block_rows - 1}) div {block_rows}"))
-        .select("source", "n", "share", "c", "blocks")
-    )
+    exact = [Fraction(w) for w in weights]
+    for positive in (True, False):
+        alive = [k for k, n in enumerate(blocks) if n and (exact[k] > 0) == positive]
+        scale = math.lcm(*(exact[k].denominator for k in alive))
+        v = {k: int(exact[k] * scale) if positive else 1 for k in alive}
+        total, given, done = sum(v.values()), 0, dict.fromkeys(alive, 0)
+        bits = 2 * total.bit_length() + 1  # so that different fractions differ
+        ready = [((1 << bits) // v[k], k) for k in alive]
+        heapify(ready)
+        waiting: list[tuple[int, int]] = []
+        while ready or waiting:
+            now = ((given + 1) << bits) // total
+            while waiting and waiting[0][0] < now:
+                k = heappop(waiting)[1]
+                heappush(ready, (((done[k] + 1) << bits) // v[k], k))
+            k = heappop(ready)[1]
+            yield k, done[k]
+            done[k] += 1
+            given += 1
+            if done[k] < blocks[k]:
+                heappush(waiting, ((done[k] << bits) // v[k], k))
+            else:
+                given -= done[k]
+                total -= v[k]
+
+
+def _staged_slots(spark: SparkSession, found: Iterator[tuple[int, int]]) -> DataFrame:
+    """``k, block, slot`` of ``(k, block)`` in order of slots."""
+    path, first = new_path(spark, "schedule"), 0
+    names = ["k", "block", "slot"]
+    while True:
+        part = list(islice(found, CHUNK))
+        if part or not first:
+            columns = [*(zip(*part, strict=True) if part else ((), ())), range(first, first + len(part))]
+            rows = pa.table([pa.array(list(c), pa.int64()) for c in columns], names=names)
+            spark.createDataFrame(rows).write.mode("append").parquet(path)
+        first += len(part)
+        if len(part) < CHUNK:
+            return spark.read.schema("k long, block long, slot long").parquet(path)
 
 
 def _earliest_deadline_first(counts: Column, slots: Column) -> Column:
@@ -84,7 +130,9 @@ def _earliest_deadline_first(counts: Column, slots: Column) -> Column:
 
 def schedule(sources: DataFrame) -> DataFrame:
     """``source, first, i -> base, slots, slot``: the slot of block i of a source in
-    the periods from ``first`` on, until the next ``first`` of the table."""
+    the periods from ``first`` on, until the next ``first`` of the table.
+
+    For shares that are whole parts ``c`` of a period; ``mix`` needs no periods."""
     one = F.sort_array(F.collect_list(F.struct("source", "c", "blocks")))
     row = sources.agg(one.alias("s")).where(F.size("s") > 0)
     last = F.transform("s", lambda s: F.floor(s["blocks"] / s["c"]))
@@ -115,28 +163,26 @@ def mix(
     """``doc_id, source, share, block, slot, position`` for every row of ``docs(doc_id, source)``.
 
     Rows in order of ``position`` are the mixture; ``slot`` counts its blocks.
+    ``parts``, once the length of a period, is taken but has no effect: shares are exact.
     """
     rows = docs.select("doc_id", "source").withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id")))
     ranked = exact_rank(rows, ["_h", "doc_id"], ["source"], "rank")
-    sources = staged(_sources(rows, weights, parts, block_rows), "sources")
-    plan = staged(schedule(sources), "schedule")
-    firsts = plan.agg(F.array_sort(F.collect_set("first")).alias("firsts"))
-    starts = firsts.first()["firsts"] or []  # two for each source and one more, at most
-    about = sources.select("source", "c", "share").withColumn("firsts", F.array(*map(F.lit, starts)).cast("array<long>"))
-    same = ranked["source"].eqNullSafe(about["source"])
+    sizes = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
+    weight = _weights(sizes, weights)
+    total = math.fsum(weight.values())
+    shares = [(s, k, w / total if total else 1 / len(weight)) for k, (s, w) in enumerate(weight.items())]
+    kinds = StructType([docs.schema["source"], StructField("k", LongType()), StructField("share", DoubleType())])
+    about = docs.sparkSession.createDataFrame(shares, kinds)
+    blocks = [-(-sizes[s] // block_rows) for s in weight]
+    plan = _staged_slots(docs.sparkSession, slots(blocks, list(weight.values())))
     placed = (
-        ranked.join(F.broadcast(about), same)
-        .select("doc_id", ranked["source"], "share", "rank", "c", "firsts")
+        ranked.join(F.broadcast(about), ranked["source"].eqNullSafe(about["source"]))
+        .select("doc_id", ranked["source"], "share", "rank", "k")
         .withColumn("block", F.expr(f"rank div {block_rows}"))
-        .withColumn("_period", F.expr("block div c"))
-        .withColumn("first", F.expr("array_max(filter(firsts, f -> f <= _period))"))
-        .withColumn("i", F.col("block") % F.col("c"))
     )
-    on = placed["source"].eqNullSafe(plan["source"]) & (placed["first"] == plan["first"]) & (placed["i"] == plan["i"])
-    slot = plan["base"] + (placed["_period"] - placed["first"]) * plan["slots"] + plan["slot"]
-    return placed.join(plan, on).select(
-        "doc_id", placed["source"], "share", "block", slot.alias("slot"),
-        (slot * block_rows + placed["rank"] % block_rows).alias("position"),
+    return placed.join(plan, ["k", "block"]).select(
+        "doc_id", "source", "share", "block", "slot",
+        (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"),
     )
 
 

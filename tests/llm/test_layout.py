@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.llm import mixing, packing, sharding
@@ -88,6 +89,50 @@ def test_mixture_stays_within_one_block(spark):
         assert all(abs(seen[s] - (t + 1) * w / 9) < 1 for s, w in weights.items())
 
 
+def drifts(order, shares):
+    """Largest distance of any source from its share after each slot, until one runs out."""
+    left, seen = Counter(order), Counter()
+    for t, source in enumerate(order, 1):
+        seen[source] += 1
+        yield max(abs(seen[s] - w * t) for s, w in shares.items())
+        if seen[source] == left[source]:
+            return
+
+
+def test_exact_shares_of_many_sources():
+    for weights in ([0.3, *[0.7 / 999] * 999], [math.sqrt(1 / 3), *[math.sqrt(2 / 57)] * 19], [2, 1, 1, 1, 1, 3]):
+        shares = {k: w / math.fsum(weights) for k, w in enumerate(weights)}
+        blocks = [math.ceil(20_000 * w) for w in shares.values()]
+        found = list(mixing.slots(blocks, weights))
+        assert Counter(k for k, _ in found) == dict(enumerate(blocks))
+        assert max(drifts([k for k, _ in found], shares)) < 1
+    order = [k for k, _ in mixing.slots([400, 3, 400, 5], [4, 2, 1, 0])]
+    rest = [k for k in order if k in (0, 2)]
+    assert order[-5:] == [3] * 5 and abs(rest[:400].count(0) - 320) < 2  # in proportion after source 1 ran out
+
+
+def test_mix_meets_the_emitted_share(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"s{i % 19}") for i in range(36_000)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(36_000)) and len({r["position"] for r in found}) == 36_000
+    slots = dict(sorted({r["slot"]: r["source"] for r in found}.items()))
+    assert list(slots) == list(range(len(slots)))
+    drift = list(drifts(list(slots.values()), {r["source"]: r["share"] for r in found}))
+    assert len(drift) > 500 and max(drift) < 1
+
+
+def test_sources_without_weight_come_last(spark):
+    rows = [(i, f"s{i % 300}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"s0": 0.3} | {f"s{k}": 0.7 / 298 for k in range(1, 299)}
+    found = mixing.mix(docs, weights, block_rows=1).collect()
+    last = [r["source"] for r in sorted(found, key=lambda r: r["position"])][-10:]
+    assert set(last) == {"s299"} and {r["share"] for r in found if r["source"] == "s299"} == {0.0}
+    assert {r["share"] for r in mixing.mix(docs, {}, block_rows=1).collect()} == {1 / 300}
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"s0": -1})
+
+
 def test_mixing_edges(edge, nothing):
     found = mixing.mix(edge, block_rows=2).collect()
     assert len(found) == 12 and len({r["position"] for r in found}) == 12
