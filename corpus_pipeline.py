@@ -19,6 +19,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A deployment passes its own; this one makes the pipeline repeatable.
 PII_KEY = b"corpus pipeline"
 BIN_CHARS = 16_384
+#: Pieces packed together: a window of the mixture.
+WINDOW = 2048
+#: Weights of the sources in the mixture; None: the square root of their sizes.
+WEIGHTS: dict[str, float] | None = None
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,20 +53,24 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the order of a mixture of sources, weighted by the square root of their sizes."""
+    """Documents in the order of a mixture of sources, weighted by ``WEIGHTS``."""
     docs = docs.select(*COLUMNS)
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, WEIGHTS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bins of ``BIN_CHARS`` characters: the pieces of every document with bin and offset.
 
-    Near-duplicates are gone by now, so a cluster is what is left equal after
-    the replacement of personal data.
+    Bins are filled from consecutive windows of the mixture and numbered in its
+    order.  Stages hand on rows, not their order, so the mixture, which depends
+    on ids and sizes of sources only, is worked out again.  Near-duplicates are
+    gone by now, so a cluster is what is left equal after the replacement of
+    personal data.
     """
     docs = docs.select(*COLUMNS)
     docs = docs.withColumn("cluster", F.xxhash64("text"))
-    return packing.pack(docs, BIN_CHARS, texts=True)
+    order = staged(mixing.mix(docs, WEIGHTS), "mixture")
+    return packing.pack(docs, BIN_CHARS, WINDOW, texts=True, order=order)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

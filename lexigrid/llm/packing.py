@@ -2,7 +2,9 @@
 
 A document of more than ``capacity`` characters is cut into full pieces and a
 rest.  Pieces are dealt by a hash of the id to groups of about ``group_rows``,
-and each group is packed by itself, longest piece first.  Its open bins are
+or, given an order of the ids, number ``group_rows`` by ``group_rows`` in that
+order, so that bins follow it.  Each group is packed by itself, longest piece
+first.  Its open bins are
 kept in order of residual room; a bin carries one bitmap of the sources and one
 of the duplicate clusters in it.  The search starts at the tightest bin with
 enough room and goes on to its successors until one has neither the source nor
@@ -26,6 +28,10 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lexigrid.llm.tables import BROADCAST_ROWS
+from lexigrid.operators.ranking import running_sum
+from lexigrid.session import staged
+
 _BIN_BITS = 32
 
 
@@ -73,11 +79,36 @@ def pieces(docs: DataFrame, capacity: int, texts: bool = False) -> DataFrame:
     return cut
 
 
-def pack(docs: DataFrame, capacity: int = 16_384, group_rows: int = 2048, texts: bool = False) -> DataFrame:
+def _in_order(docs: DataFrame, cut: DataFrame, order: DataFrame, capacity: int, group_rows: int) -> DataFrame:
+    """``cut`` with its group: windows of ``group_rows`` pieces in order of ``order(doc_id, position)``.
+
+    An id stands at its first position.  If it is repeated, its pieces are
+    spread over the places of all of them by their content.
+    """
+    first = order.groupBy(F.col("doc_id").alias("_id")).agg(F.min("position").alias("_position"))
+    sizes = pieces(docs, capacity).groupBy("doc_id").agg(
+        F.count("*").alias("_pieces"), F.count(F.when(F.col("piece") == 0, 1)).alias("_rows")
+    )
+    sizes = sizes.join(first, sizes["doc_id"].eqNullSafe(F.col("_id"))).drop("doc_id")
+    places = staged(running_sum(sizes, ["_position", "_id"], "_pieces", "_before"), "places")
+    small = places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    places = F.broadcast(places) if small else places.hint("shuffle_hash")
+    spread = F.pmod(F.xxhash64("source", "cluster", "piece", "length"), F.col("_pieces"))
+    number = F.col("_before") + F.when(F.col("_rows") == 1, F.col("piece")).otherwise(spread)
+    placed = cut.join(places, cut["doc_id"].eqNullSafe(F.col("_id")))
+    return placed.withColumn("_group", F.floor(number / group_rows)).select(*cut.columns, "_group")
+
+
+def pack(
+    docs: DataFrame, capacity: int = 16_384, group_rows: int = 2048, texts: bool = False, order: DataFrame | None = None
+) -> DataFrame:
     """``doc_id, piece, start, length, bin, offset`` for every piece of ``docs``;
-    with ``texts`` also ``source`` and the ``text`` of the piece."""
+    with ``texts`` also ``source`` and the ``text`` of the piece.
+
+    With ``order(doc_id, position)``, which has every id, bins are numbered in
+    that order, by windows of ``group_rows`` pieces.
+    """
     cut = pieces(docs, capacity, texts)
-    groups = -(-pieces(docs, capacity).count() // group_rows)
     more = ["source", "text"] if texts else []
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
@@ -92,10 +123,14 @@ def pack(docs: DataFrame, capacity: int = 16_384, group_rows: int = 2048, texts:
         out["offset"] = offsets
         return out
 
-    # the piece takes part, so that a very long text is spread as well
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, groups)))
+    if order is None:
+        groups = -(-pieces(docs, capacity).count() // group_rows)
+        # the piece takes part, so that a very long text is spread as well
+        cut = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(1, groups))))
+    else:
+        cut = _in_order(docs, cut, order, capacity, group_rows)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     fields = ["doc_id", "piece", "start", "length", *more, "bin", "offset"]
     kinds |= {"piece": "int", "start": "long", "length": "long", "bin": "long", "offset": "long"}
     schema = ", ".join(f"`{f}` {kinds[f]}" for f in fields)
-    return cut.withColumn("_group", group).groupBy("_group").applyInPandas(packed, schema)
+    return cut.groupBy("_group").applyInPandas(packed, schema)

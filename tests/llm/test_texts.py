@@ -209,3 +209,35 @@ def test_mixing_stage_orders_rows(spark, tables):
     out = [r["doc_id"] for r in mixing.mixed(docs).collect()]
     assert out == sorted(out, key=order.get)
     assert packing.best_fit([], [], [], 5) == ([], []) and neardup.SIMILARITY == 0.8
+
+
+def test_bins_follow_the_mixture(spark, monkeypatch):
+    from lexigrid.llm import mixing
+
+    rows = [(i, f"text {i} " * (1 + i % 7), "en", f"s{i % 3 if i % 2 else 0}", 0) for i in range(600)]
+    rows += [(700, "long " * 9000, "en", "s1", 0), (701, None, "en", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(corpus_pipeline, "WINDOW", 50)
+    stages, found = dict(corpus_pipeline.STAGES), {}
+    for name, weights in (("a", {"s0": 1, "s1": 8, "s2": 1}), ("b", {"s0": 8, "s1": 1, "s2": 1})):
+        monkeypatch.setattr(corpus_pipeline, "WEIGHTS", weights)
+        mixed = stages["mixing"](spark, docs, "").orderBy(F.rand(1))  # the order of rows does not matter
+        found[name] = stages["packing"](spark, mixed, "").collect()
+        position = {r["doc_id"]: r["position"] for r in mixing.mix(docs, weights).collect()}
+        pieces = sorted(found[name], key=lambda r: (position[r["doc_id"]], r["piece"]))
+        assert [r["bin"] >> 32 for r in pieces] == [k // 50 for k in range(len(pieces))]
+        assert {(r["doc_id"], r["piece"]) for r in pieces} == {(i, 0) for i, *_ in rows} | {(700, 1), (700, 2)}
+    early = {name: sum(r["source"] == "s1" for r in out if r["bin"] >> 32 < 3) for name, out in found.items()}
+    assert early["a"] > 2 * early["b"]
+
+
+def test_order_with_repeated_ids(spark, edge, nothing):
+    from lexigrid.llm import mixing
+
+    docs = edge.withColumn("cluster", F.xxhash64("text"))
+    found = packing.pack(docs, 1000, 5, texts=True, order=mixing.mix(edge))
+    want = packing.pack(docs, 1000, 5, texts=True)
+    kept = ["doc_id", "source", "text", "piece", "start", "length"]
+    assert sorted(map(str, found.select(*kept).collect())) == sorted(map(str, want.select(*kept).collect()))
+    none = nothing.withColumn("cluster", F.lit(1))
+    assert packing.pack(none, 1000, order=mixing.mix(nothing)).count() == 0
