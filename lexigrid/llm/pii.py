@@ -10,7 +10,12 @@ where they are.  A permutation has no collisions, so different originals stay
 different, and the same original gets the same surrogate in every document,
 however it is written (case of addresses, separators of numbers).  Card and
 account numbers are taken for such only if their check digits hold; those of
-the surrogate hold too.
+the surrogate hold too.  If other digits or words in capitals stand beside a
+number, every beginning of the run that ends at a separator is tried, accounts
+at the length of their country first, and then what follows in the run.
+
+*Persons* are found by the titles and given names listed below, nothing else: a
+name with neither a title nor a listed given name before it stays.
 
 *Given names* are permuted within the names of the same gender and script;
 *surnames* are built from syllables of the same script and gender.  As these
@@ -49,10 +54,17 @@ GIVEN = {
     ("latin", "m"): (
         "James Robert Michael William David Thomas Daniel Matthew Andrew Joseph Peter Stefan Klaus Jürgen Wolfgang"
         " Pierre Jacques François Olivier Carlos Miguel Alejandro Javier Richard Charles"
+        " John George Edward Henry Paul Steven Kevin Brian Anthony Christopher Alexander Benjamin Samuel Patrick"
+        " Hans Heinz Günter Dieter Jens Uwe Matthias Andreas Markus Sebastian Florian Johannes"
+        " Jean Michel Philippe Nicolas Antoine Laurent Julien Henri José Juan Antonio Manuel Francisco Luis Pedro Pablo"
+        " Fernando Giuseppe Giovanni Marco Luca Ivan Jan Piotr"
     ).split(),
     ("latin", "f"): (
         "Mary Patricia Jennifer Elizabeth Susan Jessica Sarah Margaret Emily Laura Sabine Ursula Monika Ingrid"
         " Claire Sophie Isabelle Camille Carmen Lucía Isabel Pilar Barbara Helen Nancy"
+        " Anna Maria Linda Karen Lisa Michelle Amanda Rebecca Rachel Catherine Julia Hannah Olivia Emma Alice Jane"
+        " Petra Renate Brigitte Gisela Heike Katharina Christina Martina Andrea Claudia Anja Eva"
+        " Marie Nathalie Valérie Céline Hélène Élise Juliette María Ana Elena Marta Cristina Teresa Rosa Giulia Francesca"
     ).split(),
     ("cyrillic", "m"): "Иван Алексей Сергей Дмитрий Николай Андрей Михаил Павел".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана".split(),
@@ -74,6 +86,20 @@ ENDINGS = {
 }
 _SECRET_WORDS = "password passwd pwd secret token key apikey api akia".split()
 
+#: Letters and digits of an account number by country.
+_IBAN_SIZES = {
+    k: int(n)
+    for n, names in (
+        x.split(":")
+        for x in (
+            "15:NO 16:BE 18:DK,FI,FO,GL,NL 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS"
+            " 23:AE,GI,IL,IQ,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:PT 26:IS,TR 27:FR,GR,IT,MC,MR,SM"
+            " 28:AL,AZ,BY,CY,DO,GT,HU,LB,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU 31:MT,SC 32:LC"
+        ).split()
+    )
+    for k in names.split(",")
+}
+
 _UPPER = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΫΆ-Ώ"
 _LOWER = "a-zß-öø-ÿа-яёα-ώ"
 _SURNAME = rf"[{_UPPER}][{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)?|[{_UPPER}]{{3,}}"
@@ -170,18 +196,33 @@ def _mod97(account: str) -> int:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
 
 
-def _card(key: bytes, value: str) -> str | None:
+def _ends(kind: str, value: str) -> Iterator[int]:
+    """Where a number that starts the run ``value`` may end: at the length of
+    its country, or before a separator; the longest first."""
+    places = [i + 1 for i, c in enumerate(value) if c.isalnum()]
+    size = _IBAN_SIZES.get(value[:2], 0) if kind == "iban" else 0
+    if 0 < size <= len(places):
+        yield places[size - 1]
+    least = 15 if kind == "iban" else 13
+    yield from (e for e in reversed(places[least - 1 :]) if not value[e : e + 1].isalnum())
+
+
+def _holds(kind: str, value: str) -> bool:
+    """Whether the check digits of a card or account number are right."""
+    bare = "".join(c for c in value if c.isalnum())
+    if kind == "iban":
+        return 15 <= len(bare) <= 34 and _mod97(bare) == 1
+    return _luhn(bare[:-1]) == int(bare[-1])
+
+
+def _card(key: bytes, value: str) -> str:
     digits = "".join(c for c in value if c.isdigit())
-    if _luhn(digits[:-1]) != int(digits[-1]):
-        return None
     body = digits[0] + scrambled(key, "card", digits[1:-1])
     return _refilled(value, f"{body}{_luhn(body)}")
 
 
-def _iban(key: bytes, value: str) -> str | None:
+def _iban(key: bytes, value: str) -> str:
     bare = value.replace(" ", "")
-    if not 15 <= len(bare) <= 34 or _mod97(bare) != 1:
-        return None
     body = scrambled(key, "iban" + bare[:2], bare[4:])
     check = 98 - _mod97(f"{bare[:2]}00{body}")
     left = iter(f"{bare[:2]}{check:02d}{body}")
@@ -242,10 +283,16 @@ def _as_written(shape: str, name: str) -> str:
 
 
 def _matches(text: str) -> Iterator[tuple[str, int, int, re.Match]]:
-    for m in PATTERN.finditer(text):
+    at = 0
+    while m := PATTERN.search(text, at):
         kind = m.lastgroup if m.lastgroup in ("mail", "cloud", "secret", "hex", "iban", "ip", "ssn", "phone", "card") else "person"
         a, b = m.span(kind)
-        yield kind, a, b, m
+        at = m.end()
+        if kind in ("card", "iban"):
+            b = next((a + e for e in _ends(kind, text[a:b]) if _holds(kind, text[a : a + e])), 0)
+            at = b or a + 1  # what stands inside the run or behind it is looked at by itself
+        if b:
+            yield kind, a, b, m
 
 
 def replaced(key: bytes, text: str, tries: dict[str, int] | None) -> tuple[str, list[tuple[str, int, int]]]:
@@ -277,8 +324,6 @@ def replaced(key: bytes, text: str, tries: dict[str, int] | None) -> tuple[str,
             new = _refilled(value, scrambled(key, kind, value.replace("-", "")))
         else:
             new = scrambled(key, "secret", value)
-        if new is None:
-            continue
         out += [text[last:a], new]
         size += a - last
         found.append((kind, size, len(new)))

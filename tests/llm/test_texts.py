@@ -53,6 +53,37 @@ def test_clean_text_stays():
         assert pii.replaced(KEY, text, None) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "real", "stays"),
+    [
+        ("4111 1111 1111 1111 12/26", "card", "4111 1111 1111 1111", " 12/26"),
+        ("4111 1111 1111 1111 123", "card", "4111 1111 1111 1111", " 123"),
+        ("4111-1111-1111-1111-123 x", "card", "4111-1111-1111-1111", "-123 x"),
+        ("of 2024 4111 1111 1111 1111", "card", "4111 1111 1111 1111", ""),
+        ("ES91 2100 0418 4502 0005 1332 EUR", "iban", "ES91 2100 0418 4502 0005 1332", " EUR"),
+        ("BE68 5390 0754 7034 BIC GKCC", "iban", "BE68 5390 0754 7034", " BIC GKCC"),
+        ("NO9386011117947 USD", "iban", "NO9386011117947", " USD"),
+        ("REF1 AB12 DE89 3704 0044 0532 0130 00 2024", "iban", "DE89 3704 0044 0532 0130 00", " 2024"),
+        ("then John Smith, ", "person", "John Smith", ", "),
+        ("then Anna Schmidt and", "person", "Anna Schmidt", " and"),
+        ("then Maria Rossi and", "person", "Maria Rossi", " and"),
+    ],
+)
+def test_numbers_beside_other_words(text, kind, real, stays):
+    new, found = pii.replaced(KEY, text, None)
+    assert [k for k, _, _ in found] == [kind] and real not in new and new.endswith(stays)
+    (_, start, length), before = found[0], text.index(real)
+    assert start == before and new[:start] == text[:before] and new[start + length :] == stays
+    alone, _ = pii.replaced(KEY, real, None)
+    assert new[start : start + length] == alone
+
+
+def test_failed_check_digits_stay():
+    for text in ("4111 1111 1111 1112 12/26", "ES91 2100 0418 4502 0005 1333 EUR", "41111111111111111", "4111111111111112123"):
+        assert pii.replaced(KEY, text, None) == (text, [])
+    assert [k for k, _, _ in pii.replaced(KEY, "AB12 ABCD EFGH IJKL MNOP a.b@c.org 4111111111111111 4111 1111 1111 1111", None)[1]] == ["mail", "card", "card"]
+
+
 def test_coreference(spark):
     same = pii.replaced(KEY, "call 514-555-8389 or +1 (514) 555-8389", None)[0]
     assert len({re.sub(r"\D", "", x)[-10:] for x in re.findall(r"[\d+][\d ()-]{9,}\d", same)}) == 1
