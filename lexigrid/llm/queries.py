@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import language, mixing, neardup, packing, pii, quality, sharding, syncmers, toxicity, vectors
+from lexigrid.llm import language, mixing, neardup, packing, pii, quality, sharding, syncmers, toxicity, vectors, winnow
 from lexigrid.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,39 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         syncmers.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         F.coalesce(syncmers.likeness(F.col("sketch"), F.col("next_sketch")), F.lit(0.0)).alias("near_next"),
     )
+
+
+_ITEM_WORDS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(
+    f"WITH i AS (SELECT item_id::VARCHAR AS item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),"
+    " iw AS MATERIALIZED (SELECT DISTINCT item_id, least(10, len(w)) AS n,"
+    " unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda s: array_to_string(w[s:s + least(10, len(w)) - 1], ' '))) AS win"
+    " FROM i WHERE len(w) > 0),"
+    " lens AS MATERIALIZED (SELECT DISTINCT n FROM iw),"
+    f" d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, CASE WHEN text IS NULL THEN [] ELSE {_ITEM_WORDS} END AS w FROM documents),"
+    " dw AS (SELECT row, n, s, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS s"
+    " FROM d JOIN lens ON len(w) >= n)),"
+    " hit AS MATERIALIZED (SELECT row, s, n, win FROM dw SEMI JOIN iw USING (n, win)),"
+    " pos AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(s, s + n)) AS p FROM hit) GROUP BY row),"
+    " own AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids"
+    " FROM hit JOIN iw USING (n, win) GROUP BY row)"
+    " SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,"
+    " sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated"
+    " FROM d LEFT JOIN pos USING (row) LEFT JOIN own USING (row)"
+)
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of ten words of benchmark items, and the items."""
+    found = winnow.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
