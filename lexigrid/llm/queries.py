@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import language, mixing, neardup, packing, pii, quality, sharding, syncmers, toxicity, vectors, winnow
+from lexigrid.llm import audit, language, mixing, neardup, packing, pii, quality, sharding, syncmers, toxicity, vectors, winnow
 from lexigrid.llm.tables import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,33 @@ def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query(
+    "WITH l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),"
+    " t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),"
+    " w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),"
+    " d AS MATERIALIZED (SELECT part, (len(words) < 200) AS A, (100 * len(list_distinct(words)) < 50 * len(words)) AS B,"
+    " (100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text)) AS C, regexp_matches(text, '[#$%&*|]') AS D,"
+    " coalesce(doc_id > first, false) AS E, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM w LEFT JOIN l USING (doc_id)),"
+    " m AS MATERIALIZED (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [A, B, C, D, E][i]) AS bad,"
+    " count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY ALL),"
+    " x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),"
+    " o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e"
+    " WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),"
+    " s AS (SELECT filter_order, step, filter_order[step] AS f, string_split(filter_order[1:step - 1], '') AS earlier"
+    " FROM o, (SELECT unnest(range(1, 6))::INT AS step)),"
+    " r AS (SELECT part, filter_order, step, f,"
+    " coalesce(sum(n) FILTER (f NOT IN bad AND NOT list_has_any(bad, earlier)), 0)::BIGINT AS kept,"
+    " coalesce(sum(n) FILTER (f IN bad AND NOT list_has_any(bad, earlier)), 0)::BIGINT AS removed,"
+    " coalesce(sum(n) FILTER (f IN bad AND list_has_any(bad, earlier)), 0)::BIGINT AS redundant,"
+    " coalesce(sum(n) FILTER (bad = [f]), 0)::BIGINT AS unique_fails,"
+    " coalesce(sum(good) FILTER (f IN bad AND NOT list_has_any(bad, earlier)), 0)::BIGINT AS good_lost,"
+    " coalesce(sum(toxic) FILTER (f IN bad AND NOT list_has_any(bad, earlier)), 0)::BIGINT AS toxic_lost"
+    " FROM m, s GROUP BY ALL)"
+    " SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,"
+    " (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, by source, order and step."""
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
