@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexigrid.llm import audit, language, mixing, neardup, packing, pii, quality, sharding, syncmers, toxicity, vectors, winnow
+from lexigrid.llm import alignment, audit, language, mixing, neardup, packing, pii, quality, sharding, syncmers, toxicity, vectors, winnow
 from lexigrid.llm.tables import held_out, table
 
+#: Where the files of public tokenizers lie, on every machine.
+TOKENIZERS = "/opt/tokenizers"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -207,3 +210,12 @@ def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of five filters removes, by source, order and step."""
     return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+@query()
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers over the same bytes of every document, and how usual their links are."""
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model").select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
