@@ -21,7 +21,8 @@ def plain_ends(ids, tokens):
 
 
 def brute(texts):
-    (tokenizer, a), (model, b) = alignment.byte_level(A), alignment.pieces(B)
+    (tokenizer, ranked, a), (model, b) = alignment.byte_level(A), alignment.pieces(B)
+    assert ranked
     per_doc, held = [], Counter()
     for text in texts:
         ids = [], []
@@ -31,10 +32,15 @@ def brute(texts):
             if any(b"".join(s.tokens[i] for i in x) != whole for x, s in zip(ids, (a, b))):
                 ids = [], []
         ends = [plain_ends(x, s.tokens) for x, s in zip(ids, (a, b))]
-        cuts = sorted(set(ends[0]) & set(ends[1]))
-        groups = []
-        for low, high in zip([0, *cuts[:-1]], cuts):
-            groups.append([[i for i, e in zip(x, es) if low < e <= high] for x, es in zip(ids, ends)])
+        both = set(ends[0]) & set(ends[1])
+        sides = []
+        for x, es in zip(ids, ends):
+            sides.append([[]])
+            for i, e in zip(x, es):
+                sides[-1][-1].append(i)
+                if e in both:
+                    sides[-1].append([])
+        groups = [list(g) for g in zip(*sides)][: len(both)]
         links = [link for x, y in groups for link in product(x, y)]
         held.update(set(links))
         per_doc.append((ids, groups, links))
@@ -59,7 +65,8 @@ def ours(found):
 def texts(prose):
     draw = random.Random(8)
     odd = ["", None, "é", "  two  spaces\n\n\ttab", "a▁b", "<|endoftext|> and <s>", "日本語のテキスト 😀👩‍👩‍👧 ok", "naïve Ünïcödé façade",
-           "x" * 5000, "=" * 3001 + "😀" * 400, "\x00nul\x7f", "don't we'll 12345678901234567890", " lead", "trail "]
+           "x" * 5000, "=" * 3001 + "😀" * 400, "\x00nul\x7f", "don't we'll 12345678901234567890", " lead", "trail ",
+           "\x85a\xa0 b\u2003 c\x1c d\u200b", "“don’t” — ‘it’s’ 1½ ª²  x", " " * 700 + "a", "'s't're 've", "œuvre € 50%"]
     made = [prose(i, draw.randrange(1, 80)) for i in range(20)]
     return odd + made + [made[0], made[0]] + ["the cat sat on the mat, " * 40, "Straßenbahnhaltestelle " * 30]
 
