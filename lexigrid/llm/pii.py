@@ -35,6 +35,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -408,15 +409,18 @@ def surrogates(docs: DataFrame, key: bytes, entities: str | None = None) -> Data
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            tries = batch.column("_tries")
-            spans: list[list[dict]] = [[] for _ in texts]
-            for i in np.flatnonzero(_suspects(batch.column("text"))):
-                again = dict(tries[int(i)].as_py() or [])
-                texts[i], found = replaced(key, texts[i], again)
-                spans[i] = [dict(zip(("kind", "start", "length"), f, strict=True)) for f in found]
-            out = {c: batch.column(c) for c in columns} | {"text": pa.array(texts, batch.column("text").type)}
+        for batch in chain.from_iterable(map(T.slices, batches)):
+            texts, tries = batch.column("text"), batch.column("_tries")
+            changed, new = np.zeros(len(texts), bool), []
+            spans: list[list[dict]] = [[] for _ in range(len(texts))]
+            for i in np.flatnonzero(_suspects(texts)).tolist():
+                text, found = replaced(key, texts[i].as_py(), dict(tries[i].as_py() or []))
+                if found:
+                    changed[i] = True
+                    new.append(text)
+                    spans[i] = [dict(zip(("kind", "start", "length"), f, strict=True)) for f in found]
+            out = {c: batch.column(c) for c in columns}
+            out["text"] = pa.compute.replace_with_mask(texts, pa.array(changed), pa.array(new, texts.type))
             if entities:
                 out[entities] = pa.array(spans, kind)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))

@@ -12,7 +12,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+SLICE_BYTES = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLANES = 0x20000  # classes are tabulated to here; letters beyond are ideographs
@@ -87,6 +88,18 @@ def chunks(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, np.
         at = to
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have about ``limit`` bytes; a longer text is a run of its own."""
+    sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def runs(
     points: np.ndarray, offsets: np.ndarray, marks: bool = False, stems: tuple[int, ...] = ()
 ) -> tuple[np.ndarray, ...]:
