@@ -23,6 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lexigrid.operators.lookup import lookup_join
 from lexigrid.session import staged
 
+_COLUMNS = 64
+
+
 @dataclass(frozen=True)
 class MultinomialNB:
     """Sums of the training rows, by feature in a table and by class in lists.
@@ -118,6 +121,20 @@ def _class_number(classes: Sequence[str]) -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int") - 1
 
 
+@dataclass(frozen=True)
+class NestedNB:
+    """Models of nested parts of the training rows, from one table of sums.
+
+    ``models[p]`` knows the rows whose first part is ``p`` or an earlier one; its
+    ``sums`` are those of the last part.  ``dense`` has ``feature, by`` (and
+    ``scale``): for every class, part and fold the sum outside the fold and, last,
+    of all rows of the part.
+    """
+
+    models: tuple[MultinomialNB, ...]
+    dense: DataFrame
+
+
 def fit(
     features: DataFrame,
     docs: DataFrame,
@@ -134,50 +151,76 @@ def fit(
     list and its counts are on the driver, as labels are few next to rows.
     ``max_abs`` divides every feature by its largest value in the training rows.
     """
+    return _fit(features, docs, alpha, train, folds, max_abs, 1)[0][0]
+
+
+def fit_parts(
+    features: DataFrame, docs: DataFrame, parts: int, train: Column | None = None, folds: int = 1, max_abs: bool = False
+) -> NestedNB:
+    """Models of all parts; both inputs have ``part``, the first of the parts ``0 .. parts - 1`` a row is in, or null."""
+    inside = F.col("part").isNotNull()
+    train = inside if train is None else train & inside
+    models, sums = _fit(features, docs, 1.0, train, folds, max_abs, parts)
+    return NestedNB(models, _dense(models, sums, parts))
+
+
+def _fit(
+    features: DataFrame, docs: DataFrame, alpha: float, train: Column | None, folds: int, max_abs: bool, parts: int
+) -> tuple[tuple[MultinomialNB, ...], DataFrame]:
+    """Models of the parts, and ``feature, cells``: sums by class in lists by fold and, within a fold, part."""
     train = F.col("label").isNotNull() & (F.lit(True) if train is None else train)
     fold = F.col("fold") if folds > 1 else F.lit(0)
-    counted = docs.where(train).groupBy("label", fold.alias("fold")).count().collect()
+    place = (fold * parts + F.col("part") if parts > 1 else fold).cast("int")
+    cells = folds * parts
+    counted = docs.where(train).groupBy("label", place.alias("place")).count().collect()
     classes = sorted({r["label"] for r in counted})
     k = len(classes)
-    n_docs = [[0] * k for _ in range(folds)]
+    n_docs = [[0] * k for _ in range(cells)]
     for r in counted:
-        n_docs[r["fold"]][classes.index(r["label"])] += r["count"]
+        n_docs[r["place"]][classes.index(r["label"])] += r["count"]
 
-    used = features.select("feature", F.when(train, _class_number(classes)).alias("c"), fold.alias("_fold"), "value")
-    by_fold = F.array(*[F.sum(F.when(F.col("_fold") == j, F.col("value")).otherwise(0.0)) for j in range(folds)])
+    used = features.select("feature", F.when(train, _class_number(classes)).alias("c"), place.alias("_place"), "value")
+    by_place = F.array(*[F.sum(F.when(F.col("_place") == j, F.col("value")).otherwise(0.0)) for j in range(cells)])
     cell = F.when(F.col("c").isNotNull(), F.struct("c", "s"))
     own = F.col("c").isNotNull()
-    tops = [F.max(F.when(own & (F.col("_fold") == j), F.abs("value"))).alias(f"_m{j}") for j in range(folds if max_abs else 0)]
+    tops = [F.max(F.when(own & (F.col("_place") == j), F.abs("value"))).alias(f"_m{j}") for j in range(cells if max_abs else 0)]
     sums = (
-        used.groupBy("feature", "c").agg(by_fold.alias("s"), *tops)
+        used.groupBy("feature", "c").agg(by_place.alias("s"), *tops)
         .groupBy("feature").agg(F.collect_list(cell).alias("cells"), *[F.max(f"_m{j}").alias(f"_m{j}") for j in range(len(tops))])
     )
+
+    def outside(p: int, j: int) -> list[int]:
+        """Places of the rows of a part outside a fold."""
+        return [i * parts + q for i in range(folds) if i != j for q in range(p + 1)]
+
+    every = [(p, j) for p in range(parts) for j in range(folds + 1)]
     if max_abs:
-        seen = [F.coalesce(F.col(f"_m{j}"), F.lit(0.0)) for j in range(folds)]
-        without = [[m for i, m in enumerate(seen) if i != j] for j in range(folds + 1)]
-        scale = F.array(*[F.greatest(F.lit(0.0), F.lit(0.0), *others) for others in without])
+        seen = [F.coalesce(F.col(f"_m{j}"), F.lit(0.0)) for j in range(cells)]
+        scale = F.array(*[F.greatest(F.lit(0.0), F.lit(0.0), *[seen[i] for i in outside(p, j)]) for p, j in every])
         sums = sums.select("feature", "cells", scale.alias("scale"))
     sums = staged(sums, "nb")
-    scaled: list[list[float]] = []
+    # of every class: sums by place and, if scaled, scaled sums by part and fold
+    over_all = [F.sum(F.get("s", F.lit(i))) for i in range(cells)]
     if max_abs:
-        scaled = [[0.0] * k for _ in range(folds + 1)]
-        cells = sums.select("scale", F.inline("cells"))
-        left = [
-            F.sum((_total(F.col("s")) - F.coalesce(F.get("s", F.lit(j)), F.lit(0.0))) / _divisor(F.get("scale", F.lit(j))))
-            for j in range(folds + 1)
-        ]
-        for r in cells.groupBy("c").agg(*left).collect():
-            for j in range(folds + 1):
-                scaled[j][r["c"]] = r[j + 1]
-    totals = [[0.0] * k for _ in range(folds)]
-    over_all = [F.sum(F.get("s", F.lit(j))) for j in range(folds)]
-    for r in sums.select(F.inline("cells")).groupBy("c").agg(*over_all).collect():
-        for j in range(folds):
-            totals[j][r["c"]] = r[j + 1]
-    return MultinomialNB(
-        tuple(classes), tuple(map(tuple, n_docs)), tuple(map(tuple, totals)), sums.count(), sums, alpha,
-        tuple(map(tuple, scaled)),
-    )
+        left = [sum((F.get("s", F.lit(i)) for i in outside(p, j)), F.lit(0.0)) for p, j in every]
+        over_all += [F.sum(x / _divisor(F.get("scale", F.lit(i)))) for i, x in enumerate(left)]
+    totals = [[0.0] * k for _ in over_all]
+    for r in sums.select(*(["scale"] if max_abs else []), F.inline("cells")).groupBy("c").agg(*over_all).collect():
+        for i in range(len(over_all)):
+            totals[i][r["c"]] = r[i + 1]
+
+    def of_part(p: int, table: list[list]) -> tuple[tuple, ...]:
+        """Numbers by fold of the rows of a part."""
+        return tuple(tuple(sum(table[j * parts + q][c] for q in range(p + 1)) for c in range(k)) for j in range(folds))
+
+    size = sums.count()
+    models = []
+    for p in range(parts):
+        scaled = tuple(map(tuple, totals[cells + p * (folds + 1) : cells + (p + 1) * (folds + 1)])) if max_abs else ()
+        models.append(
+            MultinomialNB(tuple(classes), of_part(p, n_docs), of_part(p, totals[:cells]), size, sums, alpha, scaled)
+        )
+    return tuple(models), sums
 
 
 def softmax(scores: Column) -> Column:
@@ -209,55 +252,104 @@ def score(
     scored by the model without its fold; rows whose fold is null are scored by
     the whole model.  Several smoothing values are scored by the same join.
     """
+    nested = NestedNB((model,), _dense((model,), model.sums, 1))
+    return score_parts(features, nested, keep, fold, [model.alpha] if alphas is None else alphas, docs, **join).drop("part")
+
+
+def score_parts(
+    features: DataFrame,
+    nested: NestedNB,
+    keep: Sequence[str] = (),
+    fold: str | None = None,
+    alphas: Sequence[float] = (1.0,),
+    docs: DataFrame | None = None,
+    **join,
+) -> DataFrame:
+    """``doc_id, *keep, part, alpha, scores, predicted``: the scores of every row by the model of every part.
+
+    One join with the sums and one exchange of a row for each document and task,
+    whatever the number of classes, folds, parts and smoothing values.
+    """
     ids = ["doc_id", *keep] + ([fold] if fold and fold not in keep else [])
-    alphas = [model.alpha] if alphas is None else list(alphas)
-    value = F.col("value")
-    known = lookup_join(features, model.sums, ["feature"], "left", row_bytes=64 + 24 * len(model.classes), **join)
-
-    by = F.lit(1.0)
-    if model.scaled:
-        last = F.lit(model.folds)
-        by = _divisor(F.get("scale", F.coalesce(F.col(fold), last) if fold else last))
-
-    def seen(x: Column) -> Column:
-        """Sum of a class outside the fold of the row."""
-        own = F.coalesce(F.get(x["s"], F.col(fold)), F.lit(0.0)) if fold else F.lit(0.0)
-        return F.struct(x["c"].alias("c"), (F.greatest(F.lit(0.0), _total(x["s"]) - own) / by).alias("s"))
-
-    # class -1 stands for the sum of known values
-    whole = F.array(F.struct(F.lit(-1).alias("c"), F.lit(0.0).alias("s")))
-    cells = F.concat(whole, F.transform("cells", seen))
-    rows = known.where("cells IS NOT NULL").select(*ids, (value / by).alias("value"), F.inline(cells))
-    gains = [
-        F.sum(F.when(F.col("c") < 0, value).otherwise(value * F.log(F.col("s") / a + 1.0))).alias(f"g{i}")
-        for i, a in enumerate(alphas)
+    models, table = nested.models, nested.dense
+    k, folds, parts = len(models[0].classes), models[0].folds, len(models)
+    at = (F.coalesce(F.col(fold), F.lit(folds)) if fold else F.lit(folds)).cast("int")
+    known = lookup_join(features, table, ["feature"], "left", row_bytes=64 + 8 * k * parts * (folds + 1), **join)
+    known = known.where("by IS NOT NULL").withColumn("_at", at)
+
+    def scale(p: int) -> Column:
+        return _divisor(F.get("scale", p * (folds + 1) + F.col("_at"))) if models[0].scaled else F.lit(1.0)
+
+    # one number for each class, part and smoothing value, and the sum of known values.  More classes than fit the
+    # columns of a row go in blocks
+    settings = [(p, a) for p in range(parts) for a in alphas]
+    wide = max(1, _COLUMNS // len(settings))
+    blocks = -(-k // wide)
+    if blocks > 1:
+        known = known.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    first = F.col("_block") * wide if blocks > 1 else F.lit(0)
+    sums = [F.sum(F.col("value") / scale(p)).alias(f"m{p}") for p in range(parts)]
+    for c in range(min(k, wide)):
+        for i, (p, a) in enumerate(settings):
+            mass = F.get("by", ((first + c) * parts + p) * (folds + 1) + F.col("_at")) / scale(p)
+            gain = F.col("value") / scale(p) * F.log(mass / a + 1.0)
+            sums.append(F.sum(F.when(mass > 0, gain)).alias(f"g{c}_{i}"))
+    group = ["doc_id", "_block"] if blocks > 1 else ["doc_id"]
+    lists = [
+        F.array(*[F.coalesce(F.col(f"g{c}_{i}"), F.lit(0.0)) for c in range(min(k, wide))]).alias(f"g{i}")
+        for i in range(len(settings))
     ]
-    parts = rows.groupBy(*ids, "c").agg(*gains)
-    by_class = F.map_from_entries(F.collect_list(F.struct("c", F.array(*[f"g{i}" for i in range(len(alphas))]))))
-    found = parts.groupBy(*ids).agg(by_class.alias("_g"))
+    found = known.groupBy(*group).agg(*sums).select(*group, *[f"m{p}" for p in range(parts)], *lists)
+    if blocks > 1:
+        ordered = F.array_sort(F.collect_list(F.struct("_block", *[f"g{i}" for i in range(len(settings))])))
+        found = found.groupBy("doc_id").agg(*[F.max(f"m{p}").alias(f"m{p}") for p in range(parts)], ordered.alias("_all"))
+        found = found.select("*", *[F.flatten(F.col(f"_all.g{i}")).alias(f"g{i}") for i in range(len(settings))])
     every = features.select(*ids).distinct() if docs is None else docs.select(*ids)
-    found = every.join(found.select("doc_id", "_g"), "doc_id", "left")
-
-    def gained(c: Column, i: int) -> Column:
-        return F.coalesce(F.get(F.try_element_at("_g", c), F.lit(i)), F.lit(0.0))
+    found = found.select(
+        F.col("doc_id").alias("_id"), *[f"m{p}" for p in range(parts)], *[f"g{i}" for i in range(len(settings))]
+    )
+    found = every.join(found, every["doc_id"] == F.col("_id"), "left")
 
     def by_fold(values) -> Column:
         """Numbers by class that depend on the fold; rows without a fold use all."""
         if fold is None:
             return F.lit(values(None))
-        table = F.array(*[F.lit(values(j)) for j in [*range(model.folds), None]])
-        return F.get(table, F.coalesce(F.col(fold), F.lit(model.folds)))
+        table = F.array(*[F.lit(values(j)) for j in [*range(folds), None]])
+        return F.get(table, F.coalesce(F.col(fold), F.lit(folds)))
 
-    def log_scores(i: int, a: float) -> Column:
+    def log_scores(i: int, p: int, a: float) -> Column:
+        model = models[p]
         fixed = F.arrays_zip(by_fold(model.log_priors).alias("p"), by_fold(lambda j: model.penalties(j, a)).alias("q"))
-        mass = gained(F.lit(-1), i)
-        return F.transform(fixed, lambda x, c: x["p"] - mass * x["q"] + gained(c, i))
+        gained = lambda c: F.coalesce(F.get(f"g{i}", c), F.lit(0.0))
+        mass = F.coalesce(F.col(f"m{p}"), F.lit(0.0))
+        return F.transform(fixed, lambda x, c: x["p"] - mass * x["q"] + gained(c))
 
     results = [
-        F.struct(F.lit(float(a)).alias("alpha"), log_scores(i, a).alias("scores")) for i, a in enumerate(alphas)
+        F.struct(F.lit(p).alias("part"), F.lit(float(a)).alias("alpha"), log_scores(i, p, a).alias("scores"))
+        for i, (p, a) in enumerate(settings)
     ]
     scored = found.select(*ids, F.inline(F.array(*results)))
-    return scored.withColumn("predicted", best_of(model.classes, F.col("scores")))
+    return scored.withColumn("predicted", best_of(models[0].classes, F.col("scores")))
+
+
+def _dense(models: Sequence[MultinomialNB], sums: DataFrame, parts: int) -> DataFrame:
+    """``feature, by`` (``scale``) as in ``NestedNB``."""
+    folds, k = models[0].folds, len(models[0].classes)
+    cells = F.map_from_entries(F.transform("cells", lambda x: F.struct(x["c"], x["s"])))
+
+    def of_class(c: Column) -> Column:
+        s = F.coalesce(F.try_element_at(F.col("_cells"), c), F.array(*[F.lit(0.0)] * (folds * parts)))
+        upto = lambda p, j: sum((F.get(s, F.lit(j * parts + q)) for q in range(p + 1)), F.lit(0.0))
+        each = []
+        for p in range(parts):
+            by_fold = [upto(p, j) for j in range(folds)]
+            each += [sum((x for i, x in enumerate(by_fold) if i != j), F.lit(0.0)) for j in range(folds)]
+            each.append(sum(by_fold, F.lit(0.0)))
+        return F.array(*each)
+
+    by = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), of_class)) if k else F.array().cast("array<double>")
+    columns = ["scale"] if models[0].scaled else []
+    return staged(sums.withColumn("_cells", cells).select("feature", by.alias("by"), *columns), "dense")
 
 
 def cross_fit(

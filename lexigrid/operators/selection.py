@@ -9,6 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexigrid.operators import metrics, naive_bayes, splits
+from lexigrid.session import staged
 
 
 def parameter_grid(stages: Mapping[str, Mapping[str, Sequence]]) -> list[dict]:
@@ -66,27 +67,35 @@ def learning_curve(
     ``stratified_split``; ``features`` has its columns, so whether a row is in
     a part follows from its rank, without a join by document.  Vocabulary and
     size are those of all rows, as in the main run.
+
+    The parts are nested, so sums by the first part a row is in give all of them:
+    features are read twice, whatever the number of parts.
     """
-    curve = []
+    if parts < 2:
+        raise ValueError("a curve needs two parts at least")
     train = split.where(F.col("split") == "train")
-    for part in range(parts - 1, 0, -1):
-        # one row for each label
-        quotas = F.broadcast(splits.subset_quotas(train, part, parts))
-        inside = (F.col("split") == "train") & (F.col("rank") < F.col("quota"))
-
-        def marked(rows: DataFrame) -> DataFrame:
-            fold = F.when(F.col("_in"), splits.fold_of(F.col("rank"), folds))
-            return rows.join(quotas, "label").withColumn("_in", inside).withColumn("fold", fold)
-
-        preds = naive_bayes.out_of_fold(
-            marked(features), marked(split), folds, alphas, ["label", "split"], F.col("_in"),
-            (F.col("split") == "test") | F.col("_in"), max_abs, **join,
-        )
-        by_alpha = metrics.averaged_f1(preds, average, ["alpha", "split"])
-        sides = by_alpha.groupBy("alpha").agg(
-            F.max(F.when(F.col("split") == "train", F.col("score"))).alias("train"),
-            F.max(F.when(F.col("split") == "test", F.col("score"))).alias("test"),
-        )
-        best = sides.orderBy(F.desc("train"), F.desc("alpha")).limit(1)
-        curve.append(best.select(F.lit(part / parts).alias("prop"), "alpha", "train", "test"))
-    return reduce(lambda a, b: a.unionByName(b), curve)
+    # one row for each label
+    quotas = reduce(
+        lambda a, b: a.join(b, "label"),
+        [splits.subset_quotas(train, p, parts).withColumnRenamed("quota", f"_q{p}") for p in range(1, parts)],
+    )
+    quotas = F.broadcast(staged(quotas.select("label", F.array(*[f"_q{p}" for p in range(1, parts)]).alias("_q")), "quotas"))
+    first = F.size(F.filter("_q", lambda q: F.col("rank") >= q))
+    part = F.when((F.col("split") == "train") & (first < parts - 1), first)
+
+    def marked(rows: DataFrame) -> DataFrame:
+        rows = rows.join(quotas, "label").withColumn("part", part).drop("_q")
+        return rows.withColumn("fold", F.when(F.col("part").isNotNull(), splits.fold_of(F.col("rank"), folds)))
+
+    rows, sides = marked(features), marked(split).withColumnRenamed("part", "first")
+    asked = (F.col("split") == "test") | F.col("first").isNotNull()
+    nested = naive_bayes.fit_parts(rows, sides.withColumnRenamed("first", "part"), parts - 1, folds=folds, max_abs=max_abs)
+    preds = naive_bayes.score_parts(
+        rows.withColumnRenamed("part", "first").where(asked), nested, ["label", "split", "first"], "fold", alphas,
+        sides.where(asked), **join,
+    ).where((F.col("split") == "test") | (F.col("first") <= F.col("part")))
+    scores = metrics.averaged_f1(preds, average, ["part", "alpha", "split"])
+    side = [F.max(F.when(F.col("split") == x, F.col("score"))).alias(x) for x in ("train", "test")]
+    best = scores.groupBy("part", "alpha").agg(*side).groupBy("part").agg(F.max(F.struct("train", "alpha", "test")).alias("_b"))
+    prop = (F.col("part") + 1) / F.lit(float(parts))
+    return best.select(prop.alias("prop"), "_b.alpha", "_b.train", "_b.test").orderBy(F.desc("prop"))

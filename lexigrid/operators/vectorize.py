@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lexigrid.operators.lookup import lookup_join
 from lexigrid.operators.ranking import exact_rank
+from lexigrid.session import staged
 
 
 def fit_vocabulary(features: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def tf_idf(features: DataFrame, idf: DataFrame, **join) -> DataFrame:
     """
     found = lookup_join(features, idf, ["feature"], **join)
     weighted = found.withColumn("value", F.col("value") * F.col("idf")).drop("idf")
-    lengths = weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_length"))
+    lengths = staged(weighted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_length")), "lengths")
     scaled = lookup_join(weighted, lengths, ["doc_id"], row_bytes=32)
     value = F.when(F.col("_length") == 0, 0.0).otherwise(F.col("value") / F.col("_length"))
     return scaled.withColumn("value", value).select(*features.columns)

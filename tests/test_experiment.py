@@ -128,7 +128,7 @@ def test_experiment_with_estimators(spark, docs, tmp_path):
     forest = estimators.Pipe("clf", estimators.random_forest(5, 3), {"maxDepth": [1]})
     config = ExperimentConfig("stages", extractors=[Ngrams("text", (1,))], cv=2)
     run = EstimatorExperiment(config, [forest, svm]).run(docs)
-    assert run.grid.count() == 3 and run.classifier.startswith("Pipeline(regParam=0.1")
+    assert run.grid.count() == 3 and run.classifier.startswith("LinearSVC(regParam=0.1")
     assert {r["split"]: r["score"] for r in run.scores.collect()} == {"train": 1.0, "test": 1.0}
     assert run.predictions.count() == 40
     found = {r["doc_id"]: r for r in run.classify(read_texts(spark, ["good nice", "awful bad", "zzz"])).collect()}

@@ -278,3 +278,41 @@ def test_learning_curve_trains_on_what_it_says(spark, docs):
     preds = [(table[i][1], ["neg", "pos"][int(np.argmax(s))]) for i, s in raw.items()]
     expected = metrics.averaged_f1(spark.createDataFrame(preds, "label string, predicted string"), "weighted").first()["score"]
     assert curve[0.5]["test"] == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("max_abs", [False, True])
+def test_curve_from_one_table_of_sums(spark, docs, max_abs, monkeypatch):
+    """Every part scored as if it had been trained by itself; classes in blocks or in one row."""
+    sides = staged(splits.stratified_split(docs, seed=3), "sides")
+    rows = staged(words(docs.drop("label").join(sides, "doc_id"), ["label", "split", "rank"]), "features")
+    got = {round(r["prop"], 2): r for r in selection.learning_curve(rows, sides, 4, 3, (0.1, 1.0), max_abs=max_abs).collect()}
+    assert sorted(got) == [0.25, 0.5, 0.75]
+    for part in (1, 2, 3):
+        inside = splits.nested_subset(sides.where("split = 'train'"), part, 4)
+        fold = F.when(F.col("_in"), splits.fold_of(F.col("rank"), 3))
+        marks = inside.select("doc_id", F.lit(True).alias("_in"))
+        side = staged(sides.join(marks, "doc_id", "left").fillna(False, ["_in"]).withColumn("fold", fold), "side")
+        feats = rows.join(side.select("doc_id", "_in", "fold"), "doc_id")
+        preds = naive_bayes.out_of_fold(
+            feats, side, 3, (0.1, 1.0), ["label", "split"], F.col("_in"), (F.col("split") == "test") | F.col("_in"), max_abs
+        )
+        scores = metrics.averaged_f1(preds, "weighted", ["alpha", "split"]).collect()
+        best = max((r["score"], r["alpha"]) for r in scores if r["split"] == "train")
+        want = next(r["score"] for r in scores if r["split"] == "test" and r["alpha"] == best[1])
+        found = got[part / 4]
+        assert (found["train"], found["alpha"], found["test"]) == pytest.approx((*best, want))
+    whole = scores_of(naive_bayes.score(rows, naive_bayes.fit(rows, sides, folds=1), alphas=(0.5,)))
+    monkeypatch.setattr(naive_bayes, "_COLUMNS", 1)
+    blocks = scores_of(naive_bayes.score(rows, naive_bayes.fit(rows, sides, folds=1), alphas=(0.5,)))
+    for id, scores in whole.items():
+        assert blocks[id] == pytest.approx(scores)
+
+
+def test_scoring_moves_one_row_for_each_document(spark, docs):
+    """No feature row is exchanged: the sums are broadcast, added up in place and grouped by document."""
+    rows = staged(words(docs, ["label"]), "features")
+    model = naive_bayes.fit(rows, docs)
+    plan = naive_bayes.score(rows, model, ["label"], docs=docs)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 2  # partial sums by document, and the documents unless they are few
+    assert "Generate inline(cells" not in plan and "collect_list" not in plan
