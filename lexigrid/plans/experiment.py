@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lexigrid.operators import explain, metrics, naive_bayes, selection, splits
+from lexigrid.operators import explain, metrics, naive_bayes, selection, splits, vectorize
 from lexigrid.operators.annotate import Annotator
 from lexigrid.operators.features import Extractor, Ngrams, extract_features
 from lexigrid.operators.naive_bayes import MultinomialNB
@@ -41,6 +41,7 @@ class ExperimentConfig:
     lime_samples: int = 100
     train_source: Sequence[str] = ()
     test_source: Sequence[str] = ()
+    lime_source: Sequence[str] = ()
 
 
 @dataclass(frozen=True)
@@ -58,6 +59,7 @@ class FittedExperiment:
     curve: DataFrame | None
     explanations: DataFrame | None
     duration: float
+    explained: DataFrame | None = None
 
     def classify(self, docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """``doc_id, *keep, proba, predicted, probability`` of new texts."""
@@ -65,34 +67,8 @@ class FittedExperiment:
 
     def record(self) -> DataFrame:
         """The row of the overview table."""
-        c = self.config
-        test = self.scores.where("split = 'test'").first()
-        explained = []
-        if self.explanations is not None:
-            chosen = explain.choose_explanation(self.explanations).groupBy("doc_id").agg(
-                F.collect_list(F.struct("word", "weight")).alias("expl")
-            )
-            order = explain.class_probabilities(self.explanations).groupBy("doc_id").agg(
-                F.array_sort(F.collect_list(F.struct("place", "label", "probability"))).alias("p")
-            )
-            for r in chosen.join(order, "doc_id").orderBy("doc_id").collect():
-                explained.append((r["expl"], [x["probability"] for x in r["p"]], [x["label"] for x in r["p"]]))
-        row = {
-            "project": c.project,
-            "name": c.name,
-            "clf": type(self.model).__name__,
-            "clf_full": f"{type(self.model).__name__}(alpha={self.model.alpha})",
-            "features": ",".join(str(e) for e in c.extractors),
-            "train_data": list(c.train_source) or ["-"],
-            "train_data_path": list(c.train_source),
-            "train_data_repr": list(c.train_source),
-            "test_data": list(c.test_source) or ["split"],
-            "test_data_path": list(c.test_source),
-            "test_data_repr": list(c.test_source),
-            "lime_data_comp": explained,
-            "test_score": test["score"] if test else None,
-            "dur": self.duration,
-        }
+        name = f"{type(self.model).__name__}(alpha={self.model.alpha})"
+        row = record_of(self.config, name, self.scores, self.explanations, self.explained, self.duration)
         return records(self.predictions.sparkSession, [row])
 
     def log(self) -> DataFrame:
@@ -132,6 +108,48 @@ class FittedExperiment:
             registry.upsert("curve", self.curve.withColumn("name", name))
 
 
+def record_of(
+    c: ExperimentConfig, classifier: str, scores: DataFrame, explanations: DataFrame | None, explained: DataFrame | None, duration: float
+) -> dict:
+    """The fields of an experiment's record.
+
+    Documents that were explained are named by their source; without one the
+    texts themselves stand there.  Their number is a setting of the run.
+    """
+    test = scores.where("split = 'test'").first()
+    found, texts = [], []
+    if explanations is not None:
+        chosen = explain.choose_explanation(explanations).groupBy("doc_id").agg(
+            F.array_sort(F.collect_list(F.struct((-F.abs("weight")).alias("k"), "word", "weight"))).alias("e")
+        )
+        order = explain.class_probabilities(explanations).groupBy("doc_id").agg(
+            F.array_sort(F.collect_list(F.struct("place", "label", "probability"))).alias("p")
+        )
+        for r in chosen.join(order, "doc_id").orderBy("doc_id").collect():
+            found.append(([(x["word"], x["weight"]) for x in r["e"]], [x["probability"] for x in r["p"]], [x["label"] for x in r["p"]]))
+    if explained is not None:
+        texts = [r["text"] for r in explained.orderBy("doc_id").collect()]
+    return {
+        "project": c.project,
+        "name": c.name,
+        "clf": classifier.split("(")[0],
+        "clf_full": classifier,
+        "features": ",".join(str(e) for e in c.extractors),
+        "train_data": list(c.train_source) or ["-"],
+        "train_data_path": list(c.train_source),
+        "train_data_repr": list(c.train_source),
+        "test_data": list(c.test_source) or ["split"],
+        "test_data_path": list(c.test_source),
+        "test_data_repr": list(c.test_source),
+        "lime_data": list(c.lime_source) or texts or ["-"],
+        "lime_data_path": list(c.lime_source),
+        "lime_data_repr": texts,
+        "lime_data_comp": found,
+        "test_score": test["score"] if test else None,
+        "dur": duration,
+    }
+
+
 def scaled_extractors(config: ExperimentConfig, maxima: DataFrame | None) -> list[Extractor]:
     """The extractors of a run, followed by its scaling."""
     if maxima is None:
@@ -181,6 +199,8 @@ class Experiment:
         started = time.monotonic()
         c = self.config
         is_train = F.col("split") == "train"
+        if vectorize.is_single_class(docs):
+            raise ValueError("there is nothing to learn from fewer than two labels")
         sides = split_and_fold(docs, c, hold_out=test_docs is None)
         twice = sides.groupBy("doc_id").count().where("count > 1").first()
         if twice:
@@ -230,9 +250,9 @@ class Experiment:
             shapes, curve, None, round(time.monotonic() - started, 1),
         )
         if c.lime_docs:
-            chosen = head_docs(test_docs if test_docs is not None else docs, c.lime_docs).select("doc_id", "text")
+            chosen = staged(head_docs(test_docs if test_docs is not None else docs, c.lime_docs).select("doc_id", "text"), "explained")
             found = staged(explain.explain(chosen, fitted.classify, c.lime_samples, seed=c.seed), "lime")
-            fitted = FittedExperiment(**{**fitted.__dict__, "explanations": found})
+            fitted = replace(fitted, explanations=found, explained=chosen)
         return fitted
 
 

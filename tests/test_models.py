@@ -316,3 +316,31 @@ def test_scoring_moves_one_row_for_each_document(spark, docs):
     plan = plan.split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") <= 2  # partial sums by document, and the documents unless they are few
     assert "Generate inline(cells" not in plan and "collect_list" not in plan
+
+
+def test_gaussian_out_of_fold_equals_refits(spark):
+    """Large values with a small spread, zeros, a feature that every row has, and one that a fold lacks."""
+    rng = np.random.default_rng(11)
+    rows, docs = [], []
+    for i in range(60):
+        label = "a" if i % 3 else "b"
+        docs.append((i, label, i % 4))
+        rows.append((i, "time", 1.7e9 + (i % 7) + (3.0 if label == "a" else 0.0), label, i % 4))
+        for f in range(5):
+            if rng.random() < 0.5:
+                rows.append((i, f"f{f}", float(rng.normal(f, 1 + f)), label, i % 4))
+        if i % 4 == 2:
+            rows.append((i, "once", float(i), label, 2))
+    feats = staged(spark.createDataFrame(rows, "doc_id long, feature string, value double, label string, fold int"), "feats")
+    sides = spark.createDataFrame(docs + [(99, "a", 1)], "doc_id long, label string, fold int")
+    found, model = gaussian.cross_fit(feats, sides, 4, ["label"])
+    got = scores_of(found)
+    assert len(got) == 61 and model.folds == 4
+    for j in range(4):
+        plain = gaussian.fit(feats.where(f"fold <> {j}"), sides.where(f"fold <> {j}"))
+        for id, want in scores_of(gaussian.score(feats.where(f"fold = {j}"), plain, docs=sides.where(f"fold = {j}"))).items():
+            assert got[id] == pytest.approx(want, rel=1e-6)  # of values near 2e9, a spread of 1
+    whole = scores_of(gaussian.score(feats, gaussian.fit(feats, sides), docs=sides))
+    merged = scores_of(gaussian.score(feats, model.merged(), docs=sides))
+    for id, want in whole.items():
+        assert merged[id] == pytest.approx(want, rel=1e-6)
