@@ -12,11 +12,13 @@ from lexigrid.catalog.base import (
     language_docs, nb_sql, quality_docs, query, quotas_sql, ranks_sql, role_docs, split_sql, table,
 )
 from lexigrid.operators import estimators, gaussian, metrics, naive_bayes, selection, splits, vectorize
+from lexigrid.operators.classifiers import LinearMachines
 from lexigrid.operators.features import Meta, Ngrams, SimpleStats, extract_features
 from lexigrid.operators.ngrams import gram_occurrences, ngrams
 from lexigrid.operators.placement import by_document
 from lexigrid.plans.estimator_experiment import EstimatorExperiment, load_estimators
 from lexigrid.plans.experiment import ExperimentConfig
+from lexigrid.plans.search import Search
 from lexigrid.plans.serve import best_only, classify, classify_features, hard_labels, vectorize as vectorize_texts
 from lexigrid.session import new_path, staged
 from lexigrid.sources.readers import read_docs
@@ -274,12 +276,10 @@ def estimator_grid(spark, sf_dir):
 
 @query()
 def svm_experiment(spark, sf_dir):
-    """A whole experiment with a scaler and a grid over a linear SVM."""
-    docs = language_docs(spark, sf_dir)
-    n = docs.count()
-    svm = estimators.Pipe("clf", estimators.linear_svm(1.0, n), {"regParam": [1.0 / n, 10.0 / n]})
-    config = ExperimentConfig("svm", extractors=[SimpleStats(True, False, False)], max_abs=True, cv=3)
-    return EstimatorExperiment(config, [svm]).run(docs).report
+    """A whole experiment with a scaler, five folds and ten penalties of a linear SVM."""
+    penalties = tuple(round(10 ** (-2 + k / 3), 6) for k in range(10))
+    config = ExperimentConfig("svm", extractors=[SimpleStats(True, False, False)], max_abs=True)
+    return Search(config, [LinearMachines(penalties)]).run(language_docs(spark, sf_dir)).report
 
 
 @query("SELECT doc_id, true AS same FROM documents")
