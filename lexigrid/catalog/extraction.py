@@ -279,7 +279,7 @@ def vocabulary(spark, sf_dir):
 
 
 @query(
-    f"WITH f AS ({_WORD1}), s AS ({split_sql(LANGUAGE_SQL)}), v AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx"
+    f"WITH f AS MATERIALIZED ({_WORD1}), s AS MATERIALIZED ({split_sql(LANGUAGE_SQL)}), v AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx"
     " FROM (SELECT DISTINCT feature FROM f JOIN s ON f.doc_id = s.doc_id WHERE split = 'train'))"
     " SELECT f.doc_id, v.idx, f.value FROM f JOIN s ON f.doc_id = s.doc_id JOIN v ON v.feature = f.feature WHERE split = 'test'"
 )
@@ -331,7 +331,7 @@ def sparse_vectors(spark, sf_dir):
 
 
 @query(
-    f"WITH f AS ({_WORD1}), s AS ({split_sql(LANGUAGE_SQL)}), m AS (SELECT feature, max(abs(value)) AS m FROM f JOIN s ON f.doc_id = s.doc_id"
+    f"WITH f AS MATERIALIZED ({_WORD1}), s AS MATERIALIZED ({split_sql(LANGUAGE_SQL)}), m AS (SELECT feature, max(abs(value)) AS m FROM f JOIN s ON f.doc_id = s.doc_id"
     " WHERE split = 'train' GROUP BY feature) SELECT f.doc_id, f.feature, round(f.value / m.m, 9) AS value"
     " FROM f JOIN s ON f.doc_id = s.doc_id JOIN m ON m.feature = f.feature WHERE split = 'test'"
 )
