@@ -33,6 +33,8 @@ class TrainingSet:
     """``features(doc_id, label, fold, feature, value)`` and ``docs(doc_id, label, fold)``.
 
     Rows without a fold are no training rows; they only add to the vocabulary.
+    Values are divided by their feature's largest one (``max_abs``) or weighted by
+    ``tf_idf``, fitted without the fold that is predicted.
     """
 
     features: DataFrame
@@ -41,6 +43,38 @@ class TrainingSet:
     max_abs: bool = False
     seed: int = 42
     join: dict = field(default_factory=dict)
+    tf_idf: bool = False
+
+    def __post_init__(self):
+        if self.max_abs and self.tf_idf:
+            raise ValueError("values are either scaled or weighted")
+
+    @cached_property
+    def idf(self) -> DataFrame:
+        """``feature, idf`` without each fold and, last, of all training rows."""
+        return staged(vectorize.fit_idf_by_fold(self.features, self.docs, self.folds), "idf")
+
+    @cached_property
+    def last_idf(self) -> DataFrame:
+        return staged(self.idf.select("feature", F.get("idf", F.lit(self.folds)).alias("idf")), "idf")
+
+    @cached_property
+    def _weighted(self) -> tuple[DataFrame, DataFrame]:
+        rows, lengths = vectorize.tf_idf_by_fold(self.features, self.idf, **self.join)
+        return staged(rows, "weighted"), lengths
+
+    @cached_property
+    def weighted(self) -> DataFrame:
+        """The feature rows with ``values``, by ``tf_idf``."""
+        return self._weighted[0]
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        return self._weighted[1]
+
+    def fitted(self, model: "Model") -> "Model":
+        """A model of weighted values that weighs what it is given."""
+        return WeightedModel(model, self.last_idf, self.join) if self.tf_idf else model
 
     @cached_property
     def train(self) -> DataFrame:
@@ -68,6 +102,23 @@ class TrainingSet:
         return staged(vectorize.transform(self.rows, self.vocabulary, ["fold"], **self.join), "cells")
 
 
+@dataclass(frozen=True)
+class WeightedModel:
+    """A model behind the TF-IDF of all training rows."""
+
+    model: "Model"
+    idf: DataFrame
+    join: dict = field(default_factory=dict)
+
+    @property
+    def classes(self) -> tuple[str, ...]:
+        return self.model.classes
+
+    def classify(self, features: DataFrame, keep: Sequence[str] = (), docs: DataFrame | None = None) -> DataFrame:
+        every = features.select("doc_id", *keep).distinct() if docs is None else docs
+        return self.model.classify(vectorize.tf_idf(features, self.idf, **self.join), keep, every)
+
+
 class Model(Protocol):
     """A fitted classifier; ``classify`` gives ``doc_id, *keep, proba, predicted, probability``."""
 
@@ -125,6 +176,8 @@ class MultinomialBayes:
 
     def search(self, data: TrainingSet) -> Searched:
         inside = F.col("fold").isNotNull()
+        if data.tf_idf:
+            return self._weighted(data)
         scored, model = naive_bayes.cross_fit(
             data.features, data.docs, data.folds, self.alphas, ["label"], inside, inside & F.col("label").isNotNull(),
             data.max_abs, **data.join,
@@ -138,6 +191,19 @@ class MultinomialBayes:
 
         return Searched("MultinomialNB", [f"alpha={a}" for a in self.alphas], oof, chosen)
 
+    def _weighted(self, data: TrainingSet) -> Searched:
+        nested, whole = naive_bayes.fit_weighted(data.weighted, data.docs, data.folds)
+        rows = data.weighted.where("fold IS NOT NULL AND label IS NOT NULL")
+        rows = rows.withColumn("value", F.get("values", F.col("fold")))
+        scored = naive_bayes.score_parts(rows, nested, ["label"], "fold", self.alphas, data.train, **data.join)
+        place = F.array_position(F.array(*[F.lit(float(a)) for a in self.alphas]), F.col("alpha")).cast("int") - 1
+        oof = scored.select("doc_id", "label", "fold", place.alias("setting"), "predicted")
+
+        def chosen(i: int) -> Model:
+            return data.fitted(ScoredModel(whole.with_alpha(self.alphas[i]), None, data.join))
+
+        return Searched("MultinomialNB", [f"alpha={a}" for a in self.alphas], oof, chosen)
+
 
 @dataclass(frozen=True)
 class GaussianBayes:
@@ -148,14 +214,13 @@ class GaussianBayes:
     def search(self, data: TrainingSet) -> Searched:
         parts, models = [], []
         for i, s in enumerate(self.smoothings):
-            scored, model = gaussian.cross_fit(
-                data.rows, data.train, data.folds, ["label"], s, max_abs=data.max_abs, **data.join
-            )
+            rows = data.weighted.where("fold IS NOT NULL AND label IS NOT NULL") if data.tf_idf else data.rows
+            scored, model = gaussian.cross_fit(rows, data.train, data.folds, ["label"], s, max_abs=data.max_abs, **data.join)
             parts.append(scored.select("doc_id", "label", "fold", F.lit(i).alias("setting"), "predicted"))
             models.append(model)
         oof = reduce(lambda a, b: a.unionByName(b), parts)
         settings = [f"var_smoothing={s}" for s in self.smoothings]
-        return Searched("GaussianNB", settings, oof, lambda i: ScoredModel(models[i].merged(), None, data.join))
+        return Searched("GaussianNB", settings, oof, lambda i: data.fitted(ScoredModel(models[i].merged(), None, data.join)))
 
 
 @dataclass(frozen=True)
@@ -182,12 +247,18 @@ class LinearMachines:
 
     def search(self, data: TrainingSet) -> Searched:
         rows = linear.sparse_rows(data.cells, data.train, ["label", "fold"])
-        scale = _maxima(data) if data.max_abs else None
+        scale = _maxima(data) if data.max_abs else _inverse_idf(data) if data.tf_idf else None
+        if data.tf_idf:
+            lengths = data.lengths.select(F.col("doc_id").alias("_id"), "norm")
+            none = F.array(*[F.lit(0.0)] * (data.folds + 1))
+            rows = rows.join(lengths, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("norm", F.coalesce("norm", none))
+            rows = staged(rows, "rows")
         machines = linear.fit_all(rows, data.size, data.labels, data.folds, self.penalties, scale, self.passes, self.tol)
         scored = staged(linear.margins(rows, machines, ["label", "fold"]), "margins")
 
         def chosen(i: int) -> Model:
-            return MachineModel(linear.chosen(machines, i, data.vocabulary, scored), data.join)
+            last = scale[-1] if data.tf_idf else None
+            return data.fitted(MachineModel(linear.chosen(machines, i, data.vocabulary, scored, last), data.join))
 
         return Searched("LinearSVM", [f"C={c}" for c in self.penalties], scored.drop("margins"), chosen)
 
@@ -202,6 +273,14 @@ def _maxima(data: TrainingSet) -> np.ndarray:
     return np.where(found > 0, found, 1.0)
 
 
+def _inverse_idf(data: TrainingSet) -> np.ndarray:
+    """What TF-IDF divides values by, before lengths: a row without each fold and, last, of all training rows."""
+    table = data.idf.join(data.vocabulary, "feature").select("idx", "idf").toArrow()  # as large as the weights
+    found = np.ones((data.folds + 1, data.size))
+    found[:, table["idx"].to_numpy()] = 1 / np.array(table["idf"].to_pylist(), np.float64).reshape(-1, data.folds + 1).T
+    return found
+
+
 @dataclass(frozen=True)
 class StageClassifier:
     """A fitted pipeline of stages with the labels and vocabulary it was fitted on."""
@@ -246,23 +325,32 @@ class Stages:
                 grid = grid.addGrid(estimators.find_param(p.stage, name), list(values))
         settings = grid.build()
         estimator = Pipeline(stages=[p.stage for p in pipes])
-        vectors = estimators.to_vectors(data.cells.drop("fold"), data.size, docs=data.train)
+        if data.tf_idf:
+            weighted = staged(vectorize.transform(
+                data.weighted.where("fold IS NOT NULL AND label IS NOT NULL").withColumn("value", F.col("values")), data.vocabulary, **data.join
+            ), "cells")
+
+        def vectors_of(j: int) -> DataFrame:
+            """Vectors as a model without fold ``j`` sees them, or the one of all rows."""
+            cells = weighted.withColumn("value", F.get("value", F.lit(j))) if data.tf_idf else data.cells.drop("fold")
+            found = estimators.to_vectors(cells, data.size, docs=data.train).withColumn("label_idx", index)
+            return found.withColumnRenamed("features", "unscaled") if data.max_abs else found
+
         index = (F.array_position(F.array(*[F.lit(c) for c in data.labels]), F.col("label")) - 1).cast("double")
-        vectors = vectors.withColumn("label_idx", index)
-        vectors = vectors.withColumnRenamed("features", "unscaled") if data.max_abs else vectors
+        vectors = vectors_of(data.folds)
         names = F.array(*[F.lit(c) for c in data.labels])
         label = F.get(names, F.col("predicted_idx").cast("int")).alias("predicted")
         parts = []
         for j in range(data.folds):
-            inside = vectors.where(F.col("fold") != j)
-            for i, model in estimator.fitMultiple(inside, settings):
-                found = model.transform(vectors.where(F.col("fold") == j))
+            seen = vectors_of(j) if data.tf_idf else vectors
+            for i, model in estimator.fitMultiple(seen.where(F.col("fold") != j), settings):
+                found = model.transform(seen.where(F.col("fold") == j))
                 parts.append(found.select("doc_id", "label", "fold", F.lit(i).alias("setting"), label))
         oof = reduce(lambda a, b: a.unionByName(b), parts)
 
         def chosen(i: int) -> Model:
             model = estimator.fit(vectors, settings[i])
-            return StageClassifier(model, data.labels, data.vocabulary, data.size, data.max_abs, data.join)
+            return data.fitted(StageClassifier(model, data.labels, data.vocabulary, data.size, data.max_abs, data.join))
 
         said = [", ".join(f"{p.name}={v}" for p, v in s.items()) for s in settings]
         return Searched(estimators.name_of(pipes[-1].stage), said, oof, chosen)

@@ -81,7 +81,8 @@ def fit(
     With more than one fold both inputs have a ``fold`` column, and there is a
     model without each fold as well.  Rows for which ``train`` is not true take
     no part.  ``max_abs`` divides every feature by its largest value in the rows
-    of the model.
+    of the model.  Rows may have ``values`` instead: what they are worth without
+    each fold and, last, to the model of all.
     """
     if train is not None:
         features, docs = features.where(train), docs.where(train)
@@ -95,7 +96,11 @@ def fit(
     models = [*range(folds), None] if folds > 1 else [None]
     held = [[sum(s[c] for i, s in enumerate(sizes) if i != j) for c in range(k)] for j in models]
 
-    keyed = features.select("feature", "value", _class_number(classes).alias("c"), fold.cast("int").alias("f"))
+    keyed = features.select("*", _class_number(classes).alias("c"), fold.cast("int").alias("f"))
+    own = "values" in features.columns
+    if own:  # a column of values for each model: its rows are counted for it alone
+        models_of = F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(models) - 1)), lambda i: (i == len(models) - 1) | (i != F.col("f"))))
+        keyed = keyed.withColumn("f", models_of).withColumn("value", F.get("values", F.col("f")))
     seen = keyed.groupBy("feature", "c", "f").agg(
         F.count("value").cast("double").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"), F.max(F.abs("value")).alias("t")
     )
@@ -105,6 +110,8 @@ def fit(
     def model(i: int, j: int | None) -> Column:
         """Moments by class outside a fold, the absent zeros merged in without cancellation."""
         outside = F.col("cells") if j is None else F.filter("cells", lambda x: x["f"] != j)
+        if own:
+            outside = F.filter("cells", lambda x: x["f"] == i)
         counts = F.array(*[F.lit(float(n)) for n in held[i]])
 
         def of_class(c: Column) -> Column:
@@ -189,6 +196,8 @@ def score(
     at = F.coalesce(F.col(fold), last) if fold else last
     known = lookup_join(features, model.moments, ["feature"], "left", row_bytes=64 + 16 * k * len(model.base), **join)
     known = known.withColumn("_m", F.get("by", at))
+    if "values" in features.columns:
+        known = known.withColumn("value", F.get("values", at))
     here = [_term(F.col("value") / F.col("_m.scale"), F.col("_m"), c) for c in range(k)]
     zero = [_term(F.lit(0.0), F.col("_m"), c) for c in range(k)]
     full = F.col("_m.full")

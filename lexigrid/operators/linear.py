@@ -9,8 +9,9 @@ that of the steps, some tens, whatever the size of the grid.
 
 A machine minimises ``|w|^2 / 2 + C * sum(hinge)``; the hinge is rounded off
 over the last ``SMOOTH`` before it reaches zero, so that it has a gradient, and
-the intercept is not penalised.  With max-abs scaling every fold has its own
-scale; it goes into the weights, and the vectors stay as they are.
+the intercept is not penalised.  With max-abs scaling or TF-IDF every fold has
+its own scale; it goes into the weights, and the vectors stay as they are.
+Lengths that rows are divided by are a list by fold beside the vector.
 
 Tasks add up what they read and hand on one matrix each; the vectors are read
 by as many tasks as there are cores, and matrices that together are large are
@@ -89,13 +90,21 @@ def _batches(batch: pa.RecordBatch, width: int) -> Iterator[tuple[slice, np.ndar
         at = to
 
 
-def _products(n: int, row: np.ndarray, idx: np.ndarray, val: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Margins of ``n`` rows: the sparse rows times the weights, the intercept added."""
-    out = np.tile(weights[-1], (n, 1))
+def _products(n: int, row: np.ndarray, idx: np.ndarray, val: np.ndarray, weights: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+    """Margins of ``n`` rows: the sparse rows times the weights, by their lengths, the intercept added."""
+    out = np.zeros((n, weights.shape[1]))
     if len(row):
         starts = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[starts]] += np.add.reduceat(weights[idx] * val[:, None], starts)
-    return out
+        out[row[starts]] = np.add.reduceat(weights[idx] * val[:, None], starts)
+    return out * share + weights[-1]
+
+
+def _shares(batch: pa.RecordBatch, fold: np.ndarray) -> np.ndarray | None:
+    """What each machine multiplies a row by: one over its length, as seen without the fold of the machine."""
+    if "norm" not in batch.schema.names:
+        return None
+    norm = np.array(batch.column("norm").to_pylist(), np.float64).reshape(batch.num_rows, -1)
+    return np.divide(1.0, norm, out=np.zeros_like(norm), where=norm > 0)[:, fold]
 
 
 def _hinge(margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +114,10 @@ def _hinge(margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return slope * (slack - slope * (SMOOTH / 2)), slope
 
 
+def _row(rows: DataFrame) -> list[str]:
+    return ["idx", "val", *(["norm"] if "norm" in rows.columns else [])]
+
+
 def losses(rows: DataFrame, weights: np.ndarray, fold: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of losses and its gradient for each column of ``weights``, from one pass over ``rows(y, fold, idx, val)``.
 
@@ -119,13 +132,16 @@ def losses(rows: DataFrame, weights: np.ndarray, fold: np.ndarray, label: np.nda
         for batch in batches:
             ys = batch.column("y").to_numpy(zero_copy_only=False)
             folds = batch.column("fold").to_numpy(zero_copy_only=False)
+            shares = _shares(batch, fold)
             for at, row, idx, val in _batches(batch, shape[1]):
                 sign = np.where(ys[at, None] == label, 1.0, -1.0)
-                loss, slope = _hinge(sign * _products(at.stop - at.start, row, idx, val, weights))
+                share = 1.0 if shares is None else shares[at]
+                loss, slope = _hinge(sign * _products(at.stop - at.start, row, idx, val, weights, share))
                 mine = folds[at, None] != fold
                 pull = np.where(mine, -sign * slope, 0.0)
                 total[-1] += np.where(mine, loss, 0.0).sum(0)
                 total[-2] += pull.sum(0)
+                pull = pull * share
                 if len(idx):
                     order = np.argsort(idx, kind="stable")
                     starts = np.flatnonzero(np.diff(idx[order], prepend=-1))
@@ -140,7 +156,7 @@ def losses(rows: DataFrame, weights: np.ndarray, fold: np.ndarray, label: np.nda
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [key[0]], "sums": [sum(np.frombuffer(x) for x in group["sums"]).tobytes()]})
 
-    found = rows.select("y", "fold", "idx", "val").mapInArrow(walk, "part int, sums binary")
+    found = rows.select("y", "fold", *_row(rows)).mapInArrow(walk, "part int, sums binary")
     if rows.rdd.getNumPartitions() * (shape[0] + 1) * shape[1] * 8 > _GATHERED:
         found = found.groupBy("part").applyInPandas(add, "part int, sums binary")
     sums = np.zeros((shape[0] + 1) * shape[1])
@@ -226,7 +242,7 @@ def fit_all(
     """
     names = F.array(*[F.lit(c) for c in classes])
     y = (F.array_position(names, F.col("label")) - 1).cast("int").alias("y")
-    rows = rows.select(y, F.coalesce("fold", F.lit(-1)).cast("int").alias("fold"), "idx", "val")
+    rows = rows.select(y, F.coalesce("fold", F.lit(-1)).cast("int").alias("fold"), *_row(rows))
     rows = rows.coalesce(max(1, rows.sparkSession.sparkContext.defaultParallelism)).persist()
     counts = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
     total = sum(counts.values())
@@ -265,9 +281,10 @@ def margins(rows: DataFrame, machines: Machines, keep: Sequence[str] = ()) -> Da
         machines = shared.value
         for batch in batches:
             folds = batch.column("fold").fill_null(machines.folds).to_numpy(zero_copy_only=False)
+            shares = _shares(batch, machines.fold)
             out = np.zeros((batch.num_rows, n, k))
             for at, row, idx, val in _batches(batch, len(machines.fold)):
-                found = _products(at.stop - at.start, row, idx, val, machines.weights)
+                found = _products(at.stop - at.start, row, idx, val, machines.weights, 1.0 if shares is None else shares[at])
                 for j in np.unique(folds[at]).tolist():
                     these = np.flatnonzero(folds[at] == j)
                     some = found[these][:, machines.fold == j].reshape(len(these), n, -1)
@@ -278,7 +295,7 @@ def margins(rows: DataFrame, machines: Machines, keep: Sequence[str] = ()) -> Da
             columns = [batch.column(c) for c in ("doc_id", *keep)]
             yield pa.RecordBatch.from_arrays([*columns, lists], names=["doc_id", *keep, "margins"])
 
-    read = rows.select("doc_id", *keep, *([] if "fold" in keep else ["fold"]), "idx", "val")
+    read = rows.select("doc_id", *keep, *([] if "fold" in keep else ["fold"]), *_row(rows))
     fields = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
     made = read.mapInArrow(walk, f"{fields}, margins array<array<double>>")
     each = made.select("doc_id", *keep, F.posexplode("margins").alias("setting", "margins"))
@@ -340,9 +357,15 @@ class LinearSVM:
     curves: tuple[tuple[float, float], ...]
 
 
-def chosen(machines: Machines, setting: int, vocabulary: DataFrame, scored: DataFrame) -> LinearSVM:
-    """The machines of a penalty with the features' names; ``scored`` are margins out of fold, of all penalties."""
+def chosen(
+    machines: Machines, setting: int, vocabulary: DataFrame, scored: DataFrame, scale: np.ndarray | None = None
+) -> LinearSVM:
+    """The machines of a penalty with the features' names; ``scored`` are margins out of fold, of all penalties.
+
+    They read plain values, or values that are divided by ``scale`` already.
+    """
     w = machines.of(machines.folds, setting)
+    w = w if scale is None else np.concatenate([w[:-1] * scale[:, None], w[-1:]])
     w = w if len(machines.classes) != 2 else np.concatenate([-w, w], axis=1)
     spark = vocabulary.sparkSession
     k = w.shape[1]

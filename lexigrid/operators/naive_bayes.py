@@ -223,6 +223,51 @@ def _fit(
     return tuple(models), sums
 
 
+def fit_weighted(features: DataFrame, docs: DataFrame, folds: int) -> tuple[NestedNB, MultinomialNB]:
+    """Models of rows whose weights depend on the fold that is left out, and the model of all training rows.
+
+    ``features`` has ``values``: the value of a row as weighted without each fold
+    and, last, by all rows.  The sums without a fold add up its own column of
+    values.  Rows without a fold only add to the vocabulary.
+    """
+    train = F.col("fold").isNotNull() & F.col("label").isNotNull()
+    counted = docs.where(train).groupBy("label", "fold").count().collect()
+    classes = sorted({r["label"] for r in counted})
+    k = len(classes)
+    n_docs = [[0] * k for _ in range(folds)]
+    for r in counted:
+        n_docs[r["fold"]][classes.index(r["label"])] += r["count"]
+    used = features.select("feature", F.when(train, _class_number(classes)).alias("c"), "fold", "values")
+    own = F.col("c").isNotNull()
+    sums = [F.sum(F.when(own & (F.col("fold") != j), F.get("values", F.lit(j)))).alias(f"_s{j}") for j in range(folds)]
+    sums.append(F.sum(F.when(own, F.get("values", F.lit(folds)))).alias(f"_s{folds}"))
+    by_class = used.groupBy("feature", "c").agg(*sums).select(
+        "feature", "c", F.array(*[F.coalesce(F.col(f"_s{j}"), F.lit(0.0)) for j in range(folds + 1)]).alias("s")
+    )
+    cell = F.when(F.col("c").isNotNull(), F.struct("c", "s"))
+    cells = staged(by_class.groupBy("feature").agg(F.collect_list(cell).alias("cells")), "nb")
+    totals = [[0.0] * k for _ in range(folds + 1)]
+    for r in cells.select(F.inline("cells")).groupBy("c").agg(*[F.sum(F.get("s", F.lit(j))) for j in range(folds + 1)]).collect():
+        for j in range(folds + 1):
+            totals[j][r["c"]] = r[j + 1]
+    size = cells.count()
+    folded = MultinomialNB(
+        tuple(classes), tuple(map(tuple, n_docs)), (), size, cells, 1.0, tuple(map(tuple, totals))
+    )
+    seen = F.map_from_entries(F.transform("cells", lambda x: F.struct(x["c"], x["s"])))
+    none = F.array(*[F.lit(0.0)] * (folds + 1))
+    order = F.sequence(F.lit(0), F.lit(k - 1)) if k else F.array().cast("array<int>")
+    by = F.flatten(F.transform(order, lambda c: F.coalesce(F.try_element_at(F.col("_cells"), c), none)))
+    ones = F.array(*[F.lit(1.0)] * (folds + 1)).alias("scale")
+    dense = staged(cells.withColumn("_cells", seen).select("feature", by.alias("by"), ones), "dense")
+    last = F.transform("cells", lambda x: F.struct(x["c"].alias("c"), F.array(F.get(x["s"], F.lit(folds))).alias("s")))
+    whole = MultinomialNB(
+        tuple(classes), (tuple(sum(x[c] for x in n_docs) for c in range(k)),), (tuple(totals[-1]),), size,
+        staged(cells.select("feature", last.alias("cells")), "nb"),
+    )
+    return NestedNB((folded,), dense), whole
+
+
 def softmax(scores: Column) -> Column:
     """Probabilities from an array of log scores."""
     top = F.array_max(scores)

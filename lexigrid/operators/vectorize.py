@@ -75,6 +75,42 @@ def fit_idf(features: DataFrame, n_docs: int) -> DataFrame:
     return features.groupBy("feature").agg((F.log(F.lit(1.0 + n_docs) / (1.0 + df)) + 1.0).alias("idf"))
 
 
+def fit_idf_by_fold(features: DataFrame, docs: DataFrame, folds: int) -> DataFrame:
+    """``feature, idf``: a list of weights, fitted without each fold and, last, on all rows that have one.
+
+    Document frequencies are counted by fold in one pass; a fold is left out of
+    their totals.  Rows without a fold only add to the vocabulary.
+    """
+    sizes = {r["fold"]: r["count"] for r in docs.where("fold IS NOT NULL").groupBy("fold").count().collect()}
+    total = sum(sizes.values())
+    seen = [F.count_if((F.col("fold") == j) & (F.col("value") != 0)).alias(f"_d{j}") for j in range(folds)]
+    counted = features.groupBy("feature").agg(*seen)
+    every = sum((F.col(f"_d{j}") for j in range(folds)), F.lit(0))
+    weights = []
+    for j in [*range(folds), None]:
+        n = total - sizes.get(j, 0)
+        df = every if j is None else every - F.col(f"_d{j}")
+        weights.append(F.log(F.lit(1.0 + n) / (1.0 + df)) + 1.0)
+    return counted.select("feature", F.array(*weights).alias("idf"))
+
+
+def tf_idf_by_fold(features: DataFrame, idf: DataFrame, **join) -> tuple[DataFrame, DataFrame]:
+    """Feature rows with ``values``, the weighted value by each entry of ``idf``; and ``doc_id, norm``, lengths likewise.
+
+    Each weighting has length 1 for each document.  As in ``tf_idf``, only
+    lengths are shuffled.
+    """
+    n = len(idf.first()["idf"]) if not idf.isEmpty() else 0
+    found = lookup_join(features, idf, ["feature"], row_bytes=64 + 8 * n, **join)
+    weighted = F.transform("idf", lambda w: w * F.col("value"))
+    squares = [F.sum(F.pow(F.get("idf", F.lit(j)) * F.col("value"), 2)) for j in range(n)]
+    lengths = found.groupBy("doc_id").agg(F.sqrt(squares[0]).alias("_0"), *[F.sqrt(x).alias(f"_{j + 1}") for j, x in enumerate(squares[1:])])
+    lengths = staged(lengths.select("doc_id", F.array(*[f"_{j}" for j in range(n)]).alias("norm")), "lengths")
+    scaled = lookup_join(found, lengths, ["doc_id"], row_bytes=32 + 8 * n)
+    share = F.zip_with(weighted, "norm", lambda v, length: F.when(length == 0, 0.0).otherwise(v / length))
+    return scaled.withColumn("values", share).select(*features.columns, "values"), lengths
+
+
 def tf_idf(features: DataFrame, idf: DataFrame, **join) -> DataFrame:
     """Weighted values, scaled to length 1 for each document.
 

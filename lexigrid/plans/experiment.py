@@ -22,7 +22,7 @@ from lexigrid.sources.registry import Registry, records
 
 @dataclass(frozen=True)
 class ExperimentConfig:
-    """What to run.  ``proportions`` asks for a learning curve in that many
+    """What to run.  ``tf_idf`` is for a ``Search``.  ``proportions`` asks for a learning curve in that many
     parts, ``lime_docs`` for explanations of the first documents."""
 
     name: str
@@ -31,6 +31,7 @@ class ExperimentConfig:
     cleaner: Callable[[Column], Column] | None = None
     annotator: Annotator | None = None
     max_abs: bool = False
+    tf_idf: bool = False
     alphas: Sequence[float] = (1.0,)
     test_size: float = 0.3
     cv: int = 5

@@ -70,7 +70,7 @@ class Search:
 
     def _contest(self, features: DataFrame, sides: DataFrame):
         c = self.config
-        return compete(TrainingSet(features, sides, c.cv, c.max_abs, c.seed, self.join), self.classifiers, c.average)
+        return compete(TrainingSet(features, sides, c.cv, c.max_abs, c.seed, self.join, c.tf_idf), self.classifiers, c.average)
 
     def run(self, docs: DataFrame, test_docs: DataFrame | None = None, lime_docs: DataFrame | None = None) -> FittedSearch:
         """Hold out a stratified share, or test on ``test_docs`` if given; ``lime_docs`` or the first test texts are explained."""
