@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from lexigrid import fixed_values as V
 from lexigrid.catalog import extraction  # noqa: F401  (its SQL is used here)
 from lexigrid.catalog.base import (
-    LANGUAGE_SQL, ORACLES, PREDICTED_SQL, averages_sql, language_docs, nb_sql, query, ranks_sql, split_sql, table,
+    LANGUAGE_SQL, ORACLES, PREDICTED_SQL, ROLE_SQL, averages_sql, language_docs, nb_sql, query, ranks_sql, role_docs, split_sql, table,
 )
-from lexigrid.operators import estimators, gaussian, splits
+from lexigrid.catalog.models import ROLE_FEATURES
+from lexigrid.operators import estimators, gaussian, naive_bayes, splits
 from lexigrid.operators.classifiers import GaussianBayes, LinearMachines, MultinomialBayes, Stages, TrainingSet, compete
 from lexigrid.operators.features import Meta, Ngrams, SimpleStats, extract_features
+from lexigrid.operators.ngrams import ngrams
 from lexigrid.operators.placement import by_document
 from lexigrid.plans.experiment import ExperimentConfig
 from lexigrid.plans.search import Search
@@ -177,3 +179,37 @@ def machine_record(spark, sf_dir):
         "test_score", "lime_data", "lime_data_path", "lime_data_repr", F.transform("lime_data_comp.cln", lambda x: F.array_sort(x)).alias("classes"),
         F.lit(low).alias("curve"), F.lit(n_test).cast("long").alias("n_test"),
     )
+
+
+# TF-IDF fitted without each fold: roles of turns by words.
+
+_ROLE_FOLDS = (
+    f"sp AS MATERIALIZED (SELECT doc_id, label, (rank % 5)::INT AS fold FROM ({ranks_sql(ROLE_SQL)})), feats AS MATERIALIZED ({ROLE_FEATURES}),"
+    " k AS (SELECT unnest(range(5))::INT AS k),"
+    " n AS (SELECT k, count(*)::DOUBLE AS n FROM sp, k WHERE fold <> k GROUP BY k),"
+    " df AS (SELECT k, feature, count(*) FILTER (fold <> k AND value <> 0) AS df FROM feats JOIN sp USING (doc_id), k GROUP BY k, feature),"
+    " w AS (SELECT df.k, f.doc_id, f.feature, f.value * (ln((1 + n) / (1 + df)) + 1) AS v FROM feats f JOIN df USING (feature) JOIN n ON n.k = df.k),"
+    " wn AS MATERIALIZED (SELECT k, doc_id, feature, v / sqrt(sum(v * v) OVER (PARTITION BY k, doc_id)) AS value FROM w),"
+    " sfc AS (SELECT k, label, feature, sum(value) AS s FROM wn JOIN sp USING (doc_id) WHERE fold <> k GROUP BY ALL),"
+    " sc AS (SELECT k, label, sum(s) AS s FROM sfc GROUP BY ALL),"
+    " cl AS (SELECT k, label, ln(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY k)) AS prior FROM sp, k WHERE fold <> k GROUP BY k, label)"
+)
+
+
+@query(
+    f"WITH {_ROLE_FOLDS} SELECT wn.doc_id, cl.label, round(any_value(prior) + sum(wn.value * ln((coalesce(sfc.s, 0) + 1) / (sc.s + v.v))), 5) AS score"
+    " FROM wn JOIN sp ON sp.doc_id = wn.doc_id AND sp.fold = wn.k JOIN cl ON cl.k = wn.k JOIN sc ON sc.k = cl.k AND sc.label = cl.label"
+    " LEFT JOIN sfc ON sfc.k = cl.k AND sfc.label = cl.label AND sfc.feature = wn.feature,"
+    " (SELECT count(DISTINCT feature)::DOUBLE AS v FROM feats) v GROUP BY wn.doc_id, cl.label"
+)
+def tf_idf_folds(spark, sf_dir):
+    """Log scores of every turn by naive Bayes on TF-IDF, both fitted without its fold."""
+    docs = role_docs(spark, sf_dir)
+    sides = staged(splits.stratified_folds(docs), "sides")
+    rows = staged(ngrams(by_document(docs.drop("label"), sides), "text", (1,), keep=["label", "fold"]), "features")
+    data = TrainingSet(rows, sides, 5, tf_idf=True)
+    nested, model = naive_bayes.fit_weighted(data.weighted, sides, 5)
+    scored = naive_bayes.score_parts(data.weighted.withColumn("value", F.get("values", F.col("fold"))), nested, fold="fold", docs=sides)
+    labels = F.array(*[F.lit(c) for c in model.classes])
+    pairs = scored.select("doc_id", F.inline(F.arrays_zip(labels.alias("label"), F.col("scores").alias("score"))))
+    return pairs.withColumn("score", F.round("score", 5))
