@@ -19,16 +19,20 @@ The quantisers are fitted on a sample of at most ``max_sample`` points (those
 with the lowest hash); lists number one for every ``per_list`` points up to
 ``max_lists``.  Every point is indexed.
 
+Vectors of each length are indexed by themselves, one length after another; a
+table is expected to have few.
+
 Defined results: null or zero vectors and those with null or non-finite
-components link with nothing, and neither do vectors of another length than the
-most frequent one; vectors that differ by a factor are linked as cosine 1; an
-empty table gives no rows; repeated ids are rows of their own.
+components link with nothing; vectors of different lengths do not link;
+vectors that differ by a factor are linked as cosine 1; an empty table gives no
+rows; repeated ids are rows of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -191,21 +195,31 @@ def near_vectors(
     max_sample: int = 1 << 16,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding)``."""
-    spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
     good = F.coalesce(
         F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)
     )
     usable = vectors.select("vec_id", F.when(good & F.col("vec_id").isNotNull(), F.transform(v, lambda x: x + 0.0)).alias("v"))
-    size = usable.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = size["d"] if size else 0
-    usable = usable.withColumn("v", F.when(F.size("v") == d, F.col("v")))
-    points = usable.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    usable = usable.withColumn("d", F.size("v"))
+    lengths = [r["d"] for r in usable.where("v IS NOT NULL").select("d").distinct().orderBy("d").collect()]
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    lone = usable.where("v IS NULL")
+    parts = [lone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))]
+    for d in lengths:
+        same = usable.where("v IS NOT NULL").where(F.col("d") == d).drop("d")
+        parts.append(_of_one_length(same, kind, least, probes, per_list, max_lists, max_sample))
+    found = reduce(lambda a, b: a.unionByName(b), parts)
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def _of_one_length(
+    usable: DataFrame, kind: str, least: float, probes: int, per_list: int, max_lists: int, max_sample: int
+) -> DataFrame:
+    """``vec_id, n_links, component_id`` of vectors ``v`` of one length, none of them zero."""
+    spark = usable.sparkSession
+    points = usable.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
     points = staged(points, "points")
     n = points.count()
-    if not n:
-        none = vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        return none.withColumn("kept", F.lit(True))
     lists = int(np.clip(n // per_list, 1, max_lists))
     order = F.xxhash64("id", F.lit("sample")).bitwiseAND(F.lit((1 << 62) - 1))
     wanted = min(max_sample, max(4096, 32 * lists))
@@ -225,7 +239,6 @@ def near_vectors(
                     names=[*part.schema.names, "cells"],
                 )
 
-    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     placed = points.select("id", "n", F.col("v").cast(kind)).mapInArrow(place, f"id long, n long, v {kind}, cells array<int>")
     placed = staged(placed, "placed")
     asked = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("asking"))
@@ -260,6 +273,4 @@ def near_vectors(
         .join(roots, "id", "left")
         .select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("root", "id").alias("_root"))
     )
-    lone = usable.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    known = usable.where("v IS NOT NULL").join(about, "v").select("vec_id", F.col("_links").alias("n_links"), F.col("_root").alias("component_id"))
-    return known.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return usable.join(about, "v").select("vec_id", F.col("_links").alias("n_links"), F.col("_root").alias("component_id"))

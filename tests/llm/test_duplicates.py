@@ -99,9 +99,9 @@ def test_text_edges(edge, nothing):
 
 
 def plain_links(x, least=0.9):
-    good = [i for i, v in enumerate(x) if v is not None and len(v) == 16 and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    good = [i for i, v in enumerate(x) if v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)]
     u = {i: np.array(x[i], float) / np.linalg.norm(np.array(x[i], float)) for i in good}
-    return [(i, j) for i in good for j in good if j < i and u[i] @ u[j] >= least]
+    return [(i, j) for i in good for j in good if j < i and len(u[i]) == len(u[j]) and u[i] @ u[j] >= least]
 
 
 def test_vectors_against_brute_force(spark, monkeypatch):
@@ -129,6 +129,21 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     }
 
 
+def test_vectors_of_every_length(spark):
+    """The fewest of a length link as the most do, also with an id twice and vectors shorter than the code has parts."""
+    draw = np.random.default_rng(8)
+    x = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [1.0, 0.0], [0.0, 1.0], [0.1, 1.0], [5.0], [2.0], [-1.0]]
+    for d in (9, 40):
+        base = draw.normal(size=d)
+        x += [(base + draw.normal(scale=0.1, size=d)).tolist() for _ in range(6)] + draw.normal(size=(20, d)).tolist()
+    table = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    pairs = plain_links(x)
+    links, roots = np.bincount(np.array(pairs).ravel(), minlength=len(x)), plain_classes(len(x), pairs)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(table).collect()}
+    assert found == {i: (links[i], roots[i], roots[i] == i) for i in range(len(x))}
+    assert found[1] == (1, 0, False) and found[6] == (1, 5, False)
+
+
 def test_no_vectors(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.near_vectors(table).count() == 0
