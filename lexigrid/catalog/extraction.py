@@ -363,3 +363,37 @@ def truncated_svd(spark, sf_dir):
     model = svd.fit(cells, 3)
     reduced = svd.project(cells, model)
     return reduced.select("doc_id", *[F.round(c, 6).alias(c) for c in ("v0", "v1", "v2")])
+
+
+def _power_sql(top: int, squarings: int = 7) -> str:
+    """Singular values of the text statistics: the matrix of inner products is squared until one direction is left, and deflated."""
+    names = (*V.TEXT_STAT_NAMES,)
+    sql = (
+        f"WITH x AS MATERIALIZED (UNPIVOT ({ORACLES['text_stats']}) ON {', '.join(names)} INTO NAME f VALUE v),"
+        " g0 AS MATERIALIZED (SELECT a.f AS i, b.f AS j, sum(a.v * b.v) AS x FROM x a JOIN x b ON a.doc_id = b.doc_id GROUP BY a.f, b.f)"
+    )
+    for c in range(top):
+        sql += f", p{c}_0 AS (SELECT * FROM g{c})"
+        for s in range(squarings):
+            sql += (
+                f", q{c}_{s} AS MATERIALIZED (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM p{c}_{s} a JOIN p{c}_{s} b ON a.j = b.i GROUP BY a.i, b.j),"
+                f" p{c}_{s + 1} AS MATERIALIZED (SELECT i, j, x / (SELECT max(abs(x)) FROM q{c}_{s}) AS x FROM q{c}_{s})"
+            )
+        last = f"p{c}_{squarings}"
+        sql += (
+            f", v{c} AS MATERIALIZED (SELECT i, x / sqrt(sum(x * x) OVER ()) AS x FROM {last}"
+            f" WHERE j = (SELECT arg_max(j, x) FROM {last} WHERE i = j)),"
+            f" l{c} AS MATERIALIZED (SELECT sum(a.x * g.x * b.x) AS l FROM g{c} g JOIN v{c} a ON a.i = g.i JOIN v{c} b ON b.i = g.j),"
+            f" g{c + 1} AS MATERIALIZED (SELECT g.i, g.j, g.x - l * a.x * b.x AS x FROM g{c} g JOIN v{c} a ON a.i = g.i JOIN v{c} b ON b.i = g.j, l{c})"
+        )
+    return sql + " " + " UNION ALL ".join(f"SELECT {c} AS component, round(sqrt(l), 3) AS singular_value FROM l{c}" for c in range(top))
+
+
+@query(_power_sql(3))
+def singular_values(spark, sf_dir):
+    """The first singular values of the text statistics of all documents."""
+    rows = staged(SimpleStats(True, False, False)(by_document(language_docs(spark, sf_dir))), "features")
+    cells = staged(vectorize.transform(rows, staged(vectorize.fit_vocabulary(rows), "vocabulary")), "cells")
+    found = svd.fit(cells, 3, iterations=8)
+    table = [(c, round(v, 3)) for c, v in enumerate(found.singular_values)]
+    return spark.createDataFrame(table, "component int, singular_value double")

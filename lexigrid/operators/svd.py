@@ -1,56 +1,96 @@
 """Truncated singular value decomposition of the feature matrix.
 
 Randomised subspace iteration (Halko, Martinsson and Tropp 2011).  The matrix
-stays a table of cells and so do all vectors: a product is a join and a sum.
-Only matrices of a few components squared come to the driver.
+stays a table of cells and the block of vectors a table with a list for each
+row or column of the matrix, whatever its width: a product is a join and a sum
+of lists.  Tasks add up what they read before the exchange.  Only matrices of a
+few components squared come to the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, functions as F
 
 from lexigrid.operators.lookup import lookup_join
 from lexigrid.session import staged
 
+_TOGETHER = 64  # tasks whose inner products are added up in one
+
 
 @dataclass(frozen=True)
 class TruncatedSVD:
-    """``loadings`` has a row ``idx, v0, v1, ..`` for each feature."""
+    """``loadings`` has ``idx, v``: a list with a number for each component."""
 
     singular_values: tuple[float, ...]
     loadings: DataFrame
 
 
-def _names(width: int) -> list[str]:
-    return [f"v{j}" for j in range(width)]
+def _lists(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _as_lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
+
 
+def _product(cells: DataFrame, vectors: DataFrame, on: str, out: str, width: int, **join) -> DataFrame:
+    """``out, v``: the matrix, or its transpose, times the block of vectors."""
+    rows = lookup_join(cells.select(on, out, "value"), vectors, [on], row_bytes=32 + 8 * width, **join)
 
-def _product(cells: DataFrame, vectors: DataFrame, on: str, out: list[str], width: int, **join) -> DataFrame:
-    """The matrix, or its transpose, times some vectors."""
-    rows = lookup_join(cells, vectors, [on], row_bytes=16 + 8 * width, **join)
-    return rows.groupBy(*out).agg(*[F.sum(F.col("value") * F.col(v)).alias(v) for v in _names(width)])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(out).to_numpy(zero_copy_only=False)
+            parts = _lists(batch.column("v"), width) * batch.column("value").to_numpy(zero_copy_only=False)[:, None]
+            order = np.argsort(keys, kind="stable")
+            starts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+            sums = np.add.reduceat(parts[order], starts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[order][starts]), _as_lists(sums)], names=[out, "v"])
+
+    kind = cells.schema[out].dataType.simpleString()
+    parts = rows.select(out, F.col("value").cast("double").alias("value"), "v").mapInArrow(add, f"`{out}` {kind}, v array<double>")
+    total = Summarizer.sum(array_to_vector(F.col("v")))
+    return parts.groupBy(out).agg(total.alias("_v")).select(out, vector_to_array("_v").alias("v"))
 
 
 def _gram(vectors: DataFrame, width: int) -> np.ndarray:
-    """Inner products of the vectors with each other."""
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    sums = vectors.agg(*[F.sum(F.col(f"v{i}") * F.col(f"v{j}")) for i, j in pairs]).first()
-    gram = np.zeros((width, width))
-    for (i, j), s in zip(pairs, sums):
-        gram[i, j] = gram[j, i] = s or 0.0
-    return gram
+    """Inner products of the vectors of the block with each other."""
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            v = _lists(batch.column("v"), width)
+            total += v.T @ v
+        group = TaskContext.get().partitionId() // _TOGETHER
+        yield pa.RecordBatch.from_arrays([pa.array([group]), pa.array([total.tobytes()], pa.binary())], names=["g", "m"])
+
+    def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"m": [sum(np.frombuffer(m) for m in group["m"]).tobytes()]})
+
+    parts = vectors.select("v").mapInArrow(products, "g long, m binary").groupBy("g").applyInPandas(add, "m binary")
+    return sum((np.frombuffer(r["m"]) for r in parts.collect()), np.zeros(width * width)).reshape(width, width)
 
 
 def _rotated(vectors: DataFrame, key: str, by: np.ndarray) -> DataFrame:
-    """The vectors times a small matrix."""
+    """The block of vectors times a small matrix."""
+    width = by.shape[0]
 
-    def mix(i: int) -> Column:
-        return sum((F.col(f"v{j}") * float(by[j, i]) for j in range(by.shape[0])), F.lit(0.0))
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(key), _as_lists(_lists(batch.column("v"), width) @ by)], names=[key, "v"])
 
-    return vectors.select(key, *[mix(i).alias(f"v{i}") for i in range(by.shape[1])])
+    return vectors.select(key, "v").mapInArrow(turn, f"`{key}` {vectors.schema[key].dataType.simpleString()}, v array<double>")
 
 
 def _orthonormal(vectors: DataFrame, key: str, width: int) -> tuple[DataFrame, int]:
@@ -65,16 +105,15 @@ def fit(cells: DataFrame, k: int, iterations: int = 5, oversample: int = 8, seed
     """The top ``k`` components of ``doc_id, idx, value``; rows are not centred."""
     cells = cells.select("doc_id", "idx", "value")
     width = k + oversample
-    start = [
-        (F.xxhash64("idx", F.lit(j), F.lit(seed)).cast("double") / float(1 << 63)).alias(v)
-        for j, v in enumerate(_names(width))
-    ]
-    vectors = staged(cells.select("idx").distinct().select("idx", *start), "svd")
+    draw = F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.xxhash64("idx", j, F.lit(seed)).cast("double") / float(1 << 63)
+    )
+    vectors = staged(cells.select("idx").distinct().select("idx", draw.alias("v")), "svd")
     for _ in range(iterations):
-        left = staged(_product(cells, vectors, "idx", ["doc_id"], width, **join), "svd")
-        right = staged(_product(cells, left, "doc_id", ["idx"], width, **join), "svd")
+        left = staged(_product(cells, vectors, "idx", "doc_id", width, **join), "svd")
+        right = staged(_product(cells, left, "doc_id", "idx", width, **join), "svd")
         vectors, width = _orthonormal(right, "idx", width)
-    left = staged(_product(cells, vectors, "idx", ["doc_id"], width, **join), "svd")
+    left = staged(_product(cells, vectors, "idx", "doc_id", width, **join), "svd")
     values, rotation = np.linalg.eigh(_gram(left, width))
     top = np.argsort(-values, kind="stable")[: min(k, width)]
     singular = np.sqrt(np.maximum(values[top], 0.0))
@@ -84,4 +123,7 @@ def fit(cells: DataFrame, k: int, iterations: int = 5, oversample: int = 8, seed
 def project(cells: DataFrame, model: TruncatedSVD, keep=(), **join) -> DataFrame:
     """``doc_id, *keep, v0, v1, ..``: documents in the reduced space."""
     width = len(model.singular_values)
-    return _product(cells, model.loadings, "idx", ["doc_id", *keep], width, **join)
+    found = _product(cells, model.loadings, "idx", "doc_id", width, **join)
+    if keep:
+        found = cells.select("doc_id", *keep).distinct().join(found, "doc_id")
+    return found.select("doc_id", *keep, *[F.get("v", F.lit(j)).alias(f"v{j}") for j in range(width)])

@@ -260,6 +260,18 @@ def test_svd_equals_numpy(spark, join):
         assert abs(v) == pytest.approx(abs(expected[i]), abs=0.05)
 
 
+def test_svd_of_many_components(spark):
+    """A hundred components are one list, not thousands of columns."""
+    rng = np.random.default_rng(7)
+    matrix = rng.poisson(0.5, (150, 130)) * rng.random((150, 130)) * np.linspace(3, 0.2, 130)
+    rows = [(i, j, float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row) if v]
+    cells = staged(spark.createDataFrame(rows, "doc_id bigint, idx bigint, value double"), "cells")
+    model = svd.fit(cells, 100, iterations=3)
+    s = np.linalg.svd(matrix, compute_uv=False)
+    assert list(model.singular_values[:60]) == pytest.approx(list(s[:60]), rel=1e-2)
+    assert len(svd.project(cells, model).columns) == 101
+
+
 def test_vectors_hold_unseen_columns_as_zeros(spark):
     cells = spark.createDataFrame([(1, 4, 2.0), (1, 0, 1.0)], "doc_id bigint, idx bigint, value double")
     v = estimators.to_vectors(cells, 7).first()["features"]
