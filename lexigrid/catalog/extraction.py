@@ -291,6 +291,28 @@ def vectorize_holdout(spark, sf_dir):
     return vectorize.transform(rows.where("split = 'test'"), vocab)
 
 
+_ENGLISH = "SELECT doc_id, text FROM documents WHERE lang = 'en'"
+
+
+@query(
+    f"WITH f AS MATERIALIZED ({counts_sql(_ENGLISH, 'text', (1,), WORDS)}), v AS (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx"
+    " FROM (SELECT DISTINCT feature FROM f)) SELECT doc_id, count(*) AS n_cells, sum(idx)::BIGINT AS idx, sum(value) AS value,"
+    " false AS labelled FROM f JOIN v USING (feature) GROUP BY doc_id"
+    f" UNION ALL SELECT doc_id, count(*), NULL, sum(value), true FROM ({_WORD1}) GROUP BY doc_id"
+)
+def single_class_matrix(spark, sf_dir):
+    """Rows of one language have cells and no labels; rows of all languages have both."""
+    parts = []
+    for docs in (language_docs(spark, sf_dir).where("label = 'en'"), language_docs(spark, sf_dir)):
+        rows = staged(ngrams(by_document(docs), "text", (1,)), "features")
+        _, cells, labels = vectorize.fit_transform(rows, docs)
+        sums = cells.groupBy("doc_id").agg(F.count("*").alias("n_cells"), F.sum("idx").alias("idx"), F.sum("value").alias("value"))
+        if labels is not None:
+            sums = sums.join(labels.where("label_idx >= 0").select("doc_id"), "doc_id").withColumn("idx", F.lit(None).cast("long"))
+        parts.append(sums.withColumn("labelled", F.lit(labels is not None)))
+    return parts[0].unionByName(parts[1])
+
+
 @query("SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_idx FROM (SELECT DISTINCT source AS label FROM documents)")
 def label_index(spark, sf_dir):
     return vectorize.fit_labels(table(spark, sf_dir, "documents").withColumnRenamed("source", "label"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexigrid.catalog.base import CHARS, language_docs, query, quality_docs, role_docs, table
-from lexigrid.catalog.models import _BEST, _items, _language_model
+from lexigrid.catalog.base import CHARS, ROLE_SQL, averages_sql, language_docs, query, quality_docs, role_docs, table
+from lexigrid.catalog.models import _BEST, _items, _language_model, role_sql
 from lexigrid.operators import explain, naive_bayes
 from lexigrid.operators.features import Ngrams
 from lexigrid.operators.placement import by_document
@@ -112,6 +112,30 @@ def experiment_record(spark, sf_dir):
     return registry.fetch("name", "roles")
 
 
+_ALPHAS = "0.5, 1.0"
+TEST_PREDS = "SELECT * FROM preds WHERE split = 'test'"
+_SUMMARY = (
+    f"WITH {role_sql(_ALPHAS)}, folds AS (SELECT alpha, fold, f1_weighted AS f FROM ({averages_sql('SELECT * FROM preds WHERE fold >= 0', 'alpha, fold')})),"
+    " chosen AS (SELECT alpha FROM folds GROUP BY alpha ORDER BY round(avg(f), 9) DESC, alpha DESC LIMIT 1),"
+    f" tested AS (SELECT alpha, f1_weighted AS f FROM ({averages_sql(TEST_PREDS, 'alpha')})),"
+    f" texts AS (SELECT list(text ORDER BY doc_id) AS t FROM (SELECT doc_id, text FROM ({ROLE_SQL}) ORDER BY doc_id LIMIT 2))"
+    " SELECT 'demo' AS project, 'roles' AS name, 'MultinomialNB' AS clf, 'MultinomialNB(alpha=' || chosen.alpha::DECIMAL(3, 1) || ')' AS clf_full,"
+    " ['conversations'] AS train_data, ['split'] AS test_data, t AS lime_data, t AS lime_data_repr, round(f, 6) AS test_score,"
+    " 2::BIGINT AS n_explained FROM chosen JOIN tested USING (alpha), texts"
+)
+
+
+@query(_SUMMARY)
+def experiment_summary(spark, sf_dir):
+    """What the stored record of a whole experiment says, but for its duration and weights."""
+    registry = _registry(spark)
+    _experiment(spark, sf_dir).save(registry)
+    return registry.fetch("name", "roles").select(
+        "project", "name", "clf", "clf_full", "train_data", "test_data", "lime_data", "lime_data_repr",
+        F.round("test_score", 6).alias("test_score"), F.size("lime_data_comp").cast("long").alias("n_explained"),
+    )
+
+
 @query()
 def experiment_log(spark, sf_dir):
     return _experiment(spark, sf_dir).log()

@@ -36,6 +36,18 @@ def is_single_class(rows: DataFrame) -> bool:
     return rows.select("label").where(F.col("label").isNotNull()).distinct().limit(2).count() < 2
 
 
+def fit_transform(features: DataFrame, rows: DataFrame, **join) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Vocabulary, cells ``doc_id, idx, value``, and the rows with ``label_idx``.
+
+    Rows of a single class have nothing to tell apart: they come without labels.
+    """
+    vocabulary = staged(fit_vocabulary(features), "vocabulary")
+    cells = transform(features, vocabulary, **join)
+    if is_single_class(rows):
+        return vocabulary, cells, None
+    return vocabulary, cells, encode_labels(rows.where(F.col("label").isNotNull()), staged(fit_labels(rows), "labels"), **join)
+
+
 def encode_labels(rows: DataFrame, labels: DataFrame, **join) -> DataFrame:
     """Add ``label_idx``; a label that was not fitted is an error."""
     found = lookup_join(rows, labels, ["label"], "left", **join)

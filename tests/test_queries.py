@@ -15,7 +15,9 @@ FEW = (
     "text_stats", "token_stats", "merge_features", "vocabulary", "stratified_split", "nb_scores", "alpha_grid",
     "class_report", "roc_auc", "word_dropout", "highlight", "chain_sources", "chained_csv_words", "stat_groups",
     "embedding_mean", "tf_idf", "sparse_vectors", "gaussian_nb", "out_of_fold", "score_series", "config_view",
-    "registry_fetch", "stored_model", "annotated_experiment",
+    "registry_fetch", "stored_model", "annotated_experiment", "learning_curve", "max_abs", "vectorize_holdout",
+    "gaussian_out_of_fold", "classifier_search", "contest_of_equals", "separable_labels", "tf_idf_folds", "singular_values",
+    "single_class_matrix", "experiment_summary",
 )
 
 
