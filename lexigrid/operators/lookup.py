@@ -45,18 +45,24 @@ def lookup_join(
     how: str = "inner",
     row_bytes: int = 100,
     broadcast_bytes: int = BROADCAST_BYTES,
+    table_bytes: int | None = None,
 ) -> DataFrame:
     """Join rows with a table whose keys are unique.
 
     A table of at most ``broadcast_bytes``, counted (by at least ``row_bytes`` a
-    row) and then measured, is broadcast.  A larger one is joined by shuffle,
+    row) and then measured, is broadcast; ``table_bytes`` is its size if that has
+    been measured before.  A larger one is joined by shuffle,
     except for hot keys: those that hold more than ``HOT_SHARE`` of the rows,
     as many of them as their part of the table may be broadcast.
     Their rows are joined where they lie instead of meeting in one task.  Rows
     with a null in the key find nothing and do not take part.
     """
     on = list(on)
-    if fits(table, broadcast_bytes // row_bytes) and _bytes(table) <= broadcast_bytes:
+    if table_bytes is None:
+        small = fits(table, broadcast_bytes // row_bytes) and _bytes(table) <= broadcast_bytes
+    else:
+        small = 0 < broadcast_bytes >= table_bytes
+    if small:
         return facts.join(F.broadcast(table), on, how)
     no_key = reduce(or_, [F.col(k).isNull() for k in on])
     facts = staged(facts, "facts")

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,6 +47,7 @@ class MultinomialNB:
     sums: DataFrame
     alpha: float = 1.0
     scaled: tuple[tuple[float, ...], ...] = ()
+    ready: NestedNB | None = field(default=None, compare=False, repr=False)
 
     @property
     def folds(self) -> int:
@@ -67,6 +68,7 @@ class MultinomialNB:
             totals=(tuple(self._masses(None)),),
             sums=self.sums.select("feature", cells.alias("cells")),
             scaled=(),
+            ready=None,
         )
 
     def maxima(self) -> DataFrame:
@@ -128,11 +130,12 @@ class NestedNB:
     ``models[p]`` knows the rows whose first part is ``p`` or an earlier one; its
     ``sums`` are those of the last part.  ``dense`` has ``feature, by`` (and
     ``scale``): for every class, part and fold the sum outside the fold and, last,
-    of all rows of the part.
+    of all rows of the part.  ``bytes`` is its size, if it has been measured.
     """
 
     models: tuple[MultinomialNB, ...]
     dense: DataFrame
+    bytes: int | None = None
 
 
 def fit(
@@ -151,7 +154,8 @@ def fit(
     list and its counts are on the driver, as labels are few next to rows.
     ``max_abs`` divides every feature by its largest value in the training rows.
     """
-    return _fit(features, docs, alpha, train, folds, max_abs, 1)[0][0]
+    nested = _fit(features, docs, alpha, train, folds, max_abs, 1)
+    return replace(nested.models[0], ready=nested)
 
 
 def fit_parts(
@@ -160,14 +164,17 @@ def fit_parts(
     """Models of all parts; both inputs have ``part``, the first of the parts ``0 .. parts - 1`` a row is in, or null."""
     inside = F.col("part").isNotNull()
     train = inside if train is None else train & inside
-    models, sums = _fit(features, docs, 1.0, train, folds, max_abs, parts)
-    return NestedNB(models, _dense(models, sums, parts))
+    return _fit(features, docs, 1.0, train, folds, max_abs, parts)
 
 
 def _fit(
     features: DataFrame, docs: DataFrame, alpha: float, train: Column | None, folds: int, max_abs: bool, parts: int
-) -> tuple[tuple[MultinomialNB, ...], DataFrame]:
-    """Models of the parts, and ``feature, cells``: sums by class in lists by fold and, within a fold, part."""
+) -> NestedNB:
+    """Models of the parts.  Their sums have ``feature, cells``: sums by class in lists by fold and, within a fold, part.
+
+    A sum is a column of its own, so features are exchanged once, a row for each
+    feature and task.  More classes than fit the columns of a row go in blocks.
+    """
     train = F.col("label").isNotNull() & (F.lit(True) if train is None else train)
     fold = F.col("fold") if folds > 1 else F.lit(0)
     place = (fold * parts + F.col("part") if parts > 1 else fold).cast("int")
@@ -179,48 +186,83 @@ def _fit(
     for r in counted:
         n_docs[r["place"]][classes.index(r["label"])] += r["count"]
 
-    used = features.select("feature", F.when(train, _class_number(classes)).alias("c"), place.alias("_place"), "value")
-    by_place = F.array(*[F.sum(F.when(F.col("_place") == j, F.col("value")).otherwise(0.0)) for j in range(cells)])
-    cell = F.when(F.col("c").isNotNull(), F.struct("c", "s"))
-    own = F.col("c").isNotNull()
-    tops = [F.max(F.when(own & (F.col("_place") == j), F.abs("value"))).alias(f"_m{j}") for j in range(cells if max_abs else 0)]
-    sums = (
-        used.groupBy("feature", "c").agg(by_place.alias("s"), *tops)
-        .groupBy("feature").agg(F.collect_list(cell).alias("cells"), *[F.max(f"_m{j}").alias(f"_m{j}") for j in range(len(tops))])
-    )
+    wide = max(1, _COLUMNS // cells)  # classes in a row
+    blocks = max(1, -(-k // wide))
+    own = F.when(train, _class_number(classes))
+    used = features.select("feature", own.alias("c"), place.alias("_place"), "value")
+    block = F.coalesce(F.floor(F.col("c") / wide), F.lit(0)).cast("int")
+    used = used.withColumn("_block", block) if blocks > 1 else used
+    group = ["feature", "_block"] if blocks > 1 else ["feature"]
+    first = F.col("_block") * wide if blocks > 1 else F.lit(0)
+    here = [[(F.col("c") == first + c) & (F.col("_place") == i) for i in range(cells)] for c in range(min(k, wide))]
+    sums = [F.sum(F.when(x, F.col("value"))).alias(f"s{c}_{i}") for c, row in enumerate(here) for i, x in enumerate(row)]
+    tops = [F.max(F.when(F.col("c").isNotNull() & (F.col("_place") == j), F.abs("value"))).alias(f"_m{j}") for j in range(cells if max_abs else 0)]
 
     def outside(p: int, j: int) -> list[int]:
         """Places of the rows of a part outside a fold."""
         return [i * parts + q for i in range(folds) if i != j for q in range(p + 1)]
 
+    def cell(c: int) -> Column:
+        """The sums of a class, or null if it has no row."""
+        each = [F.col(f"s{c}_{i}") for i in range(cells)]
+        numbers = F.array(*[F.coalesce(x, F.lit(0.0)) for x in each])
+        return F.when(F.coalesce(*each).isNotNull(), F.struct((first + c).cast("int").alias("c"), numbers.alias("s")))
+
     every = [(p, j) for p in range(parts) for j in range(folds + 1)]
+    dense = [
+        sum((F.coalesce(F.col(f"s{c}_{i}"), F.lit(0.0)) for i in outside(p, j)), F.lit(0.0)) for c in range(min(k, wide)) for p, j in every
+    ]
+    none = "array<struct<c:int,s:array<double>>>"
+    listed = F.filter(F.array(*[cell(c) for c in range(min(k, wide))]), lambda x: x.isNotNull()) if k else F.array().cast(none)
+    by = F.array(*dense) if k else F.array().cast("array<double>")
+    counted = used.groupBy(*group).agg(F.lit(0).alias("_z"), *sums, *tops) if sums or tops else used.select(*group).distinct()
+    table = counted.select(*group, listed.alias("cells"), by.alias("by"), *[f"_m{j}" for j in range(len(tops))])
+    if blocks > 1:
+        in_order = F.array_sort(F.collect_list(F.struct("_block", "by", "cells")))
+        table = table.groupBy("feature").agg(in_order.alias("_b"), *[F.max(f"_m{j}").alias(f"_m{j}") for j in range(len(tops))])
+        width = wide * len(every)
+        table = table.withColumns({
+            "_d": F.map_from_entries(F.transform("_b", lambda x: F.struct(x["_block"], x["by"]))),
+            "cells": F.flatten(F.transform("_b", lambda x: x["cells"])),
+        })
+        zeros = F.array_repeat(F.lit(0.0), width)
+        filled = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_d"), i), zeros))
+        table = table.withColumn("by", F.flatten(filled))
+    scale = []
     if max_abs:
         seen = [F.coalesce(F.col(f"_m{j}"), F.lit(0.0)) for j in range(cells)]
-        scale = F.array(*[F.greatest(F.lit(0.0), F.lit(0.0), *[seen[i] for i in outside(p, j)]) for p, j in every])
-        sums = sums.select("feature", "cells", scale.alias("scale"))
-    sums = staged(sums, "nb")
-    # of every class: sums by place and, if scaled, scaled sums by part and fold
+        scale = [F.array(*[F.greatest(F.lit(0.0), F.lit(0.0), *[seen[i] for i in outside(p, j)]) for p, j in every]).alias("scale")]
+    table = staged(table.select("feature", "cells", "by", *scale), "nb")
+    names = ["scale"] if max_abs else []
+    # of every class: sums by place and, if scaled, scaled sums by part and fold; class -1 stands for the features
     over_all = [F.sum(F.get("s", F.lit(i))) for i in range(cells)]
     if max_abs:
         left = [sum((F.get("s", F.lit(i)) for i in outside(p, j)), F.lit(0.0)) for p, j in every]
         over_all += [F.sum(x / _divisor(F.get("scale", F.lit(i)))) for i, x in enumerate(left)]
     totals = [[0.0] * k for _ in over_all]
-    for r in sums.select(*(["scale"] if max_abs else []), F.inline("cells")).groupBy("c").agg(*over_all).collect():
+    size = letters = 0
+    whole = F.array(F.struct(F.lit(-1).alias("c"), F.array().cast("array<double>").alias("s")))
+    found = table.select("feature", *names, F.inline(F.concat(whole, F.col("cells"))))
+    for r in found.groupBy("c").agg(F.count("*"), F.sum(F.octet_length("feature")), *over_all).collect():
+        if r["c"] < 0:
+            size, letters = r[1], r[2]
+            continue
         for i in range(len(over_all)):
-            totals[i][r["c"]] = r[i + 1]
+            totals[i][r["c"]] = r[i + 3]
+    sums = table.select("feature", "cells", *names)
 
     def of_part(p: int, table: list[list]) -> tuple[tuple, ...]:
         """Numbers by fold of the rows of a part."""
         return tuple(tuple(sum(table[j * parts + q][c] for q in range(p + 1)) for c in range(k)) for j in range(folds))
 
-    size = sums.count()
     models = []
     for p in range(parts):
         scaled = tuple(map(tuple, totals[cells + p * (folds + 1) : cells + (p + 1) * (folds + 1)])) if max_abs else ()
         models.append(
             MultinomialNB(tuple(classes), of_part(p, n_docs), of_part(p, totals[:cells]), size, sums, alpha, scaled)
         )
-    return tuple(models), sums
+    numbers = len(every) * (wide * blocks + (1 if max_abs else 0))
+    return NestedNB(tuple(models), table.select("feature", "by", *names), letters + size * (64 + 8 * numbers))
 
 
 def fit_weighted(features: DataFrame, docs: DataFrame, folds: int) -> tuple[NestedNB, MultinomialNB]:
@@ -297,7 +339,7 @@ def score(
     scored by the model without its fold; rows whose fold is null are scored by
     the whole model.  Several smoothing values are scored by the same join.
     """
-    nested = NestedNB((model,), _dense((model,), model.sums, 1))
+    nested = NestedNB((model,), *_known(model))
     return score_parts(features, nested, keep, fold, [model.alpha] if alphas is None else alphas, docs, **join).drop("part")
 
 
@@ -319,6 +361,7 @@ def score_parts(
     models, table = nested.models, nested.dense
     k, folds, parts = len(models[0].classes), models[0].folds, len(models)
     at = (F.coalesce(F.col(fold), F.lit(folds)) if fold else F.lit(folds)).cast("int")
+    join = {"table_bytes": nested.bytes, **join}
     known = lookup_join(features, table, ["feature"], "left", row_bytes=64 + 8 * k * parts * (folds + 1), **join)
     known = known.where("by IS NOT NULL").withColumn("_at", at)
 
@@ -377,6 +420,13 @@ def score_parts(
     return scored.withColumn("predicted", best_of(models[0].classes, F.col("scores")))
 
 
+def _known(model: MultinomialNB) -> tuple[DataFrame, int | None]:
+    """The dense sums of a model and their size, if it was fitted here."""
+    if model.ready is not None:
+        return model.ready.dense, model.ready.bytes
+    return _dense((model,), model.sums, 1), None
+
+
 def _dense(models: Sequence[MultinomialNB], sums: DataFrame, parts: int) -> DataFrame:
     """``feature, by`` (``scale``) as in ``NestedNB``."""
     folds, k = models[0].folds, len(models[0].classes)
