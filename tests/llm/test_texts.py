@@ -1,6 +1,7 @@
 """Surrogates, syncmers and the pipeline against brute force."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -156,8 +157,12 @@ def test_fingerprint_query(spark, edge, edge_rows, nothing, tmp_path):
         edited = t[: len(t) - m] + texts[i - 1 if i else 59][:m]
         assert out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and out[i]["n_chars"] == len(t)
         mine, theirs = ({x[1:] for x in plain_anchors(x)} for x in (t, edited))
+        if len(mine) < syncmers.SIZE > len(theirs):
+            assert out[i]["near_edited"] == pytest.approx(len(mine & theirs) / len(mine | theirs))
         assert abs(out[i]["near_edited"] - len(mine & theirs) / len(mine | theirs)) < 0.25
         assert out[i]["near_edited"] >= out[i]["near_next"]
+    met = syncmers.with_edited(docs).withColumn("plain", syncmers.sketch(syncmers.anchors("edited")))
+    assert met.where("edited_sketch <> plain").count() == 0  # anchors of the untouched part stand for themselves
     assert syncmers.with_edited(nothing).count() == 0
     met = syncmers.with_edited(edge).collect()
     assert len(met) == len(edge_rows)
@@ -165,6 +170,24 @@ def test_fingerprint_query(spark, edge, edge_rows, nothing, tmp_path):
     assert len(same) == 1
 
 
+def test_fingerprints_of_long_texts(spark):
+    """A passage in a long text, common or of its own, counts as much as it is long."""
+    draw = random.Random(12)
+    long = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(8000)) for _ in range(2)]
+    passage = " ".join(f"p{draw.randrange(10**6)}" for _ in range(400))
+    pairs = [
+        (long[0], long[0][:20_000] + "x" * 7 + long[0][20_200:]), (long[0] + passage, passage + long[1]),
+        (long[0], long[0][: len(long[0]) // 2] + long[1][: len(long[1]) // 2]), (long[0], long[1]), (long[0], long[0]),
+    ]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "pair int, one string, two string")
+    sketched = rows.select("pair", *[syncmers.sketch(syncmers.anchors(c)).alias(c) for c in ("one", "two")])
+    for r in sketched.withColumn("near", syncmers.likeness(F.col("one"), F.col("two"))).collect():
+        mine, theirs = ({x[1:] for x in plain_anchors(t)} for t in pairs[r["pair"]])
+        assert r["near"] == pytest.approx(len(mine & theirs) / len(mine | theirs), abs=0.02)
+        assert r["pair"] != 0 or (r["one"] != r["two"] and r["near"] < 1)
+        assert len(r["one"]) > len(mine) / 20
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory, prose):
     top = tmp_path_factory.mktemp("tables")
