@@ -65,12 +65,7 @@ PHOTO_TOKENS = ("_PHOTO_", "__PHOTO__")
 VIDEO_TOKENS = ("_VIDEO_", "__VIDEO__")
 
 # Dutch function word tags.
-FUNCTION_TAGS = {
-    "nl": {
-        "VNW": "pronouns", "LID": "determiners", "VZ": "prepositions",
-        "BW": "adverbs", "TW": "quantifiers", "VG": "conjunction",
-    },
-}
+FUNCTION_TAGS = {"nl": ("VNW", "LID", "VZ", "BW", "TW", "VG")}
 
 # Part-of-speech pattern, tag to look the word up with, tag for the lemma.
 # The first pattern that is found decides.
