@@ -152,3 +152,22 @@ def test_names_and_models_side_by_side(spark, docs, tmp_path):
     registry.save_model("big", naive_bayes.fit(words(many, ["label", "fold"]), many, folds=3), ["w"])
     assert registry.load_model("007").classes == ("neg", "pos") and len(registry.load_model("big").classes) == 20
     assert registry.load_model("big").merged().sums.count() == registry.load_model("007").sums.count()
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_texts_stream_from_a_file_and_from_a_folder(spark, tmp_path, files):
+    from lexigrid.catalog.models import classify_best, classify_stream_of_texts
+
+    def store(df, name):
+        df.repartition(files).write.parquet(str(tmp_path / ("parts" if files == 1 else "in") / name))
+        if files == 1:
+            (part,) = (tmp_path / "parts" / name).glob("part-*.parquet")
+            (tmp_path / "in").mkdir(exist_ok=True)
+            (tmp_path / "in" / name).write_bytes(part.read_bytes())
+
+    store(spark.createDataFrame([(i, "der die und" if i % 2 else "the of and", "de" if i % 2 else "en") for i in range(8)], "doc_id bigint, text string, lang string"), "documents.parquet")
+    turns = [(i, k, "user", "the and" if k else f"und der {i}") for i in range(5) for k in range(2)]
+    store(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), "conversations.parquet")
+    folder = str(tmp_path / "in")
+    streamed = sorted(map(tuple, classify_stream_of_texts(spark, folder).collect()))
+    assert len(streamed) == 10 and streamed == sorted(map(tuple, classify_best(spark, folder).collect()))
