@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,9 @@ PARSE_TYPE = T.ArrayType(
 )
 
 
+RUN_BYTES = 1 << 18  # of text that a Python tagger works off at once
+
+
 @dataclass(frozen=True)
 class Annotator:
     """Fills in ``parse`` where it is missing; from raw or from cleaned text.
@@ -93,25 +97,42 @@ def annotate(
     return joined.withColumn("parse", parse).drop("_found")
 
 
+def _text_runs(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose texts have about ``RUN_BYTES``; a longer text is a run of its own."""
+    sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + RUN_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def annotate_with(docs: DataFrame, tagger: Callable[[str], list[tuple]], text: str = "text") -> DataFrame:
     """Annotations from any tagger ``text -> [(token, lemma, pos, sent), ...]``.
 
-    The tagger runs inside tasks, one Arrow batch of documents after another.
-    Rows that already have a parse keep it.
+    The tagger runs inside tasks, over runs of documents of bounded bytes, so a
+    worker holds the tokens of one run.  Rows that already have a parse keep it.
     """
-    has_parse = "parse" in docs.columns
-    base = docs if has_parse else docs.withColumn("parse", F.lit(None).cast(PARSE))
+    base = docs if "parse" in docs.columns else docs.withColumn("parse", F.lit(None).cast(PARSE))
     fields = [f for f in base.schema.fields if f.name != "parse"]
     schema = T.StructType([*fields, T.StructField("parse", PARSE_TYPE)])
     names = [f.name for f in schema.fields]
 
-    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ("token", "lemma", "pos", "sent")
         for batch in batches:
-            parses = [
-                [dict(zip(keys, item)) for item in tagger(t)] if p is None else list(p)
-                for t, p in zip(batch[text], batch["parse"])
-            ]
-            yield batch.assign(parse=pd.Series(parses, index=batch.index, dtype=object))[names]
-
-    return base.mapInPandas(tag, schema)
+            for run in _text_runs(batch, text):
+                given = run.column("parse")
+                missing = given.is_null()
+                texts = run.column(text).filter(missing).to_pylist()
+                made = pa.array([[dict(zip(keys, item)) for item in tagger(t)] for t in texts], given.type)
+                # a missing parse is taken from those made, which follow the given ones
+                place = np.arange(run.num_rows)
+                place[missing.to_numpy(zero_copy_only=False)] = run.num_rows + np.arange(len(texts))
+                parses = pa.concat_arrays([given, made]).take(pa.array(place))
+                columns = [parses if n == "parse" else run.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return base.select(*names).mapInArrow(tag, schema)

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,20 @@ def test_given_parses_are_kept(spark):
     }
 
 
+def test_a_tagger_works_off_runs_of_bounded_bytes(spark, monkeypatch):
+    monkeypatch.setattr(A, "RUN_BYTES", 10)
+    texts = ["abcd", None, "efgh", "x" * 99, "", "ij"]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    assert [r.column(0).to_pylist() for r in A._text_runs(batch, "text")] == [["abcd", None, "efgh"], ["x" * 99], ["", "ij"]]
+    given = F.when(F.col("doc_id") % 3 == 1, A.parse_json(F.lit('[{"token":"t","lemma":"l","pos":"P","sent":7},{"token":"u"}]')))
+    docs = frame(spark, *[f"w{i} v" for i in range(50)]).withColumn("parse", given).coalesce(1)
+    tagged = A.annotate_with(docs, lambda t: [(w, w, "Q") for w in t.split(" ")])  # taggers may leave out the sentence
+    assert {r["doc_id"]: [tuple(p) for p in r["parse"]] for r in tagged.collect()} == {
+        i: [("t", "l", "P", 7), ("u", None, None, None)] if i % 3 == 1 else [(f"w{i}", f"w{i}", "Q", None), ("v", "v", "Q", None)]
+        for i in range(50)
+    }
+
+
 def parsed(spark):
     rows = [(0, "x", [("de", "de", "LID(bep)", 0), ("de", "de", "LID(bep)", 0), ("loopt", "lopen", "WW(pv,tgw)", 1)])]
     return spark.createDataFrame(rows, f"doc_id bigint, text string, parse {A.PARSE}")
