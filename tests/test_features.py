@@ -2,7 +2,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrid.operators import annotate as A
+from lexigrid.operators import annotate as A, placement
 from lexigrid.operators.features import (
     Custom, FunctionWords, LexiconSentiment, Meta, Ngrams, SimpleStats, WordEmbeddings, extract_features, merge_features,
 )
@@ -167,3 +167,12 @@ def test_meta_custom_and_merge(spark):
     assert only(extract_features(docs, [first, second])) == {"len": 99.0, "kind=z": 1.0}
     assert only(merge_features([second(docs), first(docs)]))["len"] == 2.0
     assert only(extract_features(docs, [first], cleaner=lambda c: F.concat(c, F.lit("!!"))))["len"] == 4.0
+
+
+def test_partitions_of_documents_grow_with_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(placement, "PART_BYTES", 1000)
+    few, many = frame(spark, *["a b " * 25] * 40), frame(spark, *["a b " * 25] * 400)
+    assert by_document(few).rdd.getNumPartitions() == 6 and by_document(many).rdd.getNumPartitions() == 53
+    sides = many.select("doc_id", F.lit("x").alias("side"))
+    assert by_document(many, sides).rdd.getNumPartitions() == 53
+    assert placement.parts_for(frame(spark)) == 1
