@@ -13,15 +13,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from lexigrid import fixed_values as V
 from lexigrid.functions.stats import avg_sentence_length, flood_runs, text_stats, token_stats
 from lexigrid.operators.annotate import Annotator
-from lexigrid.operators.lookup import lookup_join
+from lexigrid.operators.lookup import BROADCAST_BYTES, bytes_of, lookup_join
 from lexigrid.operators.ngrams import ngrams
 from lexigrid.session import staged
 
@@ -153,9 +151,10 @@ class WordEmbeddings:
 
     ``vectors`` has unique ``token`` with ``embedding`` of ``size`` numbers or,
     where words share vectors, with the ``vec_id`` of a row of ``table``.  Words
-    without a vector are left out.  Words are looked up by number first and
-    counted by document and number; vectors come last, once for each number of
-    a document, and are averaged as one column.
+    without a vector are left out.  Words are counted by document and looked up
+    by number; numbers lie with their documents before vectors come, and
+    vectors are added up number by number: sums of numbers stay in a hash table,
+    where vectors as objects would be sorted and spilled row by row.
     """
 
     vectors: DataFrame
@@ -173,15 +172,20 @@ class WordEmbeddings:
             .groupBy(*ids, "token")
             .agg(F.count("*").alias("_n"))
         )
-        found = lookup_join(counted, words.select("token", "vec_id"), ["token"], row_bytes=40)
-        numbers = found.groupBy(*ids, "vec_id").agg(F.sum("_n").cast("double").alias("_n"))
-        vector = F.transform("embedding", lambda x: x.cast("double"))
-        table = table.select("vec_id", array_to_vector(vector).alias("_v"))
+        words = words.select("token", "vec_id")
+        size = bytes_of(words)
+        numbers = lookup_join(counted, words, ["token"], table_bytes=size).select(*ids, "vec_id", F.col("_n").cast("double").alias("_n"))
+        if size > BROADCAST_BYTES:  # words have been shuffled: numbers go back to their documents before vectors come
+            numbers = numbers.repartition("doc_id")
+        table = table.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
         met = lookup_join(numbers, table, ["vec_id"], row_bytes=64 + 8 * self.size)
-        mean = Summarizer.metrics("mean").summary(F.col("_v"), F.col("_n"))["mean"]
-        means = met.groupBy(*ids).agg(vector_to_array(mean).alias("_m"))
-        rows = means.select(*ids, F.posexplode("_m").alias("_i", "value"))
-        return rows.select(*ids, F.concat(F.lit("emb_"), "_i").alias("feature"), "value")
+        odd = F.raise_error(F.format_string("a vector has %s numbers, not " + str(self.size), F.size("embedding")))
+        weight = F.when(F.size("embedding") == self.size, F.col("_n")).otherwise(odd.cast("double"))
+        sums = [F.sum(F.col("_w") * F.get("embedding", F.lit(i)).cast("double")) for i in range(self.size)]
+        met = met.select(*ids, "embedding", weight.alias("_w"))
+        means = met.groupBy(*ids).agg(F.sum("_w").alias("_n"), *[x.alias(f"_{i}") for i, x in enumerate(sums)])
+        pairs = [F.struct(F.lit(f"emb_{i}").alias("feature"), (F.col(f"_{i}") / F.col("_n")).alias("value")) for i in range(self.size)]
+        return means.select(*ids, F.inline(F.array(*pairs)))
 
     def __str__(self) -> str:
         return "word_embeddings"
