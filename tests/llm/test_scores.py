@@ -157,3 +157,17 @@ def test_language_edges(spark, edge, nothing):
     assert language.identify(nothing, model).count() == 0
     assert {r["lang_pred"] for r in language.identify(docs, language.fit(nothing)).collect()} == {"und"}
     assert docs.where(F.col("lang") == "en").count() == 80
+
+
+def test_language_limits_and_heat_come_from_all_rows(spark):
+    draw = random.Random(11)
+    speak = {"en": "the of and ing tion er".split(), "de": "der die und ung heit sch".split()}
+    rows = [(i, " ".join(draw.choice(speak["en" if i % 3 else "de"]) for _ in range(4)), "en" if i % 3 else "de") for i in range(2800)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), keep=0.99)
+    h, _ = model.entropies(pa.array([t for _, t, _ in rows]), model.codes())
+    true = np.array([model.languages.index(k) for _, _, k in rows])
+    for i, name in enumerate(model.languages):
+        assert model.limits[name] == pytest.approx(np.quantile(h[true == i, i], 0.99), rel=1e-6)
+    rest = h - h.min(1, keepdims=True)
+    loss = [(x * rest[np.arange(len(h)), true] + np.log(np.exp(-x * rest).sum(1))).mean() for x in language.HEATS]
+    assert model.heat == language.HEATS[int(np.argmin(loss))]
