@@ -3,8 +3,9 @@
 Randomised subspace iteration (Halko, Martinsson and Tropp 2011).  The matrix
 stays a table of cells and the block of vectors a table with a list for each
 row or column of the matrix, whatever its width: a product is a join and a sum
-of lists.  Tasks add up what they read before the exchange.  Only matrices of a
-few components squared come to the driver.
+for each place of the list, added up where cells lie before the exchange; cells
+do not go through Python.  Only matrices of a few components squared come to the
+driver.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from lexigrid.operators.lookup import lookup_join
@@ -46,22 +45,9 @@ def _as_lists(values: np.ndarray) -> pa.Array:
 def _product(cells: DataFrame, vectors: DataFrame, on: str, out: str, width: int, **join) -> DataFrame:
     """``out, v``: the matrix, or its transpose, times the block of vectors."""
     rows = lookup_join(cells.select(on, out, "value"), vectors, [on], row_bytes=32 + 8 * width, **join)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(out).to_numpy(zero_copy_only=False)
-            parts = _lists(batch.column("v"), width) * batch.column("value").to_numpy(zero_copy_only=False)[:, None]
-            order = np.argsort(keys, kind="stable")
-            starts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
-            sums = np.add.reduceat(parts[order], starts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[order][starts]), _as_lists(sums)], names=[out, "v"])
-
-    kind = cells.schema[out].dataType.simpleString()
-    parts = rows.select(out, F.col("value").cast("double").alias("value"), "v").mapInArrow(add, f"`{out}` {kind}, v array<double>")
-    total = Summarizer.sum(array_to_vector(F.col("v")))
-    return parts.groupBy(out).agg(total.alias("_v")).select(out, vector_to_array("_v").alias("v"))
+    value = F.col("value").cast("double")
+    sums = [F.sum(value * F.get("v", F.lit(j))).alias(f"_{j}") for j in range(width)]
+    return rows.groupBy(out).agg(*sums).select(out, F.array(*[f"_{j}" for j in range(width)]).alias("v"))
 
 
 def _gram(vectors: DataFrame, width: int) -> np.ndarray:

@@ -357,3 +357,11 @@ def test_gaussian_out_of_fold_equals_refits(spark):
     merged = scores_of(gaussian.score(feats, model.merged(), docs=sides))
     for id, want in whole.items():
         assert merged[id] == pytest.approx(want, rel=1e-6)
+
+
+def test_products_of_cells_stay_out_of_python(spark):
+    cells = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (2, 1, 3.0)], "doc_id bigint, idx bigint, value double")
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0])], "idx bigint, v array<double>")
+    product = svd._product(cells, vectors, "idx", "doc_id", 2)
+    assert "InArrow" not in product._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["v"] for r in product.collect()} == {1: [2.5, 3.0], 2: [1.5, -3.0]}
