@@ -176,3 +176,9 @@ def test_partitions_of_documents_grow_with_their_texts(spark, monkeypatch):
     sides = many.select("doc_id", F.lit("x").alias("side"))
     assert by_document(many, sides).rdd.getNumPartitions() == 53
     assert placement.parts_for(frame(spark)) == 1
+
+
+def test_embeddings_are_summed_without_sorting_objects(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [3.0, 4.0])], "token string, embedding array<float>")
+    plan = WordEmbeddings(vectors, 2)(by_document(frame(spark, "a b b z")))._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
