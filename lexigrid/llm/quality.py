@@ -21,7 +21,7 @@ result, which is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,7 +69,7 @@ def slots_of(points: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.nda
 
 
 def ftrl(
-    rows: list[tuple[np.ndarray, float]],
+    rows: Iterable[tuple[np.ndarray, float]],
     bits: int,
     epochs: int,
     alpha: float = 0.3,
@@ -77,21 +77,29 @@ def ftrl(
     l1: float = 0.02,
     l2: float = 0.02,
 ) -> np.ndarray:
-    """Weights, the bias last, after ``epochs`` passes over ``(slots, label)`` rows in order."""
+    """Weights, the bias last, after ``epochs`` passes over ``(slots, label)`` rows in order.
+
+    Rows are taken one by one and kept end to end in three buffers: arrays for
+    each row would stay with the Python worker as gaps in its memory.
+    """
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
-    distinct = []
+    kept, times, spans = bytearray(), bytearray(), []
     for slots, label in rows:
         index, counts = np.unique(slots, return_counts=True)
-        x = np.append(counts / np.sqrt(max(1, len(slots))), 1.0)
-        distinct.append((np.append(index, size - 1), x, label))
+        first = len(kept) // 4
+        kept += index.astype(np.int32).tobytes()
+        times += counts.astype(np.int32).tobytes()
+        spans.append((first, first + len(index), np.sqrt(max(1, len(slots))), label))
+    indices, counted = np.frombuffer(kept, np.int32), np.frombuffer(times, np.int32)
 
     def at(i: np.ndarray) -> np.ndarray:
         lead = np.sign(z[i]) * l1 - z[i]
         return np.where(np.abs(z[i]) <= l1, 0.0, lead / ((beta + np.sqrt(n[i])) / alpha + l2))
 
     for _ in range(epochs):
-        for i, x, label in distinct:
+        for a, b, length, label in spans:
+            i, x = np.append(indices[a:b], size - 1), np.append(counted[a:b] / length, 1.0)
             w = at(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - label) * x
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha * w
@@ -121,12 +129,14 @@ def fit(
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_o", "text"], kind="stable", na_position="first")
-        rows = []
-        for at, points, offsets in T.chunks(pa.array(group["text"], pa.string(), from_pandas=True)):
-            slots, bounds = slots_of(points, offsets, bits)
-            ys = group["_y"].to_numpy()[at : at + len(offsets) - 1]
-            rows += [(slots[a:b].astype(np.int32), y) for a, b, y in zip(bounds[:-1], bounds[1:], ys, strict=True)]
-        found = ftrl(rows, bits, epochs).astype(np.float32)
+
+        def rows() -> Iterator[tuple[np.ndarray, float]]:
+            for at, points, offsets in T.chunks(pa.array(group["text"], pa.string(), from_pandas=True)):
+                slots, bounds = slots_of(points, offsets, bits)
+                ys = group["_y"].to_numpy()[at : at + len(offsets) - 1]
+                yield from ((slots[a:b], y) for a, b, y in zip(bounds[:-1], bounds[1:], ys, strict=True))
+
+        found = ftrl(rows(), bits, epochs).astype(np.float32)
         return pd.DataFrame({"n": [len(group)], "w": [found.tobytes()]})
 
     trained = (

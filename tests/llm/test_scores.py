@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -27,6 +28,16 @@ def test_tokens_and_hashes():
     assert ends == [13, 0, 0, 3, 54]
 
 
+def test_ftrl_keeps_rows_in_few_bytes():
+    draw = np.random.default_rng(1)
+    rows = ((draw.permutation(1 << 13)[:5000], float(i % 2)) for i in range(200))
+    tracemalloc.start()
+    quality.ftrl(rows, 13, 1)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 200 * 5000 * 12
+
+
 def test_ftrl_against_plain_steps():
     draw = random.Random(1)
     rows = [(np.array([draw.randrange(16) for _ in range(5)]), float(draw.random() < 0.5)) for _ in range(40)]
