@@ -54,6 +54,17 @@ def test_lookup_join_is_the_same_with_and_without_broadcast(spark, how, monkeypa
     assert Counter(map(tuple, small)) == Counter(map(tuple, large))
 
 
+@pytest.mark.parametrize("n", [200, 2000])
+def test_join_and_vocabulary_grow_in_partitions_not_in_their_size(spark, n, monkeypatch):
+    monkeypatch.setattr(lookup, "JOIN_BYTES", 4000)
+    facts = spark.createDataFrame([(i, f"k{i}", 1.0) for i in range(n)], "doc_id long, feature string, value double")
+    ranges = []
+    monkeypatch.setattr(vectorize, "exact_rank", lambda *a, **k: ranges.append(k["parts"]) or exact_rank(*a, **k))
+    found = vectorize.transform(facts, vectorize.fit_vocabulary(facts), broadcast_bytes=0)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 80 and n / ranges[0] <= 160
+
+
 def test_split_is_exact_stratified_and_repeatable(spark):
     rows, df = skewed(spark, 997)
     found = splits.stratified_split(df).collect()
