@@ -83,7 +83,9 @@ def chained_csv_words(spark, sf_dir):
 
     names = ("documents", "benchmark")
     docs = by_document(readers.chain({n: written(table(spark, sf_dir, n)) for n in names}))
-    words = docs.select("doc_id", "source", F.md5("text").alias("text"), F.explode(F.split("text", " ")).alias("token"))
+    # hashed before texts are taken apart: beside ``explode``, a whole text would be hashed once for each of its words
+    hashed = docs.select("doc_id", "source", F.md5("text").alias("text"), F.col("text").alias("_text"))
+    words = hashed.select("doc_id", "source", "text", F.explode(F.split("_text", " ")).alias("token"))
     return words.groupBy("doc_id", "source", "text", "token").agg(F.count("*").cast("double").alias("value")).drop("doc_id")
 
 

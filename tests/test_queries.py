@@ -32,3 +32,16 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_chained_texts_are_hashed_before_they_are_taken_apart(spark, tmp_path):
+    from lexigrid.catalog import QUERIES
+
+    for name, id in (("documents", "doc_id"), ("benchmark", "item_id")):
+        spark.createDataFrame([(1, "a b a"), (2, None)], f"{id} bigint, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    found = QUERIES["chained_csv_words"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("md5(")  # the scan is printed last
+    assert sorted((r["source"], r["token"], r["value"]) for r in found.collect()) == [
+        (source, token, n) for source in ("benchmark", "documents") for token, n in (("a", 2.0), ("b", 1.0))
+    ]
