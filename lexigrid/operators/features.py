@@ -155,11 +155,17 @@ class WordEmbeddings:
     by number; numbers lie with their documents before vectors come, and
     vectors are added up number by number: sums of numbers stay in a hash table,
     where vectors as objects would be sorted and spilled row by row.
+
+    Vectors always go to the documents, by broadcast: met by shuffle, a document
+    would leave a sum of ``size`` numbers with nearly every word it has.  A table
+    of more than ``broadcast_bytes`` goes in as many blocks, one after the other,
+    and each reads the numbers of its own vectors only.
     """
 
     vectors: DataFrame
     size: int
     table: DataFrame | None = None
+    broadcast_bytes: int = BROADCAST_BYTES
 
     def __call__(self, docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         ids = ["doc_id", *keep]
@@ -174,18 +180,33 @@ class WordEmbeddings:
         )
         words = words.select("token", "vec_id")
         size = bytes_of(words)
-        numbers = lookup_join(counted, words, ["token"], table_bytes=size).select(*ids, "vec_id", F.col("_n").cast("double").alias("_n"))
-        if size > BROADCAST_BYTES:  # words have been shuffled: numbers go back to their documents before vectors come
+        numbers = lookup_join(counted, words, ["token"], broadcast_bytes=self.broadcast_bytes, table_bytes=size)
+        numbers = numbers.select(*ids, "vec_id", F.col("_n").cast("double").alias("_n"))
+        if size > self.broadcast_bytes:  # words have been shuffled: numbers go back to their documents before vectors come
             numbers = numbers.repartition("doc_id")
         table = table.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-        met = lookup_join(numbers, table, ["vec_id"], row_bytes=64 + 8 * self.size)
+        blocks = -(-bytes_of(table) // self.broadcast_bytes)
+        if blocks <= 1:
+            means = self._sums(numbers.join(F.broadcast(table), "vec_id"), ids)
+        else:
+            block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+            numbers = staged(numbers.withColumn("_block", block), "numbers", by="_block")
+            parts = []
+            for b in range(blocks):
+                met = numbers.where(F.col("_block") == b).join(F.broadcast(table.where(block == b)), "vec_id")
+                parts.append(staged(self._sums(met, ids), "sums"))
+            names = ["_n", *[f"_{i}" for i in range(self.size)]]
+            means = reduce(DataFrame.unionByName, parts).groupBy(*ids).agg(*[F.sum(n).alias(n) for n in names])
+        pairs = [F.struct(F.lit(f"emb_{i}").alias("feature"), (F.col(f"_{i}") / F.col("_n")).alias("value")) for i in range(self.size)]
+        return means.select(*ids, F.inline(F.array(*pairs)))
+
+    def _sums(self, met: DataFrame, ids: Sequence[str]) -> DataFrame:
+        """Number of words and sum of their vectors by document."""
         odd = F.raise_error(F.format_string("a vector has %s numbers, not " + str(self.size), F.size("embedding")))
         weight = F.when(F.size("embedding") == self.size, F.col("_n")).otherwise(odd.cast("double"))
         sums = [F.sum(F.col("_w") * F.get("embedding", F.lit(i)).cast("double")) for i in range(self.size)]
         met = met.select(*ids, "embedding", weight.alias("_w"))
-        means = met.groupBy(*ids).agg(F.sum("_w").alias("_n"), *[x.alias(f"_{i}") for i, x in enumerate(sums)])
-        pairs = [F.struct(F.lit(f"emb_{i}").alias("feature"), (F.col(f"_{i}") / F.col("_n")).alias("value")) for i in range(self.size)]
-        return means.select(*ids, F.inline(F.array(*pairs)))
+        return met.groupBy(*ids).agg(F.sum("_w").alias("_n"), *[x.alias(f"_{i}") for i, x in enumerate(sums)])
 
     def __str__(self) -> str:
         return "word_embeddings"

@@ -182,3 +182,16 @@ def test_embeddings_are_summed_without_sorting_objects(spark):
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [3.0, 4.0])], "token string, embedding array<float>")
     plan = WordEmbeddings(vectors, 2)(by_document(frame(spark, "a b b z")))._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+
+
+def test_vectors_in_blocks_go_to_the_documents(spark):
+    table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)] + [(50, None)], "vec_id bigint, embedding array<float>")
+    words = spark.createDataFrame([(f"w{i}", i % 51) for i in range(60)], "token string, vec_id bigint")
+    texts = [" ".join(f"w{(i * k) % 70}" for k in range(40)) for i in range(30)]
+    docs = by_document(frame(spark, *texts, None))
+    want = {(r["doc_id"], r["feature"]): r["value"] for r in WordEmbeddings(words, 2, table)(docs).collect()}
+    blocks = WordEmbeddings(words, 2, table, broadcast_bytes=500)(docs)
+    found = {(r["doc_id"], r["feature"]): r["value"] for r in blocks.collect()}
+    assert len(want) == 60 and found.keys() == want.keys()
+    assert all(found[k] == pytest.approx(v) for k, v in want.items())
+    assert "vec_id" not in blocks._jdf.queryExecution().executedPlan().toString()  # nothing is left to meet by shuffle
