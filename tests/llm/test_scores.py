@@ -182,3 +182,27 @@ def test_language_limits_and_heat_come_from_all_rows(spark):
     rest = h - h.min(1, keepdims=True)
     loss = [(x * rest[np.arange(len(h)), true] + np.log(np.exp(-x * rest).sum(1))).mean() for x in language.HEATS]
     assert model.heat == language.HEATS[int(np.argmin(loss))]
+
+
+def test_language_tells_all_letters_apart(spark):
+    """Twelve scripts of fifty letters, one beyond the first plane; more letters than an alphabet of seven bits has."""
+    firsts = [0x3041, 0x5D0 - 30, 0x0E01, 0x10D0, 0x0905, 0x1200, 0x3400, 0x4E00, 0xAC00, 0xA000, 0x0561, 0x20000]
+    draw = random.Random(3)
+    scripts = [[c for c in map(chr, range(first, first + 90)) if c.isalpha()][:50] for first in firsts]
+    rows = [(i * 12 + k, " ".join("".join(draw.choices(own, k=6)) for _ in range(6)), f"s{k:02}") for i in range(30) for k, own in enumerate(scripts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language.identify(docs.where("doc_id >= 240"), language.fit(docs.where("doc_id < 240")))
+    assert found.where("lang = lang_pred").count() == 120
+    _, offsets = np.zeros(0), np.array([0, 3])
+    codes, bounds, letters = language.grams(np.array([0x20000, 0x20, 0x41], np.uint32), offsets, language._symbols())
+    assert codes[:2].tolist() == [0xD840, 0xD840DC00] and bounds.tolist() == [0, 4] and letters.tolist() == [2]
+
+
+def test_language_keeps_the_rarest_grams(spark):
+    draw = random.Random(4)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    texts = ["".join(draw.choices(letters, k=3000)) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    grams = {t[i : i + 4] for t in texts for i in range(len(t) - 3)}
+    assert len(model.keys[-1]) >= len(grams) > 1 << 18
