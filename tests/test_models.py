@@ -365,3 +365,18 @@ def test_products_of_cells_stay_out_of_python(spark):
     product = svd._product(cells, vectors, "idx", "doc_id", 2)
     assert "InArrow" not in product._jdf.queryExecution().executedPlan().toString()
     assert {r["doc_id"]: r["v"] for r in product.collect()} == {1: [2.5, 3.0], 2: [1.5, -3.0]}
+
+
+def test_svd_with_a_held_block_joins_nothing(spark, monkeypatch):
+    """Documents cut over partitions are put together again; a step of the iteration is no join."""
+    rng = np.random.default_rng(11)
+    matrix = rng.poisson(0.5, (80, 30)) * rng.random((80, 30))
+    rows = [(i, 3 * j + 1, float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row) if v]
+    rows += [(5, 4, None), (None, 1, 2.0)]
+    cells = staged(spark.createDataFrame(rows, "doc_id bigint, idx bigint, value double").repartition(5), "cells")
+    plain = svd.fit(cells, 3, iterations=6, broadcast_bytes=0)
+    monkeypatch.setattr(svd, "lookup_join", None)
+    held = svd.fit(cells, 3, iterations=6)
+    assert held.singular_values == pytest.approx(plain.singular_values, rel=1e-6)
+    a, b = ({r["idx"]: np.abs(r["v"]) for r in m.loadings.collect()} for m in (held, plain))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
