@@ -206,3 +206,18 @@ def test_language_keeps_the_rarest_grams(spark):
     model = language.fit(docs)
     grams = {t[i : i + 4] for t in texts for i in range(len(t) - 3)}
     assert len(model.keys[-1]) >= len(grams) > 1 << 18
+
+
+def test_toxicity_calibrates_over_all_rows_set_aside(spark, prose, monkeypatch):
+    seen = []
+    plain = toxicity._calibration
+    monkeypatch.setattr(toxicity, "_calibration", lambda rows: seen.append(rows) or plain(rows))
+    docs = spark.createDataFrame([(i, f"{prose(i % 50, 4)} {'grumble' if i % 4 == 0 else 'pleasant'}") for i in range(20_000)], "doc_id long, text string")
+    docs = docs.crossJoin(spark.range(11)).select((F.col("doc_id") * 11 + F.col("id")).alias("doc_id"), "text")
+    known = docs.select("doc_id", F.col("text").contains("grumble").cast("int").alias("toxic"))
+    weights = toxicity.fit(docs, known).weights
+    order = F.xxhash64("doc_id", F.lit("calibration")).bitwiseAND(F.lit((1 << 62) - 1))
+    assert seen[0].count() == docs.where(order < (1 << 62) // 10).count() > 20_000
+    rows = seen[0].toPandas()
+    x, y = rows[[f"x{i}" for i in range(toxicity.INPUTS)]].to_numpy(), rows["y"].to_numpy()
+    assert np.abs(x.T @ (1 / (1 + np.exp(-(x @ weights))) - y) + 0.1 * weights).max() < 1e-3
